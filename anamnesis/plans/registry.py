@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from anamnesis.plans import dealt
+from anamnesis.plans import dealt, relational, scalar
 
-MODULES = [dealt]
+MODULES = [scalar, relational, dealt]
 
 
 def queries() -> dict:
