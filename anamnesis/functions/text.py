@@ -72,10 +72,14 @@ def blank_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[ \\t\\n\\r\\f\\u000b]+"), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def counts_of(terms: Column) -> Column:
     """Map of term to number of occurrences."""
-    kinds = F.array_distinct(terms)
-    return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(terms, lambda t: t == k))))
+    return let(terms, lambda t: F.map_from_arrays(F.array_distinct(t), F.transform(F.array_distinct(t), lambda k: F.size(F.filter(t, lambda x: x == k)))))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from anamnesis.plans import dealt, relational, scalar
+from anamnesis.plans import dealt, relational, scalar, windows
 
-MODULES = [scalar, relational, dealt]
+MODULES = [scalar, relational, windows, dealt]
 
 
 def queries() -> dict:
