@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from anamnesis.plans import dealt, relational, scalar, windows
+from anamnesis.plans import dealt, domain, io, relational, retrieval, scalar, windows
 
-MODULES = [scalar, relational, windows, dealt]
+MODULES = [scalar, relational, windows, retrieval, domain, io, dealt]
 
 
 def queries() -> dict:
