@@ -11,21 +11,24 @@ not linear, work.  Points are drawn in order of time up to a horizon by which a
 bag of its size has nearly surely filled all registers; the few bags that have
 not are drawn again with twice the horizon.
 
-Bands of registers make the keys.  A key is sent together with a column of
-record numbers, packed by band, sorted and compressed: nine bytes a key instead of
-a row.  Candidates are verified on the exact bags.
+Bands of registers make the keys.  Keys go in packed columns by band (key bits,
+number, mass, and one bit of each further register), 22 bytes a key instead of a
+row.  Records that meet in a band are candidates if their masses allow the
+similarity and their register bits agree as often as they should (3.5 standard
+deviations are given); candidates are verified on the exact bags.
 
 Scale: exact copies (equal bags) are one class before signatures are made, so a
 text that makes up a third of all rows is signed and compared once.  The shuffle
-is 45 short keys a class, the number of key ranges follows the number of
+is 24 short keys a class (30 times more classes add a register to each key), the number of key ranges follows the number of
 classes, and only candidate pairs meet their words again.  A key shared by many
-different classes is worked off in blocks by size order with the length filter,
-never held as a full square.
+different classes is worked off in order of mass with the length filter, one
+distance after the other, never held as a full square.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +39,14 @@ from pyspark.sql import functions as F
 
 from anamnesis.session import cut, ship_package
 
-#: 45 bands of 5 registers: a pair at similarity 0.7 is missed with probability (1-0.7^5)^45 = 0.00025, one at 0.75 with 0.000005.
-BANDS, ROWS = 45, 5
-#: Classes whose keys of one band are joined in one task.
-CLASSES_A_TASK = 500_000
-BLOCK = 2048
+#: Chance that a pair exactly at the threshold meets in no band; pairs above it are missed less (at 0.75 instead of 0.7: 0.0001).
+MISS = 0.0015
+#: Further registers of which one bit each goes along with every key, to drop pairs that meet by chance.
+BITS = 128
+#: Classes whose keys of one band are joined in one task; key bits beyond the range are 32, so chance meetings stay few at any size.
+CLASSES_A_TASK = 100_000
+#: Words whose arrivals a worker keeps.
+VOCABULARY = 1 << 15
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -98,98 +104,122 @@ def word_arrivals(words: np.ndarray, weights: np.ndarray, horizon: float, m: int
     return out
 
 
-def signatures(hashes: np.ndarray, weights: np.ndarray, ends: np.ndarray, m: int) -> np.ndarray:
-    """Signature (m registers) of bags given as runs of (word hash, weight) that end at ``ends``."""
-    starts = np.r_[0, ends[:-1]]
-    out = np.full((len(ends), m), np.inf, np.float32)
-    pairs, index = np.unique(np.stack([hashes, weights.astype(np.uint64)]), axis=1, return_inverse=True)
-    index = index.reshape(-1)
-    mass = np.add.reduceat(weights, starts)
-    horizon = (math.log(m) + 7) / max(1, int(mass.min()))
-    todo = np.arange(len(ends))
-    while len(todo):
-        if len(todo) == len(ends):
-            rows, at = index, starts
-            table = word_arrivals(pairs[0], pairs[1].astype(np.int64), horizon, m)
-        else:
-            spans = [index[starts[i] : ends[i]] for i in todo]
-            rows, at = np.concatenate(spans), np.r_[0, np.cumsum([len(s) for s in spans])[:-1]]
-            own, rows = np.unique(rows, return_inverse=True)
-            table = word_arrivals(pairs[0][own], pairs[1][own].astype(np.int64), horizon, m)
-        for lo in range(0, len(todo), 512):
-            hi = min(lo + 512, len(todo))
-            first, last = at[lo], at[hi] if hi < len(todo) else len(rows)
-            out[todo[lo:hi]] = np.minimum.reduceat(table[rows[first:last]], at[lo:hi] - first, axis=0)
-        todo = todo[np.isinf(out[todo]).any(axis=1)]
-        horizon *= 2
-    return out
+class Signer:
+    """Signatures of bags; the arrivals of words that were met before are kept (unit weights only)."""
+
+    def __init__(self, m: int, least_mass: int):
+        self.m, self.horizon = m, (math.log(m) + 7) / max(1, least_mass)
+        self.index: dict[str, int] = {}
+        self.hashes: list[int] = []
+        self.table = np.empty((0, m), np.float32)
 
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Table rows of words, made where they are new."""
+        import xxhash
 
-def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key per band of each signature."""
-    bits = np.ascontiguousarray(signature).view(np.uint32).astype(np.uint64).reshape(len(signature), bands, rows)
-    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), bits.shape[:2]).copy()
+        index, fresh = self.index, []
+        for w in words:
+            if w not in index:
+                index[w] = len(index)
+                fresh.append(xxhash.xxh64_intdigest(w.encode()))
+        if fresh:
+            made = word_arrivals(np.array(fresh, np.uint64), np.ones(len(fresh), np.int64), self.horizon, self.m)
+            self.hashes += fresh
+            if len(index) > len(self.table):
+                grown = np.empty((max(2 * len(self.table), len(index), 4096), self.m), np.float32)
+                grown[: len(index) - len(fresh)] = self.table[: len(index) - len(fresh)]
+                self.table = grown
+            self.table[len(index) - len(fresh) : len(index)] = made
+        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+
+    def sign(self, words: list[str], weights: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Signatures of bags given as runs of words and whole weights that end at ``ends``."""
+        starts = np.r_[0, ends[:-1]].astype(np.int64)
+        if len(self.index) > VOCABULARY:
+            self.index.clear(), self.hashes.clear()
+        rows = self.rows(words)
+        out = np.empty((len(ends), self.m), np.float32)
+        heavy = np.flatnonzero(np.maximum.reduceat(weights, starts) > 1)
+        for lo in range(0, len(ends), 512):
+            hi = min(lo + 512, len(ends))
+            out[lo:hi] = np.minimum.reduceat(self.table[rows[starts[lo] : ends[hi - 1]]], starts[lo:hi] - starts[lo], axis=0)
+        all_hashes = np.array(self.hashes, np.uint64)
+        for i in np.union1d(heavy, np.flatnonzero(np.isinf(out).any(axis=1))):
+            own, horizon = slice(starts[i], ends[i]), self.horizon
+            while True:
+                out[i] = word_arrivals(all_hashes[rows[own]], weights[own], horizon, self.m).min(axis=0)
+                if not np.isinf(out[i]).any():
+                    break
+                horizon *= 2
+        return out
+
+
+def band_keys(signature: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """One 64-bit key per band of each signature, and the bits of the registers beyond the bands."""
+    bits = np.ascontiguousarray(signature).view(np.uint32).astype(np.uint64)
+    banded = bits[:, : bands * rows].reshape(len(bits), bands, rows)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), banded.shape[:2]).copy()
     for r in range(rows):
-        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + bits[:, :, r])
-    return key
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + banded[:, :, r])
+    rest = (_mix(bits[:, bands * rows :]) & np.uint64(1)).reshape(len(bits), -1, 64) << np.arange(64, dtype=np.uint64)
+    return key, rest.sum(axis=2, dtype=np.uint64)
+
 
+def band_shape(n_classes: int, least: float) -> tuple[int, int]:
+    """(bands, rows) with a miss of MISS at the threshold; rows grow with the logarithm of the collection, so that
+    meetings by chance stay in proportion to it."""
+    rows = 4 + max(0, math.ceil(math.log(max(n_classes, 1) / 1e6, 30)))
+    return math.ceil(math.log(MISS) / math.log(1 - least**rows)), rows
 
-def _pack(key: np.ndarray, no: np.ndarray, size: np.ndarray) -> bytes:
+
+def _pack(key: np.ndarray, no: np.ndarray, size: np.ndarray, bits: np.ndarray) -> bytes:
+    """Columns of records in order of number: differences of numbers and sizes (compressed), 32 key bits, register bits."""
     order = np.argsort(no, kind="stable")
-    no = no[order]
-    head = np.diff(no, prepend=0).astype("<i8").tobytes() + size[order].astype("<i4").tobytes()
+    head = np.diff(no[order], prepend=0).astype("<i8").tobytes() + size[order].astype("<i4").tobytes()
     packed = zstandard.ZstdCompressor(level=1).compress(head)
-    return len(order).to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed + key[order].astype("<u8").tobytes()
+    return len(order).to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed + (key[order] >> np.uint64(32)).astype("<u4").tobytes() + bits[order].astype("<u8").tobytes()
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, k = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
     head = zstandard.ZstdDecompressor().decompress(blob[8 : 8 + k])
-    return np.frombuffer(blob[8 + k :], "<u8"), np.cumsum(np.frombuffer(head[: 8 * n], "<i8")), np.frombuffer(head[8 * n :], "<i4").astype(np.int64)
-
-
-def _sign(bands: int, rows: int, ranges: int):
-    def emit(tbl, no, hashes, weights, ends, mass):
-        keys = band_keys(signatures(hashes, weights, ends, bands * rows), bands, rows)
-        out = []
-        for t in sorted(set(tbl)):
-            own = np.flatnonzero(np.array(tbl) == t)
-            for b in range(bands):
-                key = keys[own, b]
-                part = key % np.uint64(ranges)
-                for p in np.unique(part):
-                    hit = own[part == p]
-                    out.append((f"{t}/{b}/{p}", t, _pack(keys[hit, b], no[hit], mass[hit])))
-        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.binary()))], ["part", "tbl", "packed"])
+    key = np.frombuffer(blob, "<u4", n, 8 + k)
+    return key, np.cumsum(np.frombuffer(head[: 8 * n], "<i8")), np.frombuffer(head[8 * n :], "<i4"), np.frombuffer(blob[8 + k + 4 * n :], "<u8").reshape(n, -1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
-        memo: dict[str, int] = {}
-        tbl, no, hashes, weights, ends, mass = [], [], [], [], [], []
+def _sign(bands: int, rows: int, ranges: int, least_mass: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(bands * rows + BITS, least_mass)
+        tbl, no, words, weights, ends = [], [], [], [], []
 
         def flush():
-            out = emit(tbl, np.array(no, np.int64), np.array(hashes, np.uint64), np.array(weights, np.int64), np.array(ends, np.int64), np.array(mass, np.int64))
-            for x in (tbl, no, hashes, weights, ends, mass):
+            number, end, weight = np.array(no, np.int64), np.array(ends, np.int64), np.array(weights, np.int64)
+            mass = np.add.reduceat(weight, np.r_[0, end[:-1]])
+            keys, bits = band_keys(signer.sign(words, weight, end), bands, rows)
+            tables, out = np.array(tbl), []
+            for t in np.unique(tables):
+                own = np.flatnonzero(tables == t)
+                for b in range(bands):
+                    part = keys[own, b] % np.uint64(ranges)
+                    for p in np.unique(part):
+                        hit = own[part == p] if ranges > 1 else own
+                        out.append((f"{t}/{b}/{p}", str(t), _pack(keys[hit, b], number[hit], mass[hit], bits[hit])))
+            for x in (tbl, no, words, weights, ends):
                 x.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.binary()))], ["part", "tbl", "packed"])
 
         for batch in batches:
             for t, n, bag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                total = 0
-                for item in bag.split(" "):
-                    word, _, times = item.partition("*")
-                    h = memo.get(word)
-                    if h is None:
-                        if len(memo) > 1 << 18:
-                            memo.clear()
-                        h = memo[word] = xxhash.xxh64_intdigest(word.encode())
-                    w = int(times) if times else 1
-                    total += w
-                    hashes.append(h)
-                    weights.append(w)
-                tbl.append(t), no.append(n), ends.append(len(hashes)), mass.append(total)
-                if len(no) >= 8192 or len(hashes) >= 1 << 19:
+                items = bag.split(" ")
+                if "*" in bag:
+                    pairs = [i.partition("*") for i in items]
+                    items = [p[0] for p in pairs]
+                    weights.extend(int(p[2] or 1) for p in pairs)
+                else:
+                    weights.extend([1] * len(items))
+                words.extend(items)
+                tbl.append(t), no.append(n), ends.append(len(words))
+                if len(no) >= 16384 or len(words) >= 1 << 20:
                     yield flush()
         if no:
             yield flush()
@@ -198,7 +228,9 @@ def _sign(bands: int, rows: int, ranges: int):
 
 
 def _collide(least: float):
-    """Candidate pairs of one part: equal keys, masses that allow the similarity."""
+    """Candidate pairs of one part: equal keys, masses that allow the similarity, enough equal register bits."""
+    p = (1 + least) / 2
+    apart = BITS - math.floor(BITS * p - 3.5 * math.sqrt(BITS * p * (1 - p)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tbl, loaded = None, []
@@ -206,46 +238,34 @@ def _collide(least: float):
             for t, blob in zip(batch.column("tbl").to_pylist(), batch.column("packed").to_pylist()):
                 tbl = t
                 loaded.append(_unpack(blob))
-        key, no, mass = (np.concatenate(x) for x in zip(*loaded))
+        key, no, mass, bits = (np.concatenate(x) for x in zip(*loaded))
         loaded.clear()
         order = np.lexsort((no, mass, key))
-        key, no, mass = key[order], no[order], mass[order]
-        borders = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        runs = np.flatnonzero(np.diff(borders) > 1)
-        held: list[np.ndarray] = []
-        count = 0
-
-        def block(pairs):
-            both = np.unique(np.concatenate(pairs), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array([tbl] * len(both), pa.string()), pa.array(both[:, 0]), pa.array(both[:, 1])], ["tbl", "no_a", "no_b"])
-
-        for r in runs:
-            lo, hi = borders[r], borders[r + 1]
-            for i in range(lo, hi - 1):
-                # Partners in order of mass: only those light enough to be similar, in blocks.
-                end = lo + np.searchsorted(mass[lo:hi], mass[i] / least + 1e-9, "right")
-                for at in range(i + 1, end, BLOCK):
-                    other = no[at : min(end, at + BLOCK)]
-                    held.append(np.stack([np.minimum(other, no[i]), np.maximum(other, no[i])], axis=1))
-                    count += len(other)
-                    if count >= 1 << 18:
-                        yield block(held)
-                        held, count = [], 0
-        if held:
-            yield block(held)
+        key, no, mass, bits = key[order], no[order], mass[order], bits[order]
+        # Partners at distance 1, 2, ... in order of key and mass, as long as key and mass allow: no square of a run is held.
+        at, step = np.arange(len(key)), 1
+        while len(at):
+            at = at[at + step < len(key)]
+            at = at[(key[at] == key[at + step]) & (mass[at + step] * least <= mass[at] + 1e-9)]
+            near = at[np.bitwise_count(bits[at] ^ bits[at + step]).sum(axis=1) <= apart]
+            if len(near):
+                a, b = no[near], no[near + step]
+                yield pa.RecordBatch.from_arrays([pa.array([tbl] * len(a), pa.string()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["tbl", "no_a", "no_b"])
+            step += 1
 
     return run
 
 
-def candidate_pairs(bags: DataFrame, n_classes: int, least: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def candidate_pairs(bags: DataFrame, n_classes: int, least: float, least_mass: int = 1) -> DataFrame:
     """Distinct (tbl, no_a, no_b) whose signatures agree in a band.
 
     ``bags``: tbl, no (a number that is unique within tbl) and bag: words joined
-    by blanks, ``word*k`` for weight k.
+    by blanks, ``word*k`` for weight k; ``least_mass``: the least sum of weights.
     """
     ship_package(bags.sparkSession)
     ranges = max(1, -(-n_classes // CLASSES_A_TASK))
-    keys = bags.select("tbl", F.col("no").cast("bigint").alias("no"), "bag").mapInArrow(_sign(bands, rows, ranges), "part string, tbl string, packed binary")
+    bands, rows = band_shape(n_classes, least)
+    keys = bags.select("tbl", F.col("no").cast("bigint").alias("no"), "bag").mapInArrow(_sign(bands, rows, ranges, least_mass), "part string, tbl string, packed binary")
     collide = _collide(least)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,15 +290,25 @@ def candidate_pairs(bags: DataFrame, n_classes: int, least: float, bands: int =
     return keys.repartition("part").sortWithinPartitions("part").mapInArrow(part, "tbl string, no_a bigint, no_b bigint").distinct()
 
 
-def word_set(content: Column) -> Column:
-    """Distinct maximal runs of ASCII letters and digits, lower case, sorted and joined by blanks; null for null."""
-    words = F.split(F.lower(F.regexp_replace(content, "[^A-Za-z0-9]+", " ")), " ")
-    return F.array_join(F.array_sort(F.array_remove(F.array_distinct(words), "")), " ")
+def _word_sets(least_words: int):
+    find = re.compile("[A-Za-z0-9]+").findall
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = []
+            for text in batch.column(3).to_pylist():
+                words = set(find(text.lower() if text.isascii() else "".join(c.lower() if c.isascii() else c for c in text))) if text else ()
+                bags.append(" ".join(sorted(words)) if len(words) >= least_words else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bags, pa.string())], ["tbl", "id", "no", "bag"])
+
+    return run
 
 
-def size_of(bag: Column) -> Column:
-    """Number of words of a joined word set."""
-    return F.when(F.length(bag) > 0, F.length(bag) - F.length(F.replace(bag, F.lit(" "), F.lit(""))) + 1).otherwise(0)
+def word_sets(records: DataFrame, least_words: int) -> DataFrame:
+    """tbl, id, no, bag of records (tbl, id, no, content): the distinct maximal runs of ASCII letters and digits in
+    lower case, sorted and joined by blanks; null where there are fewer than ``least_words``."""
+    ship_package(records.sparkSession)
+    return records.select("tbl", "id", "no", "content").mapInArrow(_word_sets(least_words), "tbl string, id string, no bigint, bag string")
 
 
 def bag_class(bag: Column) -> Column:
@@ -289,11 +319,11 @@ def bag_class(bag: Column) -> Column:
 def similar_classes(records: DataFrame, least_words: int = 12, numerator: int = 7, denominator: int = 10) -> DataFrame:
     """tbl, class_a, class_b of different word sets that share at least numerator/denominator of their words.
 
-    ``records``: tbl, no (unique within tbl) and bag.  Similarity is compared in
+    ``records``: tbl, no (unique within tbl) and bag (null: too short).  Similarity is compared in
     whole numbers, so exactly the threshold counts.
     """
-    classes = cut(records.where(size_of(F.col("bag")) >= least_words).groupBy("tbl", "bag").agg(F.min("no").alias("no")))
-    pairs = cut(candidate_pairs(classes, classes.count(), numerator / denominator))
+    classes = cut(records.where("bag IS NOT NULL").groupBy("tbl", "bag").agg(F.min("no").alias("no")))
+    pairs = cut(candidate_pairs(classes, classes.count(), numerator / denominator, least_words))
     touched = pairs.select("tbl", F.col("no_a").alias("no")).union(pairs.select("tbl", F.col("no_b").alias("no"))).distinct()
     words = cut(classes.join(touched, ["tbl", "no"], "left_semi"))
     side = lambda s: words.select("tbl", F.col("no").alias(f"no_{s}"), F.split("bag", " ").alias(f"w_{s}"), bag_class(F.col("bag")).alias(f"class_{s}"))
@@ -310,14 +340,13 @@ def near_duplicates(messages: DataFrame, notes: DataFrame) -> DataFrame:
     short pairs with nothing; repeated rows count once; empty tables give no
     rows; further columns are ignored.
     """
-    bag = word_set(F.col("content"))
-    told = messages.where("message_id IS NOT NULL").select(F.lit("messages").alias("tbl"), F.col("message_id").alias("id"), F.col("ingest_no").cast("bigint").alias("no"), bag.alias("bag"))
-    noted = notes.where("note_id IS NOT NULL AND content IS NOT NULL").groupBy(F.col("note_id").alias("id"), "content").agg(F.min("ingest_no").cast("bigint").alias("no"))
-    noted = noted.select(F.lit("notes").alias("tbl"), "id", "no", bag.alias("bag"))
-    long = size_of(F.col("bag")) >= 12
-    last = told.groupBy("id").agg(F.max(F.struct("no", F.when(long, bag_class(F.col("bag"))).alias("cls"))).alias("m")).select(F.lit("messages").alias("tbl"), "id", F.col("m.cls").alias("cls")).where("cls IS NOT NULL")
-    members = cut(last.unionByName(noted.where(long).select("tbl", "id", bag_class(F.col("bag")).alias("cls")).distinct()))
-    alike = cut(similar_classes(told.select("tbl", "no", "bag").unionByName(noted.select("tbl", "no", "bag"))))
+    pick = lambda df, name, key: df.where(f"{key} IS NOT NULL").select(F.lit(name).alias("tbl"), F.col(key).alias("id"), F.col("ingest_no").cast("bigint").alias("no"), "content")
+    told = word_sets(pick(messages, "messages", "message_id"), 12)
+    noted = word_sets(pick(notes, "notes", "note_id"), 12)
+    cls = F.when(F.col("bag").isNotNull(), bag_class(F.col("bag"))).alias("cls")
+    last = told.groupBy("id").agg(F.max(F.struct("no", cls)).alias("m")).select(F.lit("messages").alias("tbl"), "id", F.col("m.cls").alias("cls")).where("cls IS NOT NULL")
+    members = cut(last.unionByName(noted.where("bag IS NOT NULL").select("tbl", "id", cls).distinct()))
+    alike = cut(similar_classes(told.unionByName(noted)))
 
     left = members.select("tbl", F.col("cls").alias("class_a"), F.col("id").alias("x"))
     right = members.select("tbl", F.col("cls").alias("class_b"), F.col("id").alias("y"))
