@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from anamnesis.session import cut, ship_package
 
 #: Most labelled pages of each label that train the trees.
-SAMPLE = 20_000
+SAMPLE = 4_000
 TREES, DEPTH, LEAF = 25, 6, 5
 #: A host's rate counts as much as this share of the trees' vote at most, reached with many pages.
 HOST_SHARE, HOST_PRIOR = 0.1, 20.0
