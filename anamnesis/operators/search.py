@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anamnesis.functions.text import characters, cosine, terms_pairs
+from anamnesis.session import ship_package
 
 K1, B = 1.2, 0.75
 #: Most terms of a query, and most query vectors that are sent to all tasks.
@@ -70,6 +71,7 @@ def near_queries(vectors: DataFrame, id_col: str, vec: str, chosen: str, least:
     """
     import numpy as np
 
+    ship_package(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v"))
     asked = vectors.where(chosen).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v"))
     packed = asked.withColumn("b", F.floor(F.col("id") / (100 * block))).groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias("q"))
@@ -101,6 +103,7 @@ def diversify(candidates: DataFrame, lam: float = 0.7, k: int = 10) -> DataFrame
     ``candidates``: query, id, score, content; at most 100 a query are looked at,
     the number that the channels return.  Returns query, id, place.
     """
+    ship_package(candidates.sparkSession)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     top = candidates.withColumn("rn", F.row_number().over(w)).where("rn <= 100").select("query", "id", "score", characters(F.col("content")).alias("chars"))
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from anamnesis.session import cut
+from anamnesis.session import cut, ship_package
 
 
 def _ordered(items: DataFrame) -> DataFrame:
@@ -56,6 +56,7 @@ def greedy_removal(pairs: DataFrame, items: DataFrame) -> DataFrame:
     ``pairs``: grp, id_a, id_b; ``items``: grp, id, score, place.  The pass goes
     through each group in order of place; only items with a partner take part.
     """
+    ship_package(items.sparkSession)
     own = items.select("grp", F.col("id").alias("id_a"), F.col("score").alias("s_a"), F.col("place").alias("p_a"))
     other = items.select("grp", F.col("id").alias("id_b"), F.col("score").alias("s_b"), F.col("place").alias("p_b"))
     edges = pairs.join(own, ["grp", "id_a"]).join(other, ["grp", "id_b"])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from anamnesis.session import ensure_checkpoint_dir
+from anamnesis.session import ensure_checkpoint_dir, ship_package
 
 
 def folder(spark: SparkSession, what: str) -> str:
@@ -62,6 +62,7 @@ def turn_counters(messages: DataFrame, every: int = 12) -> DataFrame:
         state.update((turns,))
         yield pd.DataFrame({"conversation_id": [key[0]], "turns": [turns], "due": [turns // every > before // every]})
 
+    ship_package(messages.sparkSession)
     return messages.groupBy("conversation_id").applyInPandasWithState(count, "conversation_id string, turns long, due boolean", "turns long", "update", GroupStateTimeout.NoTimeout)
 
 
