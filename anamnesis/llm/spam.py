@@ -47,7 +47,7 @@ URL = re.compile(r"(?:h(?:tt|xx)ps?://|www\.)[^\s)\]>\"'|]+|\b[a-z0-9][a-z0-9\-]
 _LINKED = re.compile(r"\[([^\]]*)\]\(([^)\s]*)\)|<a [^>]*>(.*?)</a>", re.I)
 _LOG = re.compile(r"^\W*\d{4}-\d\d-\d\d[T ]\d\d|^\W*(?:INFO|WARN|ERROR|DEBUG)\b")
 _TALK = re.compile(r"^\W*(?:user|assistant|system|tool|human|ai|bot|q|a|用户|助手)\W*[:：>]", re.I)
-_CODE = re.compile(r"^\s*(?:def |class |import |from \w+ import|return\b|for .*:$|if .*:$|else:|elif |try:|except|while .*:$|with .*:$|@\w|#include|function |const |let |var |public |private |\}|\{|//|\$ |>>> |SELECT |INSERT )|[;{}]\s*$|^\s*[\w.]+\(.*\)\s*$|^\s*\w+(?:\[\w*\])? ?[+\-*]?= ?\S")
+_CODE = re.compile(r"^\s*(?:def |class |import |from \w+ import|return\b|for .*:$|if .*:$|else:|elif |try:|except|while .*:$|with .*:$|@\w|#include|function |const |let |var |public |private |\}|\{|//|\$ |>>> |SELECT |INSERT )|[;{}]\s*$|^\s*[\w.]+\((?!\d+\)\W+\S)[^()]*(?:\([^()]*\)[^()]*)*\)\s*$|^\s*\w+(?:\[\w*\])? ?[+\-*]?= ?\S")
 _DATA = re.compile(r"^\s*[\[\]{}\"]|^\s*\"?[\w\-]+\"?\s*: ?\S+\s*,?$|^\s*---")
 _SETTING = re.compile(r"^\W*`[^`]+`|^\s*[\w.\-]+ ?= ?\S+\s*$")
 _CELLS = re.compile(r"\t| ?\| ?")
@@ -60,11 +60,12 @@ FEATURES = ["bad_share", "link_share", "loose_share", "prose_share", "structure_
 
 
 def visible_length(text: str) -> int:
-    return len(text) - sum(map(len, re.findall(r"\s+", text)))
+    return sum(map(len, text.split()))
 
 
 def page_features(text: str | None) -> list[float]:
     """The feature values (in the order of FEATURES) of a page; a blank page has only zeros."""
+    text = (text or "").replace("\ufeff", "").replace("\u200b", "")
     if not text or text.isspace():
         return [0.0] * len(FEATURES)
     prose = structure = link = loose = 0
@@ -85,7 +86,7 @@ def page_features(text: str | None) -> list[float]:
         if fenced or _LOG.match(bare) or _TALK.match(bare):
             structure += size
             continue
-        urls = URL.findall(line)
+        urls = URL.findall(line) if "/" in line or "www." in line.lower() else []
         if urls:
             rest = _LINKED.sub(lambda m: " " + (m[1] or m[3] or "") + " ", line)
             words = len(_TOKEN.findall(URL.sub(" ", rest)))
@@ -100,17 +101,17 @@ def page_features(text: str | None) -> list[float]:
         if len(cells) >= 3 and sum(any(ch.isdigit() for ch in c) and len(c.split()) == 1 for c in cells) >= 0.4 * len(cells) or set(bare) <= set("|-: +="):
             structure += size
             continue
-        for piece in _SPLIT.split(URL.sub(" ", line)):
+        for piece in _SPLIT.split(URL.sub(" ", line) if urls else line):
             shown = visible_length(piece)
             if not shown:
                 continue
             tokens = _TOKEN.findall(piece.lower())
             counts.update(tokens)
             n_tokens += len(tokens)
-            glue = sum(t in GLUE for t in tokens)
+            glue = sum(map(GLUE.__contains__, tokens))
             n_glue += glue
-            n_shop += sum(t in SHOP for t in tokens)
-            han = len(_HAN.findall(piece))
+            n_shop += sum(map(SHOP.__contains__, tokens))
+            han = 0 if piece.isascii() else len(_HAN.findall(piece))
             # Chinese keywords stand in lists without the characters that hold sentences together.
             good = len(_HAN_GLUE.findall(piece)) >= 0.04 * han if han >= 4 else glue >= max(1, 0.08 * len(tokens))
             if good:
