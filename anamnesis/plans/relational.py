@@ -430,7 +430,7 @@ def o4_tier_top(spark, d):
     """Newest 20, 10 and 5 of the tiers; the ranks of each tier are cut early in every task."""
     s = sums(spark, d).groupBy("summary_id", "memory_tier").agg(F.max("created_at").alias("created_at"))
     w = Window.partitionBy("memory_tier").orderBy(F.desc("created_at"), "summary_id")
-    return s.withColumn("place", F.row_number().over(w)).where("place <= 20").where("place <= CASE memory_tier WHEN 'working' THEN 20 WHEN 'episodic' THEN 10 ELSE 5 END").select("summary_id", "memory_tier", "place")
+    return s.withColumn("place", F.row_number().over(w).cast("bigint")).where("place <= 20").where("place <= CASE memory_tier WHEN 'working' THEN 20 WHEN 'episodic' THEN 10 ELSE 5 END").select("summary_id", "memory_tier", "place")
 
 
 @query(f"WITH {N} SELECT note_id, CASE category WHEN 'decision' THEN 0 WHEN 'constraint' THEN 1 WHEN 'preference' THEN 2 ELSE 3 END AS priority FROM n WHERE superseded_by IS NULL ORDER BY priority, confidence DESC NULLS LAST, note_id LIMIT 50")

@@ -39,7 +39,7 @@ MT = M + ", t AS (SELECT *, epoch_us(created_at) us FROM m WHERE conversation_id
 def w1_fresh_tail(spark, d):
     """The last 32 messages; every task cuts its groups to 32 rows before the shuffle."""
     w = Window.partitionBy("conversation_id").orderBy(F.desc("us"), F.desc("ingest_no"))
-    return timed(spark, d).withColumn("place", F.row_number().over(w)).where("place <= 32").select("conversation_id", "message_id", "place")
+    return timed(spark, d).withColumn("place", F.row_number().over(w).cast("bigint")).where("place <= 32").select("conversation_id", "message_id", "place")
 
 
 @query(f"WITH {N}, r AS (SELECT note_id, conversation_id, sum(coalesce(length(content), 0) // 4 + 10) OVER (PARTITION BY conversation_id ORDER BY coalesce(category, ''), ingest_no) used FROM n WHERE superseded_by IS NULL AND conversation_id IS NOT NULL) SELECT note_id, used::BIGINT AS used FROM r WHERE used <= 500")
