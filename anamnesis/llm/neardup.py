@@ -123,7 +123,8 @@ class Signer:
                 index[w] = len(index)
                 fresh.append(xxhash.xxh64_intdigest(w.encode()))
         if fresh:
-            made = word_arrivals(np.array(fresh, np.uint64), np.ones(len(fresh), np.int64), self.horizon, self.m)
+            # In blocks, as a word draws some hundred points.
+            made = np.concatenate([word_arrivals(np.array(fresh[i : i + 1024], np.uint64), np.ones(len(fresh[i : i + 1024]), np.int64), self.horizon, self.m) for i in range(0, len(fresh), 1024)])
             self.hashes += fresh
             if len(index) > len(self.table):
                 grown = np.empty((max(2 * len(self.table), len(index), 4096), self.m), np.float32)
