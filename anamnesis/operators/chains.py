@@ -66,9 +66,9 @@ def neighbours(df: DataFrame, group: str, item: str) -> DataFrame:
     ranged = cut(df.select(group, item).repartitionByRange(F.col(group), F.col(item)).withColumn("chunk", F.spark_partition_id()))
     inside, chain = Window.partitionBy(group, "chunk").orderBy(item), Window.partitionBy(group).orderBy("chunk")
     edges = ranged.groupBy(group, "chunk").agg(F.min(item).alias("lo"), F.max(item).alias("hi"))
-    edges = edges.select(group, "chunk", F.lag("hi").over(chain).alias("before"), F.lead("lo").over(chain).alias("after"))
+    edges = edges.select(F.col(group).alias("_g"), F.col("chunk").alias("_c"), F.lag("hi").over(chain).alias("before"), F.lead("lo").over(chain).alias("after"))
     return (
         ranged.withColumn("p", F.lag(item).over(inside)).withColumn("n", F.lead(item).over(inside))
-        .join(edges, [group, "chunk"])
+        .join(edges, F.col(group).eqNullSafe(F.col("_g")) & (F.col("chunk") == F.col("_c")))
         .select(group, item, F.coalesce("p", "before").alias("prev"), F.coalesce("n", "after").alias("next"))
     )

@@ -18,14 +18,15 @@ def running_sums(df: DataFrame, group: str, order: list[str], values: dict[str,
 
     Sums run within a chunk; the totals of the chunks before come from one row
     per group and chunk.  Ties of the order get their sums in any order, so the
-    order should be total.
+    order should be total.  A null group is a group like any other.
     """
     rows = chunked(df, group, order)
     inside = Window.partitionBy(group, "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(group).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(group, "chunk").agg(*[F.sum(v).alias(f"_t_{k}") for k, v in values.items()])
-    totals = totals.select(group, "chunk", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in values])
-    summed = rows.select("*", *[F.sum(v).over(inside).alias(f"_i_{k}") for k, v in values.items()]).join(totals, [group, "chunk"])
+    totals = totals.select(F.col(group).alias("_g"), F.col("chunk").alias("_c"), *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in values])
+    summed = rows.select("*", *[F.sum(v).over(inside).alias(f"_i_{k}") for k, v in values.items()])
+    summed = summed.join(totals, F.col(group).eqNullSafe(F.col("_g")) & (F.col("chunk") == F.col("_c"))).drop("_g", "_c")
     for k in values:
         summed = summed.withColumn(k, F.coalesce(F.col(f"_i_{k}"), F.lit(0)) + F.col(f"_b_{k}"))
     return summed.drop("chunk", *[f"_{x}_{k}" for k in values for x in "bi"])

@@ -60,6 +60,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that :func:`cut` has written in this application; frames that read them can't be used after."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.listStatus(path) if fs.exists(path) else []:
+            if status.getPath().getName().startswith("table-"):
+                fs.delete(status.getPath(), True)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -34,8 +34,10 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A parquet table (a file or a folder) as a stream of its files."""
     path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{sf_dir}/{name}*.parquet")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 100)
+    if _is_folder(spark, path):
+        return reader.option("pathGlobFilter", "*.parquet").parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

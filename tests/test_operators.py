@@ -27,6 +27,13 @@ def test_running_sums_and_ranks_of_a_hot_group(spark):
     assert sums[14] == 0 + 7 + 14
 
 
+def test_null_groups_and_empty_frames(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 5)], "g string, x int")
+    assert {(r["g"], r["x"], r["rank"]) for r in ranked(df, "g", ["x"]).collect()} == {(None, 1, 1), (None, 2, 2), ("a", 5, 1)}
+    assert {(r["g"], r["x"], r["next"]) for r in neighbours(df, "g", "x").collect()} == {(None, 1, 2), (None, 2, None), ("a", 5, None)}
+    assert ranked(df.limit(0), "g", ["x"]).count() == 0 and neighbours(df.limit(0), "g", "x").count() == 0
+
+
 def test_neighbours(spark):
     df = spark.createDataFrame([("a", 1), ("a", 3), ("a", 2), ("b", 9)], "g string, x int")
     assert rows(neighbours(df, "g", "x").fillna(-1)) == [("a", 1, -1, 2), ("a", 2, 1, 3), ("a", 3, 2, -1), ("b", 9, -1, -1)]
