@@ -12,14 +12,15 @@ bag of its size has nearly surely filled all registers; the few bags that have
 not are drawn again with twice the horizon.
 
 Bands of registers make the keys.  Keys go in packed columns by band (key bits,
-number, mass, and one bit of each further register), 22 bytes a key instead of a
-row.  Records that meet in a band are candidates if their masses allow the
-similarity and their register bits agree as often as they should (3.5 standard
-deviations are given); candidates are verified on the exact bags.
+number, mass, and the parities of the words dealt to 128 bits), 22 bytes a key
+instead of a row.  Records that meet in a band are candidates if their masses and
+parities allow the similarity: two bags differ in at least as many words as
+parities, so no similar pair is dropped here.  Candidates are verified on the
+exact bags.
 
 Scale: exact copies (equal bags) are one class before signatures are made, so a
 text that makes up a third of all rows is signed and compared once.  The shuffle
-is 24 short keys a class (30 times more classes add a register to each key), the number of key ranges follows the number of
+is 37 short keys a class (30 times more classes add a register to each key), the number of key ranges follows the number of
 classes, and only candidate pairs meet their words again.  A key shared by many
 different classes is worked off in order of mass with the length filter, one
 distance after the other, never held as a full square.
@@ -39,9 +40,9 @@ from pyspark.sql import functions as F
 
 from anamnesis.session import cut, ship_package
 
-#: Chance that a pair exactly at the threshold meets in no band; pairs above it are missed less (at 0.75 instead of 0.7: 0.0001).
-MISS = 0.0015
-#: Further registers of which one bit each goes along with every key, to drop pairs that meet by chance.
+#: Chance that a pair exactly at the threshold meets in no band; pairs above it are missed less (at 0.75 instead of 0.7: 0.000001).
+MISS = 0.00005
+#: Bits of word parities that go along with every key, to drop pairs that meet by chance.
 BITS = 128
 #: Classes whose keys of one band are joined in one task; key bits beyond the range are 32, so chance meetings stay few at any size.
 CLASSES_A_TASK = 100_000
@@ -154,16 +155,23 @@ class Signer:
                 horizon *= 2
         return out
 
+    def parities(self, words: list[str], weights: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """BITS bits of each bag; a word of odd weight turns over the bit that its hash names."""
+        rows = self.rows(words)
+        bit = (_mix(np.array(self.hashes, np.uint64) ^ np.uint64(0x8EBC6AF09C88C6E3)) % np.uint64(BITS))[rows]
+        turned = np.zeros((len(bit), BITS // 64), np.uint64)
+        turned[np.arange(len(bit)), (bit // np.uint64(64)).astype(np.int64)] = (weights & 1).astype(np.uint64) << (bit % np.uint64(64))
+        return np.bitwise_xor.reduceat(turned, np.r_[0, ends[:-1]].astype(np.int64), axis=0)
+
 
-def band_keys(signature: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """One 64-bit key per band of each signature, and the bits of the registers beyond the bands."""
+def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One 64-bit key per band of each signature."""
     bits = np.ascontiguousarray(signature).view(np.uint32).astype(np.uint64)
-    banded = bits[:, : bands * rows].reshape(len(bits), bands, rows)
+    banded = bits.reshape(len(bits), bands, rows)
     key = np.broadcast_to(np.arange(bands, dtype=np.uint64), banded.shape[:2]).copy()
     for r in range(rows):
         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + banded[:, :, r])
-    rest = (_mix(bits[:, bands * rows :]) & np.uint64(1)).reshape(len(bits), -1, 64) << np.arange(64, dtype=np.uint64)
-    return key, rest.sum(axis=2, dtype=np.uint64)
+    return key
 
 
 def band_shape(n_classes: int, least: float) -> tuple[int, int]:
@@ -173,8 +181,13 @@ def band_shape(n_classes: int, least: float) -> tuple[int, int]:
     return math.ceil(math.log(MISS) / math.log(1 - least**rows)), rows
 
 
+def too_far(bits_a: np.ndarray, bits_b: np.ndarray, mass: np.ndarray, least: float) -> np.ndarray:
+    """Whether parities differ more often than bags of this similarity and sum of masses can: (1 - least) / (1 + least) of it."""
+    return np.bitwise_count(bits_a ^ bits_b).sum(axis=1) * (1 + least) > mass * (1 - least) + 1e-9
+
+
 def _pack(key: np.ndarray, no: np.ndarray, size: np.ndarray, bits: np.ndarray) -> bytes:
-    """Columns of records in order of number: differences of numbers and sizes (compressed), 32 key bits, register bits."""
+    """Columns of records in order of number: differences of numbers and sizes (compressed), 32 key bits, parities."""
     order = np.argsort(no, kind="stable")
     head = np.diff(no[order], prepend=0).astype("<i8").tobytes() + size[order].astype("<i4").tobytes()
     packed = zstandard.ZstdCompressor(level=1).compress(head)
@@ -190,13 +203,14 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 def _sign(bands: int, rows: int, ranges: int, least_mass: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(bands * rows + BITS, least_mass)
+        signer = Signer(bands * rows, least_mass)
         tbl, no, words, weights, ends = [], [], [], [], []
 
         def flush():
             number, end, weight = np.array(no, np.int64), np.array(ends, np.int64), np.array(weights, np.int64)
             mass = np.add.reduceat(weight, np.r_[0, end[:-1]])
-            keys, bits = band_keys(signer.sign(words, weight, end), bands, rows)
+            keys = band_keys(signer.sign(words, weight, end), bands, rows)
+            bits = signer.parities(words, weight, end)  # of words that are known by now
             tables, out = np.array(tbl), []
             for t in np.unique(tables):
                 own = np.flatnonzero(tables == t)
@@ -229,9 +243,7 @@ def _sign(bands: int, rows: int, ranges: int, least_mass: int):
 
 
 def _collide(least: float):
-    """Candidate pairs of one part: equal keys, masses that allow the similarity, enough equal register bits."""
-    p = (1 + least) / 2
-    apart = BITS - math.floor(BITS * p - 3.5 * math.sqrt(BITS * p * (1 - p)))
+    """Candidate pairs of one part: equal keys, masses and parities that allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tbl, loaded = None, []
@@ -248,7 +260,7 @@ def _collide(least: float):
         while len(at):
             at = at[at + step < len(key)]
             at = at[(key[at] == key[at + step]) & (mass[at + step] * least <= mass[at] + 1e-9)]
-            near = at[np.bitwise_count(bits[at] ^ bits[at + step]).sum(axis=1) <= apart]
+            near = at[~too_far(bits[at], bits[at + step], mass[at].astype(np.int64) + mass[at + step], least)]
             if len(near):
                 a, b = no[near], no[near + step]
                 yield pa.RecordBatch.from_arrays([pa.array([tbl] * len(a), pa.string()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["tbl", "no_a", "no_b"])

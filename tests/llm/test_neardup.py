@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from anamnesis.llm.neardup import Signer, band_shape, near_duplicates
+from anamnesis.llm.neardup import Signer, band_shape, near_duplicates, too_far
 
 MESSAGE = "message_id string, content string, ingest_no bigint, tbl string, no int"
 NOTE = "note_id string, content string, ingest_no bigint, bag string"
@@ -82,3 +82,29 @@ def test_recall_of_the_bands():
         bands, rows = band_shape(n, 0.7)
         assert (1 - 0.7**rows) ** bands < 0.0016
     assert band_shape(10**6, 0.7)[1] < band_shape(10**9, 0.7)[1]
+
+
+def test_few_pairs_at_the_threshold_are_lost_by_the_bands():
+    for n in (1, 10**6, 10**8, 10**11):
+        bands, rows = band_shape(n, 0.7)
+        assert (1 - 0.7**rows) ** bands < 0.0001
+
+
+def test_no_pair_at_the_threshold_is_lost_by_the_parities():
+    signer = Signer(8, 1)
+    for n in (14, 70, 700):
+        bags = []
+        for k in range(40):
+            both = [f"{n}s{k}x{i}" for i in range(n)]
+            bags += [both + [f"{n}{side}{k}x{i}" for i in range(n * 3 // 14)] for side in "ab"]
+        ones = np.ones(sum(map(len, bags)), np.int64)
+        flat, ends = [w for b in bags for w in b], np.cumsum([len(b) for b in bags])
+        bits = signer.parities(flat, ones, ends)
+        mass = np.full(40, 2 * (n + n * 3 // 14))
+        assert not too_far(bits[::2], bits[1::2], mass, 0.7).any()
+        if n == 14:  # texts without common words are dropped
+            assert too_far(bits[:-2:2], bits[3::2], mass[1:], 0.7).mean() > 0.95
+    heavy = [(["a", "b"], [3, 20]), (["a", "b"], [4, 20])]
+    flat, weights = [w for b, _ in heavy for w in b], np.array([x for _, ws in heavy for x in ws])
+    bits = signer.parities(flat, weights, np.array([2, 4]))
+    assert np.bitwise_count(bits[0] ^ bits[1]).sum() == 1
