@@ -82,6 +82,17 @@ def greedy_removal(pairs: DataFrame, items: DataFrame) -> DataFrame:
     return edges.groupBy("grp").applyInPandas(resolve, "grp string, id string")
 
 
+def alike_removed(items: DataFrame, num: int, den: int, least_terms: int) -> DataFrame:
+    """Ids that a greedy pass over each group removes, of items (grp, id, terms, score, place, exempt).
+
+    Exempt items and those with fewer terms than the least take no part; terms carry their group,
+    so that only items of one group are compared.
+    """
+    taking = cut(items.where(~F.col("exempt") & (F.size("terms") >= least_terms)).withColumn("terms", F.expr("transform(terms, t -> concat_ws('\n', grp, t))")))
+    pairs = cut(cosine_pairs(taking.select("id", "terms"), num, den))
+    return greedy_removal(pairs.join(taking.select(F.col("id").alias("id_a"), "grp"), "id_a").select("grp", "id_a", "id_b"), taking).select("id")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """id, root: the smallest id that each item is linked with, by rounds of halving distances (hash-to-min)."""
     edges = cut(pairs.select("id_a", "id_b").union(pairs.select("id_b", "id_a")).toDF("a", "b").distinct())

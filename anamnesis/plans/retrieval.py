@@ -9,6 +9,7 @@ from anamnesis.functions import scoring as S
 from anamnesis.functions import text as T
 from anamnesis.operators import search as R
 from anamnesis.operators import similarity as X
+from anamnesis.operators.ordered import ranked
 from anamnesis.plans.relational import M, SU, msgs, sums
 from anamnesis.plans.scalar import CLASS, DECAY, NOW, SIGNALS, TERMS_FULL, TERMS_PAIRS
 from anamnesis.session import cut, micros, table
@@ -190,7 +191,19 @@ def u3_jaccard_pairs(spark, d):
 
 @query()
 def t2_deduplicate(spark, d):
-    """Notes that a greedy pass removes: above 0.82, the lower score goes."""
+    """Messages (last deliveries, by conversation) and notes that a greedy pass removes: above 0.82, the lower score goes.
+
+    Exempt messages and those of fewer than 3 terms stay; ties go to the earlier message.
+    """
+    m = msgs(spark, d).where("content IS NOT NULL")
+    m = m.select("conversation_id", "message_id", "ingest_no", "content", F.coalesce(micros(m, "created_at"), F.lit(2**63 - 1)).alias("us"))
+    scored = ranked(m, "conversation_id", ["us", "ingest_no"]).join(t1_score_and_tag(spark, d).select("ingest_no", "class", "final"), "ingest_no")
+    items = scored.select(F.coalesce("conversation_id", F.lit("")).alias("grp"), F.col("message_id").alias("id"), T.terms_pairs(F.col("content")).alias("terms"), F.col("final").alias("score"), F.col("rank").alias("place"), S.exempt(F.col("class")).alias("exempt"))
+    return X.alike_removed(items, 82, 100, 3).unionByName(duplicate_notes(spark, d))
+
+
+def duplicate_notes(spark, d):
+    """Notes that a greedy pass over all of them removes, by signals and id."""
     texts = cut(note_texts(spark, d))
     pairs = X.cosine_pairs(texts.select("id", "terms"), 82, 100)
     groups = X.components(pairs)

@@ -1,5 +1,7 @@
 """Small cases of the ordered, similarity and search operators."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from anamnesis.operators.chains import chain_roots, neighbours
 from anamnesis.operators.ordered import ranked, running_sums
 from anamnesis.operators.segments import capped_episodes
 
+SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def rows(df):
     return sorted(tuple(r) for r in df.collect())
@@ -108,6 +112,23 @@ def test_capped_episodes_start_again(spark):
     assert [got[f"m{i}"] for i in range(6)] == [0, 1, 1, 2, 2, 3]
 
 
+def test_deduplicated_messages(spark):
+    same = ["a", "b", "c", "d"]
+    data = [("c", "low", same, 1.0, 1, False), ("c", "high", same, 2.0, 2, False), ("c", "tie", same, 2.0, 3, False), ("c", "exempt", same, 0.0, 4, True), ("c", "s1", ["x", "y"], 1.0, 5, False), ("c", "s2", ["x", "y"], 1.0, 6, False), ("d", "other", same, 0.0, 1, False)]
+    items = spark.createDataFrame(data, "grp string, id string, terms array<string>, score double, place int, exempt boolean")
+    assert rows(X.alike_removed(items, 82, 100, 3)) == [("low",), ("tie",)]
+
+
+def test_messages_are_deduplicated(spark):
+    from anamnesis.plans import registry
+    from anamnesis.plans.relational import msgs
+
+    if not os.path.isdir(SMALL):
+        pytest.skip("no test tables")
+    gone = registry.queries()["t2_deduplicate"](spark, SMALL)
+    assert gone.join(msgs(spark, SMALL), gone["id"] == F.col("message_id"), "left_semi").count() > 0
+
+
 def test_greedy_choice_prefers_difference(spark):
     c = spark.createDataFrame([("q", "a", 1.0, "xxxx"), ("q", "b", 0.9, "xxxx"), ("q", "c", 0.8, "yzuv"), ("q", "d", 0.1, None)], "query string, id string, score double, content string")
     assert [r["id"] for r in R.diversify(c, 0.5, 2).orderBy("place").collect()] == ["a", "c"]
