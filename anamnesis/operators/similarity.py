@@ -93,6 +93,38 @@ def alike_removed(items: DataFrame, num: int, den: int, least_terms: int) -> Dat
     return greedy_removal(pairs.join(taking.select(F.col("id").alias("id_a"), "grp"), "id_a").select("grp", "id_a", "id_b"), taking).select("id")
 
 
+def first_and_repeats(items: DataFrame, num: int, den: int) -> DataFrame:
+    """id, grp, repeat_count of the items (grp, id, terms, place) that stay: an item that is alike (Jaccard above num/den)
+    to one that stays counts as a repeat of the first such one of its group.
+
+    Equal term sets are one class before they are compared: the later ones go where the first goes.
+    Items without terms are like nothing.  grp must not be null, place is unique within grp.
+    """
+    ship_package(items.sparkSession)
+    sets = items.withColumn("key", F.array_sort(F.array_distinct("terms")))
+    bare = sets.where(F.size("key") == 0).select("id", "grp", F.lit(1).cast("bigint").alias("repeat_count"))
+    classes = cut(sets.where(F.size("key") > 0).groupBy("grp", "key").agg(F.min(F.struct("place", "id")).alias("first"), F.count(F.lit(1)).alias("n")).select("grp", "first.id", "first.place", "n", F.expr("transform(key, t -> concat_ws('\n', grp, t))").alias("terms")))
+    pairs = cut(jaccard_pairs(classes.select("id", "terms"), num, den, strict=True).select("id_a", "id_b"))
+    side = lambda s: classes.select(F.col("id").alias(f"id_{s}"), F.col("place").alias(f"p_{s}"), F.col("n").alias(f"n_{s}"))
+    edges = pairs.join(components(pairs).toDF("id_a", "root"), "id_a").join(side("a"), "id_a").join(side("b"), "id_b")
+
+    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+        place, n, near = {}, {}, {}
+        for r in pdf.itertuples():
+            place[r.id_a], place[r.id_b], n[r.id_a], n[r.id_b] = r.p_a, r.p_b, r.n_a, r.n_b
+            near.setdefault(r.id_a, []).append(r.id_b)
+            near.setdefault(r.id_b, []).append(r.id_a)
+        count: dict = {}
+        for i in sorted(place, key=place.get):
+            first = min((j for j in near[i] if j in count), key=place.get, default=i)
+            count[first] = count.get(first, 0) + n[i]
+        return pd.DataFrame({"id": list(place), "stays": [count.get(i, 0) for i in place]})
+
+    told = edges.groupBy("root").applyInPandas(resolve, "id string, stays bigint")
+    stay = classes.join(told, "id", "left").select("id", "grp", F.coalesce("stays", "n").alias("repeat_count")).where("repeat_count > 0")
+    return stay.unionByName(bare)
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """id, root: the smallest id that each item is linked with, by rounds of halving distances (hash-to-min)."""
     edges = cut(pairs.select("id_a", "id_b").union(pairs.select("id_b", "id_a")).toDF("a", "b").distinct())

@@ -10,6 +10,7 @@ from anamnesis.functions import text as T
 from anamnesis.operators import search as R
 from anamnesis.operators import similarity as X
 from anamnesis.operators.ordered import ranked
+from anamnesis.operators.segments import is_user
 from anamnesis.plans.relational import M, SU, msgs, sums
 from anamnesis.plans.scalar import CLASS, DECAY, NOW, SIGNALS, TERMS_FULL, TERMS_PAIRS
 from anamnesis.session import cut, micros, table
@@ -233,3 +234,16 @@ def t6_tool_repeats(spark, d):
     return X.jaccard_pairs(m.select(F.col("message_id").alias("id"), F.regexp_extract_all("content", F.lit("[a-z]+"), F.lit(0)).alias("terms")), 4, 5, strict=True).select("id_a", "id_b")
 
 
+
+
+@query()
+def t6_role_repeats(spark, d):
+    """Messages of every role but user and assistant (under any of their names), each with the number of its repeats:
+    the first of those whose words between white space are alike above 0.8 stays.
+
+    ``t6_tool_repeats`` gives only pairs of one role, as its SQL does.  Without a role it is 'unknown'.
+    """
+    role = F.coalesce(F.lower(F.trim("role")), F.lit("unknown"))
+    m = msgs(spark, d).where(~is_user(F.col("role")) & ~role.isin("assistant", "ai", "model", "bot", "助手"))
+    items = m.select(role.alias("grp"), F.col("message_id").alias("id"), F.coalesce(T.blank_words(F.col("content")), F.array().cast("array<string>")).alias("terms"), F.col("ingest_no").alias("place"))
+    return X.first_and_repeats(items, 4, 5).select("id", F.col("grp").alias("role"), "repeat_count")

@@ -129,6 +129,21 @@ def test_messages_are_deduplicated(spark):
     assert gone.join(msgs(spark, SMALL), gone["id"] == F.col("message_id"), "left_semi").count() > 0
 
 
+def test_first_and_repeats_against_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    data = [(g, f"{g}{i:02}", rng.choices("abcdefg", k=rng.randrange(0, 9)), i) for g in ("tool", "system") for i in range(60)]
+    data += [("tool", "beat1", "heartbeat zesobox 3793 ms".split(), 98), ("tool", "beat2", "heartbeat zesobox 7635 ms".split(), 99)]
+    want = {}
+    for g, i, terms, _ in data:
+        kept = [k for k in want if k[0] == g and set(terms) and 5 * len(k[2] & set(terms)) > 4 * len(k[2] | set(terms))]
+        key = kept[0] if kept else (g, i, frozenset(terms))
+        want[key] = want.get(key, 0) + 1
+    got = X.first_and_repeats(spark.createDataFrame(data, "grp string, id string, terms array<string>, place int"), 4, 5)
+    assert {(r["grp"], r["id"]): r["repeat_count"] for r in got.collect()} == {k[:2]: n for k, n in want.items()}
+
+
 def test_greedy_choice_prefers_difference(spark):
     c = spark.createDataFrame([("q", "a", 1.0, "xxxx"), ("q", "b", 0.9, "xxxx"), ("q", "c", 0.8, "yzuv"), ("q", "d", 0.1, None)], "query string, id string, score double, content string")
     assert [r["id"] for r in R.diversify(c, 0.5, 2).orderBy("place").collect()] == ["a", "c"]
