@@ -57,19 +57,30 @@ def episodes(messages: DataFrame, gap_us: int = HOUR, least_chars: int = 20) ->
     return running_sums(flagged, "conversation_id", ["us", "ingest_no"], {"episode_no": "begins"}).select("conversation_id", "message_id", "us", "ingest_no", "episode_no")
 
 
-def capped_episodes(rows: DataFrame, cap: int) -> DataFrame:
+def capped_episodes(rows: DataFrame, cap: int, first_counts: bool = True) -> DataFrame:
     """Split episodes whose tokens pass a cap; ``rows``: conversation_id, episode_no, us, ingest_no, message_id, tokens.
 
     An episode is folded in order by a counter that starts again at every cut,
     as the message at which it is cut doesn't count.  Episodes are cut by the
-    hour gap before, which bounds what one fold holds.
+    hour gap before, which bounds what one fold holds.  Without ``first_counts``
+    the message that begins an episode doesn't count either.
     """
     item = F.struct("us", "ingest_no", "message_id", F.col("tokens").cast("bigint").alias("tokens"))
     folded = rows.groupBy("conversation_id", "episode_no").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("part"), F.array().cast("array<struct<message_id:string,part:int>>").alias("out"))
+    begin = F.lit(0) if first_counts else -F.element_at("items", 1)["tokens"]
+    start = F.struct(begin.cast("bigint").alias("sum"), F.lit(0).alias("part"), F.array().cast("array<struct<message_id:string,part:int>>").alias("out"))
     step = lambda a, x: F.when(
         a["sum"] + x["tokens"] > cap,
         F.struct(F.lit(0).cast("bigint").alias("sum"), (a["part"] + 1).alias("part"), F.array_append(a["out"], F.struct(x["message_id"].alias("message_id"), (a["part"] + 1).alias("part"))).alias("out")),
     ).otherwise(F.struct((a["sum"] + x["tokens"]).alias("sum"), a["part"].alias("part"), F.array_append(a["out"], F.struct(x["message_id"].alias("message_id"), a["part"].alias("part"))).alias("out")))
     done = folded.select("conversation_id", "episode_no", F.explode(F.aggregate("items", start, step, lambda a: a["out"])).alias("o"))
     return done.select("conversation_id", "episode_no", "o.message_id", "o.part")
+
+
+def merged_episodes(parts: DataFrame, least: int) -> DataFrame:
+    """message_id, conversation_id, merged_no of parts (conversation_id, episode_no, part, message_id, tokens): one of
+    fewer tokens than the least belongs to what is before it; the first of a conversation has nothing before it."""
+    sizes = parts.groupBy("conversation_id", "episode_no", "part").agg(F.sum("tokens").alias("size"))
+    begins = ((F.col("size") >= least) & ~((F.col("episode_no") == 0) & (F.col("part") == 0))).cast("bigint")
+    numbers = running_sums(sizes.withColumn("begins", begins), "conversation_id", ["episode_no", "part"], {"merged_no": "begins"})
+    return parts.join(numbers.select("conversation_id", "episode_no", "part", "merged_no"), ["conversation_id", "episode_no", "part"]).select("message_id", "conversation_id", "merged_no")

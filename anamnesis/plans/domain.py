@@ -12,7 +12,7 @@ from anamnesis.operators.ordered import ranked, running_sums
 from anamnesis.plans.relational import M, N, SM, SP, SU, TOK, leaves, msgs, notes, parents, sums, tok
 from anamnesis.plans.scalar import CLASS, HOURS, NOW, SIGNALS, q
 from anamnesis.plans.windows import MT, T19_SQL, timed
-from anamnesis.operators.segments import capped_episodes, episodes, task_sessions
+from anamnesis.operators.segments import capped_episodes, episodes, merged_episodes, task_sessions
 from anamnesis.session import cut, micros, table
 
 QUERIES: dict = {}
@@ -121,6 +121,15 @@ def t4_capped_episodes(spark, d):
     return capped_episodes(e, 200).select("message_id", "episode_no", "part")
 
 
+@query()
+def t4_merged_episodes(spark, d):
+    """The whole segmentation: episodes, cut where they pass 20,000 tokens, those of fewer than 500 merged into the one before."""
+    m = timed(spark, d)
+    e = cut(episodes(m).join(m.select("message_id", tok().alias("tokens")), "message_id"))
+    parts = cut(capped_episodes(e, 20_000, first_counts=False).join(e.select("message_id", "tokens"), "message_id"))
+    return merged_episodes(parts, 500).select("message_id", "merged_no")
+
+
 @query(f"WITH {MT}, u AS (SELECT conversation_id, sum({TOK}) tk FROM t GROUP BY 1) SELECT conversation_id, CASE WHEN least(tk / 3000.0::DOUBLE, 1.0::DOUBLE) < 0.6 THEN 'none' WHEN least(tk / 3000.0::DOUBLE, 1.0::DOUBLE) < 0.75 THEN 'light' ELSE 'aggressive' END AS strategy, tk::BIGINT AS tokens FROM u")
 def t12_compress_decision(spark, d):
     u = timed(spark, d).groupBy("conversation_id").agg(F.sum(tok()).alias("tokens"))

@@ -12,7 +12,7 @@ from anamnesis.operators import search as R
 from anamnesis.operators import similarity as X
 from anamnesis.operators.chains import chain_roots, neighbours
 from anamnesis.operators.ordered import ranked, running_sums
-from anamnesis.operators.segments import capped_episodes
+from anamnesis.operators.segments import capped_episodes, merged_episodes
 
 SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -144,6 +144,20 @@ def test_first_and_repeats_against_a_plain_loop(spark):
     assert {(r["grp"], r["id"]): r["repeat_count"] for r in got.collect()} == {k[:2]: n for k, n in want.items()}
 
 
+def test_short_episodes_join_the_one_before(spark):
+    data = [("c", 0, 0, "a", 30), ("c", 1, 0, "b", 40), ("c", 2, 0, "d", 60), ("c", 2, 0, "e", 50), ("c", 2, 1, "f", 20), ("c", 3, 0, "g", 100), ("d", 0, 0, "h", 500), ("d", 1, 0, "i", 99)]
+    df = spark.createDataFrame(data, "conversation_id string, episode_no int, part int, message_id string, tokens int")
+    got = {r["message_id"]: r["merged_no"] for r in merged_episodes(df, 100).collect()}
+    assert got == {"a": 0, "b": 0, "d": 1, "e": 1, "f": 1, "g": 2, "h": 0, "i": 0}
+
+
+def test_a_cap_without_the_first_message(spark):
+    data = [("c", 0, i, i, f"m{i}", 60) for i in range(6)]
+    df = spark.createDataFrame(data, "conversation_id string, episode_no int, us long, ingest_no long, message_id string, tokens int")
+    got = {r["message_id"]: r["part"] for r in capped_episodes(df, 100, first_counts=False).collect()}
+    assert [got[f"m{i}"] for i in range(6)] == [0, 0, 1, 1, 2, 2]
+
+
 def test_greedy_choice_prefers_difference(spark):
     c = spark.createDataFrame([("q", "a", 1.0, "xxxx"), ("q", "b", 0.9, "xxxx"), ("q", "c", 0.8, "yzuv"), ("q", "d", 0.1, None)], "query string, id string, score double, content string")
     assert [r["id"] for r in R.diversify(c, 0.5, 2).orderBy("place").collect()] == ["a", "c"]
