@@ -1,12 +1,18 @@
 """Keyword-stuffed pages and link lists: bagged decision trees on content and link features, smoothed by host.
 
-1. Each text is cut into segments, and each segment is prose, structure (code,
-   logs, tables, dialogue, data) or neither; the characters of links with short
-   texts, repeated keywords and tags are counted, with other content features.
-2. Weak labels come from those shares where they leave no doubt; a bounded
-   sample of labelled pages (``SAMPLE`` rows) trains bagged trees.
-3. The trees' vote on every page is moved towards the rate of its host, so that
-   a doubtful page follows its surroundings and a clear one doesn't.
+1. One scan measures each page: repetition, function words, separators, links,
+   number columns, marks (``FEATURES``).  No feature is itself a share of spam.
+2. Five weak labellers look at the lines of the page (link lists, stuffed words,
+   tag lists; sentences, structure).  Each abstains unless its kind makes up
+   ``SURE`` of the visible characters or more; mixed and unusual pages stay
+   unlabelled, and a page on which labellers disagree does too.
+3. A bounded sample of labelled pages (``SAMPLE`` rows a label), and pages put
+   together from a spam page and another (``MIXED`` times; the label is the kind
+   of most characters), train bagged trees.
+4. The trees decide every page, labelled or not.  Their vote is taken as odds and
+   multiplied, on doubtful pages, by the odds of the host's spam rate against the overall rate; the
+   rate is shrunk by a prior whose weight is measured from how much hosts differ
+   beyond chance.
 
 Scale: features are made in one Arrow scan without a shuffle; the trees are a
 few kilobytes of numpy; host rates are one partial aggregation, and a host that
@@ -15,6 +21,8 @@ holds a third of all pages is one row of it.
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 import zlib
 from collections import Counter
@@ -29,9 +37,16 @@ from anamnesis.session import cut, ship_package
 
 #: Most labelled pages of each label that train the trees.
 SAMPLE = 4_000
+#: Most pages that are put together of labelled ones for training, as labellers leave mixed pages out; of how many of each kind.
+MIXED = 2_000
+PARTS = ((1, 1), (1, 3), (3, 1), (1, 6))
 TREES, DEPTH, LEAF = 25, 6, 5
-#: A host's rate counts as much as this share of the trees' vote at most, reached with many pages.
-HOST_SHARE, HOST_PRIOR = 0.1, 20.0
+#: Share of the visible characters from which a weak labeller speaks.
+SURE = 0.8
+#: Most that a host can multiply the odds of a page by: only votes between 0.2 and 0.8 can turn over.
+HOST_ODDS = 4
+#: Most pages that the overall rate counts for against a host's own, used where hosts differ by chance only.
+PRIOR = 1_000
 
 #: Words that hold sentences together (English, Spanish, German, French).
 GLUE = frozenset(
@@ -40,8 +55,8 @@ GLUE = frozenset(
     "der die das ein eine einen dem den des und ist nicht mit von zu im auf für wird wurde wer hat aus bei noch seit wie nach "
     "le les une et est pas dans pour sur au aux qui ne il elle".split()
 )
-#: Words of shop and keyword pages.
-SHOP = frozenset("cheap cheapest best buy discount top free official fast new trusted sale deal price store shop online coupon review reviews download login near stock eur usd gift pack refurbished gb xl mini pro offer order plugin tool tools ai chat seo home rss more prev next older newer posts here archive tags tag".split())
+#: Characters that hold Chinese sentences together.
+HAN_GLUE = frozenset("的了已经请把为我们不从到只能之前否则因用以后会是在也")
 
 URL = re.compile(r"(?:h(?:tt|xx)ps?://|www\.)[^\s)\]>\"'|]+|\b[a-z0-9][a-z0-9\-]*(?:\.[a-z0-9\-]+)+/[^\s)\]>\"'|]*", re.I)
 _LINKED = re.compile(r"\[([^\]]*)\]\(([^)\s]*)\)|<a [^>]*>(.*?)</a>", re.I)
@@ -50,95 +65,169 @@ _TALK = re.compile(r"^\W*(?:user|assistant|system|tool|human|ai|bot|q|a|用户|
 _CODE = re.compile(r"^\s*(?:def |class |import |from \w+ import|return\b|for .*:$|if .*:$|else:|elif |try:|except|while .*:$|with .*:$|@\w|#include|function |const |let |var |public |private |\}|\{|//|\$ |>>> |SELECT |INSERT )|[;{}]\s*$|^\s*[\w.]+\((?!\d+\)\W+\S)[^()]*(?:\([^()]*\)[^()]*)*\)\s*$|^\s*\w+(?:\[\w*\])? ?[+\-*]?= ?\S")
 _DATA = re.compile(r"^\s*[\[\]{}\"]|^\s*\"?[\w\-]+\"?\s*: ?\S+\s*,?$|^\s*---")
 _SETTING = re.compile(r"^\W*`[^`]+`|^\s*[\w.\-]+ ?= ?\S+\s*$")
-_CELLS = re.compile(r"\t| ?\| ?")
+_CELLS = re.compile(r"\s*[\t|,;]\s*")
 _SPLIT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n")
-_HAN = re.compile(r"[一-鿿]")
-_HAN_GLUE = re.compile(r"[的了已经请把为我们不从到只能之前否则因为用以后会是在也]")
+_ITEM = re.compile(r"[\n\t,;|/·•*!?.。！？，、；›»]+")
 _TOKEN = re.compile(r"[^\W_]+")
+_HAN_TOKEN = re.compile(r"[一-鿿]{1,2}|[^\W_一-鿿]+")
+_NUMBER = re.compile(r"[\d.,%:\-+ ]*\d[\d.,%:\-+ ]*")
+_MARKS = list(b"(){}[]=<>_`\"#:")
+_RULE = set("|-: +=")
+_BLANK = list(b" \t\r\n\x0b\x0c")
 
-FEATURES = ["bad_share", "link_share", "loose_share", "prose_share", "structure_share", "distinct", "top_share", "shop_share", "glue_share", "links", "packed", "size", "punct_share"]
+FEATURES = ["distinct", "pairs", "top_share", "packed", "glue_share", "dry", "item_words", "item_repeats", "separators", "link_chars", "link_words", "links", "digits", "marks", "capitals", "columns", "stops", "indent", "han", "size"]
 
 
-def visible_length(text: str) -> int:
-    return sum(map(len, text.split()))
+def _tokens(text: str) -> list[str]:
+    return (_TOKEN if text.isascii() else _HAN_TOKEN).findall(text.lower())
 
 
-def page_features(text: str | None) -> list[float]:
-    """The feature values (in the order of FEATURES) of a page; a blank page has only zeros."""
+def _held(tokens: list[str], plain: bool) -> list[bool]:
+    """Which tokens hold sentences together; plain: all of them are ASCII."""
+    if plain:
+        return list(map(GLUE.__contains__, tokens))
+    return [t in GLUE or not (t.isascii() or HAN_GLUE.isdisjoint(t)) for t in tokens]
+
+
+def _shown(text: str) -> int:
+    return len(text) - text.count(" ") - text.count("\t") - text.count("\u00a0")
+
+
+def number_column_lines(lines: list[str]) -> set[int]:
+    """Indexes of the lines that are rows of a table: three cells or more, a number among them, and the same kinds of
+    cells (number or not) in the same order as at least a third of such lines, or the head of these."""
+    kinds: dict[tuple, list[int]] = {}
+    widths: dict[int, list[int]] = {}
+    for i, line in enumerate(lines):
+        separators = line.count(",") + line.count("\t") + line.count("|") + line.count(";")
+        if separators < 2 or len(line) > 60 * (separators + 1):
+            continue
+        cells = _CELLS.split(line.strip().strip("|"))
+        if len(cells) >= 3:
+            kind = tuple(_NUMBER.fullmatch(c) is not None for c in cells)
+            widths.setdefault(len(cells), []).append(i)
+            if any(kind) and max(map(len, cells)) <= 60:
+                kinds.setdefault(kind, []).append(i)
+    rows = set()
+    for kind, own in kinds.items():
+        alike = widths[len(kind)]
+        if len(own) >= 2 and 3 * len(own) >= len(alike):
+            rows.update(own)
+            rows.update(i for i in alike if i + 1 in own or i + 2 in own)
+    return rows
+
+
+def measure_page(text: str | None) -> tuple[list[float], int | None]:
+    """The feature values (in the order of FEATURES) and the weak label of a page: 1 spam, 0 none, or no label.
+
+    A blank page has only zeros and no label.
+    """
     text = (text or "").replace("\ufeff", "").replace("\u200b", "")
     if not text or text.isspace():
-        return [0.0] * len(FEATURES)
-    prose = structure = link = loose = 0
-    links = 0
-    pieces: list[tuple[list[str], int]] = []
+        return [0.0] * len(FEATURES), None
+    plain = text.isascii()
+    raw = text.encode("utf-8", "replace")
+    per_byte = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    seen = max(1, len(text) - int(per_byte[_BLANK].sum()))
+    lines = [x for x in text.splitlines() if x.strip()]
+    table = number_column_lines(lines)
+    tokens: list[str] = []
+    items: list[str] = []
+    url_chars = n_urls = n_links = 0
+    sentences = structure = linked = tags = 0
     fenced = False
-    counts: Counter[str] = Counter()
-    n_tokens = n_glue = n_shop = 0
-    for line in text.splitlines():
-        size = visible_length(line)
-        if not size:
-            continue
-        bare = line.strip()
-        if bare.startswith("```"):
-            fenced = not fenced
+    pieces: list[tuple[int, int, int]] = []
+    for i, line in enumerate(lines):
+        size, bare, rest, urls = _shown(line), line.strip(), line, []
+        if "/" in line or "www." in line.lower():
+            urls = URL.findall(line)
+            if urls:
+                rest = URL.sub(" ", _LINKED.sub(lambda m: " " + (m[1] or m[3] or "") + " \n", line))
+                n_urls += len(urls)
+                url_chars += sum(map(len, urls))
+        items += _ITEM.split(rest)
+        fence = bare.startswith("```")
+        fenced ^= fence
+        if fenced or fence or i in table or _LOG.match(bare) or _TALK.match(bare) or set(bare[:80]) <= _RULE:
             structure += size
+            tokens += _tokens(rest)
             continue
-        if fenced or _LOG.match(bare) or _TALK.match(bare):
-            structure += size
-            continue
-        urls = URL.findall(line) if "/" in line or "www." in line.lower() else []
         if urls:
-            rest = _LINKED.sub(lambda m: " " + (m[1] or m[3] or "") + " ", line)
-            words = len(_TOKEN.findall(URL.sub(" ", rest)))
-            if words <= 7 * len(urls):
-                links += len(urls)
-                link += size
+            own = _tokens(rest)
+            if len(own) <= 7 * len(urls):
+                n_links += len(urls)
+                linked += size
+                tokens += own
                 continue
         if _DATA.match(bare) or _SETTING.match(bare) or (bare.count(",") < 4 or "(" in bare) and _CODE.search(line):
             structure += size
+            tokens += _tokens(rest)
             continue
-        cells = [c for c in _CELLS.split(bare) if c]
-        if len(cells) >= 3 and sum(any(ch.isdigit() for ch in c) and len(c.split()) == 1 for c in cells) >= 0.4 * len(cells) or set(bare) <= set("|-: +="):
-            structure += size
-            continue
-        for piece in _SPLIT.split(URL.sub(" ", line) if urls else line):
-            shown = visible_length(piece)
-            if not shown:
-                continue
-            tokens = _TOKEN.findall(piece.lower())
-            counts.update(tokens)
-            n_tokens += len(tokens)
-            glue = sum(map(GLUE.__contains__, tokens))
-            n_glue += glue
-            n_shop += sum(map(SHOP.__contains__, tokens))
-            han = 0 if piece.isascii() else len(_HAN.findall(piece))
-            # Chinese keywords stand in lists without the characters that hold sentences together.
-            good = len(_HAN_GLUE.findall(piece)) >= 0.04 * han if han >= 4 else glue >= max(1, 0.08 * len(tokens))
-            if good:
-                prose += shown
-                pieces.append((tokens, shown))
-            else:
-                loose += shown
-        for u in urls:
-            prose += len(u)
-    if pieces and len(counts) < 0.6 * n_tokens:
-        # Sentences in form only: at least half of their words are the page's few keywords.
-        keys = {t for t, n in counts.items() if n >= 4 and n >= 0.05 * n_tokens and t not in GLUE}
-        stuffed = [(tokens, shown) for tokens, shown in pieces if sum(t in keys for t in tokens) >= 0.5 * max(1, len(tokens))]
-        words = [t for tokens, _ in stuffed for t in tokens]
-        if len(set(words)) < 0.33 * len(words):
-            moved = sum(shown for _, shown in stuffed)
-            prose -= moved
-            loose += moved
-    total = max(1, prose + structure + link + loose)
-    top = sum(n for _, n in counts.most_common(12))
-    packed = len(zlib.compress(text.encode("utf-8", "replace"), 1)) / max(1, len(text.encode("utf-8", "replace")))
-    marks = sum(text.count(c) for c in "|/•·;,»-")
-    return [
-        (loose + (link if links >= 3 else 0)) / total, link / total, loose / total, prose / total, structure / total,
-        len(counts) / max(1, n_tokens), top / max(1, n_tokens), n_shop / max(1, n_tokens), n_glue / max(1, n_tokens), float(links), packed, float(len(text)), marks / max(1, len(text)),
+        for piece in _SPLIT.split(rest):
+            own = _tokens(piece)
+            pieces.append((len(tokens), len(tokens) + len(own), _shown(piece)))
+            tokens += own
+        sentences += sum(map(len, urls))
+
+    n = max(1, len(tokens))
+    counts = Counter(tokens)
+    hold = _held(tokens, plain)
+    held = np.flatnonzero(hold)
+    # Words that lie in stretches of eight or more without a word that holds sentences together.
+    gaps = np.diff(np.concatenate(([-1], held, [len(tokens)]))) - 1
+    own = dict(zip(tokens, hold))
+    loose_counts = [k for t, k in counts.items() if not own[t]]
+    items = [s for s in map(str.strip, items) if s]
+    digits, marks = int(per_byte[48:58].sum()), int(per_byte[_MARKS].sum())
+    features = [
+        len(counts) / n,
+        len(set(zip(tokens, tokens[1:]))) / n,
+        sum(heapq.nlargest(8, loose_counts)) / n,
+        len(zlib.compress(raw, 1)) / len(raw),
+        len(held) / n,
+        int(gaps[gaps >= 8].sum()) / n,
+        math.log1p(len(tokens) / max(1, len(items))),
+        1 - len({s.lower() for s in items}) / max(1, len(items)),
+        len(items) / seen * 10,
+        url_chars / seen,
+        math.log1p(len(tokens) / n_urls) if n_urls else 9.0,
+        math.log1p(n_urls),
+        digits / seen,
+        marks / seen,
+        int(per_byte[65:91].sum()) / seen,
+        sum(_shown(lines[i]) for i in table) / seen,
+        (text.count(". ") + text.count(".\n") + text.count("。") + text.endswith(".")) / n,
+        sum(x[0] in " \t" for x in lines) / len(lines),
+        0.0 if plain else int(per_byte[0xE4:0xEA].sum()) / seen,
+        math.log1p(len(text)),
     ]
 
+    keys = {t for t, k in counts.items() if k >= 4 and k >= 0.05 * n and not own[t]}
+    stuffed = held_keys = 0
+    inside: Counter[str] = Counter()
+    for lo, hi, shown in pieces:
+        holds = sum(hold[lo:hi]) >= max(1, 0.08 * (hi - lo))
+        if keys and hi > lo and 2 * sum(map(keys.__contains__, tokens[lo:hi])) >= hi - lo:
+            stuffed += shown
+            inside.update(tokens[lo:hi])
+            held_keys += holds * shown
+        elif holds:
+            sentences += shown
+        else:
+            tags += shown
+    if stuffed and len(inside) >= 0.33 * inside.total():
+        # Many different words beside the keys: sentences about one topic where words hold them together, tags otherwise.
+        sentences += held_keys
+        tags += stuffed - held_keys
+        stuffed = 0
+    total = max(1, sentences + structure + linked + stuffed + tags)
+    says = set()
+    if n_links >= 3 and linked >= SURE * total or stuffed >= SURE * total or tags >= SURE * total and len(counts) >= 12:
+        says.add(1)
+    if sentences >= SURE * total or structure >= SURE * total or sentences + structure >= 0.95 * total:
+        says.add(0)
+    return features, says.pop() if len(says) == 1 else None
+
 
 def grow_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, seed: int = 7) -> list[np.ndarray]:
     """Bagged decision trees: each on a bootstrap of the rows, each split among a random half of the features.
@@ -210,48 +299,103 @@ def vote(forest: list[np.ndarray], x: np.ndarray) -> np.ndarray:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = np.array([page_features(t) for t in batch.column(2).to_pylist()], np.float64).reshape(-1, len(FEATURES))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(values[:, i]) for i in range(len(FEATURES)))], ["doc_id", "host", *FEATURES])
+        made = [measure_page(t) for t in batch.column(2).to_pylist()]
+        values = np.array([m[0] for m in made], np.float64).reshape(-1, len(FEATURES))
+        label = pa.array([m[1] for m in made], pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), label, *(pa.array(values[:, i]) for i in range(len(FEATURES)))], ["doc_id", "host", "label", *FEATURES])
 
 
 def _vote(forest: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.column_stack([batch.column(batch.schema.get_field_index(f)).to_numpy() for f in FEATURES])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vote(forest, x))], ["doc_id", "host", "vote"])
+            votes = np.where(x[:, FEATURES.index("size")] > 0, vote(forest, x), 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(votes)], ["doc_id", "host", "label", "vote"])
 
     return run
 
 
 def measure_pages(documents: DataFrame) -> DataFrame:
-    """doc_id, host and the features of every page."""
+    """doc_id, host, weak label (or null) and the features of every page."""
     ship_package(documents.sparkSession)
     columns = ", ".join(f"{f} double" for f in FEATURES)
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("host"), F.col("text")).mapInArrow(_measure, f"doc_id bigint, host string, {columns}")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("host"), F.col("text")).mapInArrow(_measure, f"doc_id bigint, host string, label int, {columns}")
 
 
-def score_pages(documents: DataFrame) -> DataFrame:
-    """doc_id, host, vote (of the trees), score (smoothed by host).
+def put_together(spam: list[str], other: list[str], number: int) -> tuple[list[float], int | None]:
+    """Features of one page made of several, and the kind of most characters; no label between 0.4 and 0.6 of them."""
+    share = sum(map(len, spam)) / max(1, sum(map(len, spam + other)))
+    label = None if 0.4 < share < 0.6 else int(share > 0.5)
+    return measure_page("\n".join(spam + other if number % 2 else other + spam))[0], label
 
-    Weak labels: at least 0.65 of the characters bad is spam, at most 0.35 is
-    none, between them no label.  Pages without host aren't smoothed.
-    """
-    pages = cut(measure_pages(documents))
-    label = F.expr("CASE WHEN size = 0 THEN NULL WHEN bad_share >= 0.65 THEN 1 WHEN bad_share <= 0.35 THEN 0 END")
-    labelled = pages.withColumn("label", label).withColumn("order", F.xxhash64("doc_id"))
-    sample = []
+
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [put_together(a, b, n) for n, a, b in zip(*(c.to_pylist() for c in batch.columns))]
+        values = np.array([m[0] for m in made], np.float64).reshape(-1, len(FEATURES))
+        yield pa.RecordBatch.from_arrays([pa.array([m[1] for m in made], pa.int32()), *(pa.array(values[:, i]) for i in range(len(FEATURES)))], ["label", *FEATURES])
+
+
+def train(pages: DataFrame, documents: DataFrame) -> list[np.ndarray]:
+    """The forest of a bounded sample of the labelled pages and of mixed ones; one leaf where only one label is there."""
+    spark, sample, chosen = pages.sparkSession, [], []
     for value in (0, 1):
-        sample += labelled.where(F.col("label") == value).orderBy("order", "doc_id").select("label", *FEATURES).limit(SAMPLE).collect()
-    rows = np.array([tuple(r) for r in sample], np.float64).reshape(-1, len(FEATURES) + 1)
+        own = pages.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "label", *FEATURES).limit(SAMPLE).collect()
+        sample += [tuple(r)[1:] for r in own]
+        chosen.append([r[0] for r in own if r[0] is not None][:MIXED])
+    rows = np.array(sample, np.float64).reshape(-1, len(FEATURES) + 1)
     if len(set(rows[:, 0])) < 2:  # nothing to tell apart
-        known = float(rows[0, 0]) if len(rows) else 0.0
-        forest = [np.array([[-1, 0, -1, -1, known]])]
-    else:
-        forest = grow_trees(rows[:, 1:], rows[:, 0])
-    votes = cut(pages.mapInArrow(_vote(forest), "doc_id bigint, host string, vote double"))
-    hosts = votes.where("host IS NOT NULL").groupBy("host").agg(F.avg("vote").alias("rate"), F.count(F.lit(1)).alias("n"))
-    weight = F.coalesce(F.lit(HOST_SHARE) * F.col("n") / (F.col("n") + HOST_PRIOR), F.lit(0.0))
-    return votes.join(hosts, "host", "left").select("doc_id", "host", "vote", ((1 - weight) * F.col("vote") + weight * F.coalesce("rate", F.lit(0.0))).alias("score"))
+        return [np.array([[-1, 0, -1, -1, float(rows[0, 0]) if len(rows) else 0.0]])]
+    size = max(map(len, chosen)) if all(chosen) else 0
+    if size:
+        numbered = [(ids[(n + 7 * k) % len(ids)], kind, n, k) for kind, ids in enumerate(chosen) for n in range(size) for k in range(PARTS[n % len(PARTS)][1 - kind])]
+        places = F.broadcast(spark.createDataFrame(numbered, "page bigint, kind int, number bigint, place int"))
+        texts = documents.select(F.col("doc_id").cast("bigint").alias("page"), "text").join(places, "page").where("text IS NOT NULL")
+        # A doc_id may be repeated: one of its texts is taken.
+        texts = texts.groupBy("number", "kind", "place").agg(F.max("text").alias("text"))
+        part = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("place", "text")))), lambda x: x["text"])
+        pairs = texts.groupBy("number").agg(part(1).alias("spam"), part(0).alias("other")).where("size(spam) > 0 AND size(other) > 0")
+        columns = ", ".join(f"{f} double" for f in FEATURES)
+        mixed = pairs.repartition(max(1, size // 100)).mapInArrow(_put_together, f"label int, {columns}").where("label IS NOT NULL").collect()
+        rows = np.concatenate([rows, np.array([tuple(r) for r in mixed], np.float64).reshape(-1, len(FEATURES) + 1)])
+    return grow_trees(rows[:, 1:], rows[:, 0])
+
+
+def smooth_by_host(votes: DataFrame) -> DataFrame:
+    """votes (doc_id, host, vote and more) with score: the vote, of doubtful pages moved by the spam rate of their host.
+
+    A page is doubtful if a factor of HOST_ODDS could turn its odds over.  The
+    host's rate leaves the page itself out and is shrunk to the overall rate by
+    a prior of k pages, k = (1 - r) / r from the correlation r of pages within
+    hosts (analysis of variance), at most PRIOR.
+    Pages without host keep their vote.
+    """
+    hosts = cut(votes.where("host IS NOT NULL").groupBy("host").agg(F.sum("vote").alias("host_sum"), F.count(F.lit(1)).alias("host_n")))
+    a = hosts.agg(F.sum("host_sum").alias("s"), F.sum("host_n").alias("n"), F.sum(F.col("host_n") * F.col("host_n")).alias("nn"), F.count(F.lit(1)).alias("h"), F.sum(F.col("host_sum") * F.col("host_sum") / F.col("host_n")).alias("ss")).first()
+    rate = a.s / a.n if a.n else 0.0
+    within = 0.0
+    if a.h and a.h > 1 and 0 < rate < 1:
+        chance = rate * (1 - rate)
+        spread = (a.n - a.nn / a.n) - (a.h - 1)
+        within = (a.ss - a.n * rate * rate - (a.h - 1) * chance) / (chance * spread) if spread > 0 else 0.0
+    within = min(max(within, 1 / (1 + PRIOR)), 0.999)
+    prior = (1 - within) / within
+    rate = min(max(rate, 1e-6), 1 - 1e-6)
+    low = 1 / (1 + HOST_ODDS)
+    doubtful = (F.col("vote") > low) & (F.col("vote") < 1 - low)
+    own = (F.col("host_sum") - F.col("vote") + prior * rate) / (F.col("host_n") - 1 + prior)
+    own = F.least(F.greatest(own, F.lit(1e-6)), F.lit(1 - 1e-6))
+    factor = F.least(F.greatest(own / (1 - own) / (rate / (1 - rate)), F.lit(1 / HOST_ODDS)), F.lit(float(HOST_ODDS)))
+    odds = F.col("vote") / (1 - F.col("vote")) * factor
+    moved = votes.where(doubtful & F.col("host").isNotNull()).join(hosts, "host").withColumn("score", odds / (1 + odds)).select(*votes.columns, "score")
+    return votes.where(~doubtful | F.col("host").isNull()).withColumn("score", F.col("vote")).unionByName(moved)
+
+
+def score_pages(documents: DataFrame) -> DataFrame:
+    """doc_id, host, label (weak, or null), vote (of the trees), score (smoothed by host)."""
+    pages = cut(measure_pages(documents))
+    votes = cut(pages.mapInArrow(_vote(train(pages, documents)), "doc_id bigint, host string, label int, vote double"))
+    return smooth_by_host(votes)
 
 
 def find_spam_pages(documents: DataFrame) -> DataFrame:
