@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import secrets
+
 from anamnesis.llm.conversations import INVISIBLE, SPEAKERS, rebuild_conversations
 from anamnesis.llm.neardup import near_duplicates
 from anamnesis.llm.packing import container_report, fill_containers
-from anamnesis.llm.pii import assign_surrogates, find_mentions, redact, texts_of
+from anamnesis.llm.pii import find_mentions, redact, replace_by_surrogates, texts_of
 from anamnesis.llm.spam import find_spam_pages, score_pages
 from anamnesis.llm.tokens import count_tokens, encode_corpus
 from anamnesis.session import cut, table
@@ -20,14 +22,13 @@ def p2_found(spark, sf_dir):
 
 
 def p2_redacted(spark, sf_dir):
-    texts = _texts(spark, sf_dir)
-    return redact(texts, find_mentions(texts, table(spark, sf_dir, "entities")))
+    return redact(_texts(spark, sf_dir), table(spark, sf_dir, "entities"))
 
 
 def p2_surrogates(spark, sf_dir):
-    texts = _texts(spark, sf_dir)
-    mentions = cut(find_mentions(texts, table(spark, sf_dir, "entities")))
-    return redact(texts, mentions, assign_surrogates(mentions, key="set a secret here"))
+    """The key is the setting spark.anamnesis.surrogate.key; without it a random one, which nobody keeps."""
+    key = spark.conf.get("spark.anamnesis.surrogate.key", None) or secrets.token_hex(32)
+    return replace_by_surrogates(_texts(spark, sf_dir), table(spark, sf_dir, "entities"), key)
 
 
 def p3_found(spark, sf_dir):
