@@ -20,10 +20,12 @@ exact bags.
 
 Scale: exact copies (equal bags) are one class before signatures are made, so a
 text that makes up a third of all rows is signed and compared once.  The shuffle
-is 37 short keys a class (30 times more classes add a register to each key), the number of key ranges follows the number of
-classes, and only candidate pairs meet their words again.  A key shared by many
-different classes is worked off in order of mass with the length filter, one
-distance after the other, never held as a full square.
+is 37 short keys a class (30 times more classes add a register to each key), the
+number of key ranges follows the number of classes, and only candidate pairs
+meet their words again.  A key that more than ``RUN`` classes share is cut, in
+order of mass, into blocks of RUN; pairs of blocks whose masses allow the
+similarity become rows of their own and are spread over all tasks, so a hot key
+is no hot task.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anamnesis.operators.similarity import components
 from anamnesis.session import cut, ship_package
 
 #: Chance that a pair exactly at the threshold meets in no band; pairs above it are missed less (at 0.75 instead of 0.7: 0.000001).
@@ -48,6 +51,8 @@ BITS = 128
 CLASSES_A_TASK = 100_000
 #: Words whose arrivals a worker keeps.
 VOCABULARY = 1 << 15
+#: Classes with one key that are worked off at once; longer runs are cut into blocks of so many.
+RUN = 4096
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -242,10 +247,31 @@ def _sign(bands: int, rows: int, ranges: int, least_mass: int):
     return run
 
 
-def _collide(least: float):
-    """Candidate pairs of one part: equal keys, masses and parities that allow the similarity."""
+def _block(no: np.ndarray, mass: np.ndarray, bits: np.ndarray) -> bytes:
+    return len(no).to_bytes(4, "little") + no.astype("<i8").tobytes() + mass.astype("<i8").tobytes() + bits.astype("<u8").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _unblock(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(blob[:4], "little")
+    return np.frombuffer(blob, "<i8", n, 4), np.frombuffer(blob, "<i8", n, 4 + 8 * n), np.frombuffer(blob[4 + 16 * n :], "<u8").reshape(n, -1)
+
+
+_CANDIDATES = "tbl string, no_a bigint, no_b bigint, block_a binary, block_b binary"
+
+
+def _rows(tbl: str, a: np.ndarray, b: np.ndarray, blocks: list[tuple[bytes, bytes]] = ()) -> pa.RecordBatch:
+    n, k = len(a), len(blocks)
+    none = pa.nulls(k, pa.int64())
+    cols = [pa.array([tbl] * (n + k), pa.string()), pa.concat_arrays([pa.array(np.minimum(a, b), pa.int64()), none]), pa.concat_arrays([pa.array(np.maximum(a, b), pa.int64()), none])]
+    cols += [pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([x[i] for x in blocks], pa.binary())]) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays(cols, ["tbl", "no_a", "no_b", "block_a", "block_b"])
+
+
+def _collide(least: float, run: int):
+    """Candidate pairs of one part (equal keys, masses and parities that allow the similarity), and pairs of blocks of
+    runs that are longer than ``run``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tbl, loaded = None, []
         for batch in batches:
             for t, blob in zip(batch.column("tbl").to_pylist(), batch.column("packed").to_pylist()):
@@ -254,32 +280,62 @@ def _collide(least: float):
         key, no, mass, bits = (np.concatenate(x) for x in zip(*loaded))
         loaded.clear()
         order = np.lexsort((no, mass, key))
-        key, no, mass, bits = key[order], no[order], mass[order], bits[order]
+        key, no, mass, bits = key[order], no[order], mass[order].astype(np.int64), bits[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        ends = np.r_[starts[1:], len(key)]
+        single = np.ones(len(key), bool)
+        for lo, hi in zip(starts[ends - starts > run], ends[ends - starts > run]):
+            single[lo:hi] = False
+            cuts = [(i, min(i + run, hi)) for i in range(lo, hi, run)]
+            packed = [_block(no[i:j], mass[i:j], bits[i:j]) for i, j in cuts]
+            for x, (_, j) in enumerate(cuts):
+                for y in range(x, len(cuts)):
+                    if mass[cuts[y][0]] * least > mass[j - 1] + 1e-9:
+                        break
+                    yield _rows(tbl, no[:0], no[:0], [(packed[x], packed[y] if y > x else b"")])
         # Partners at distance 1, 2, ... in order of key and mass, as long as key and mass allow: no square of a run is held.
-        at, step = np.arange(len(key)), 1
+        at, step = np.flatnonzero(single), 1
         while len(at):
             at = at[at + step < len(key)]
             at = at[(key[at] == key[at + step]) & (mass[at + step] * least <= mass[at] + 1e-9)]
-            near = at[~too_far(bits[at], bits[at + step], mass[at].astype(np.int64) + mass[at + step], least)]
+            near = at[~too_far(bits[at], bits[at + step], mass[at] + mass[at + step], least)]
             if len(near):
-                a, b = no[near], no[near + step]
-                yield pa.RecordBatch.from_arrays([pa.array([tbl] * len(a), pa.string()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["tbl", "no_a", "no_b"])
+                yield _rows(tbl, no[near], no[near + step])
             step += 1
 
-    return run
+    return work
+
+
+def _cross(least: float):
+    """Candidate pairs of pairs of blocks (an empty second block: the first with itself)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tbl, first, second in zip(*(batch.column(c).to_pylist() for c in ("tbl", "block_a", "block_b"))):
+                no_a, mass_a, bits_a = _unblock(first)
+                no_b, mass_b, bits_b = _unblock(second or first)
+                for i in range(len(no_a)):
+                    own = slice(0 if second else i + 1, int(np.searchsorted(mass_b, mass_a[i] / least + 1e-9, "right")))
+                    ok = (mass_b[own] >= mass_a[i] * least - 1e-9) & ~too_far(bits_a[i], bits_b[own], mass_a[i] + mass_b[own], least)
+                    if ok.any():
+                        yield _rows(tbl, np.full(int(ok.sum()), no_a[i]), no_b[own][ok])
+
+    return work
 
 
-def candidate_pairs(bags: DataFrame, n_classes: int, least: float, least_mass: int = 1) -> DataFrame:
+def candidate_pairs(bags: DataFrame, n_classes: int, least: float, least_mass: int = 1, shape: tuple[int, int] | None = None, ranges: int | None = None, run: int = RUN) -> DataFrame:
     """Distinct (tbl, no_a, no_b) whose signatures agree in a band.
 
     ``bags``: tbl, no (a number that is unique within tbl) and bag: words joined
-    by blanks, ``word*k`` for weight k; ``least_mass``: the least sum of weights.
+    by blanks, ``word*k`` for weight k; ``least_mass``: the least sum of weights;
+    ``shape``: bands and rows (by default of :func:`band_shape`); ``ranges``: parts
+    of the keys of a band (by default one for CLASSES_A_TASK classes).
     """
     ship_package(bags.sparkSession)
-    ranges = max(1, -(-n_classes // CLASSES_A_TASK))
-    bands, rows = band_shape(n_classes, least)
+    ranges = ranges or max(1, -(-n_classes // CLASSES_A_TASK))
+    bands, rows = shape or band_shape(n_classes, least)
     keys = bags.select("tbl", F.col("no").cast("bigint").alias("no"), "bag").mapInArrow(_sign(bands, rows, ranges, least_mass), "part string, tbl string, packed binary")
-    collide = _collide(least)
+    collide = _collide(least, run)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One partition holds several parts; rows come sorted by part.
@@ -300,7 +356,12 @@ def candidate_pairs(bags: DataFrame, n_classes: int, least: float, least_mass: i
         if rows_:
             yield from collide(iter(rows_))
 
-    return keys.repartition("part").sortWithinPartitions("part").mapInArrow(part, "tbl string, no_a bigint, no_b bigint").distinct()
+    met = cut(keys.repartition("part").sortWithinPartitions("part").mapInArrow(part, _CANDIDATES))
+    pairs, blocks = met.where("no_a IS NOT NULL"), met.where("block_a IS NOT NULL")
+    n_blocks = blocks.count()
+    if n_blocks:
+        pairs = pairs.unionByName(blocks.repartition(n_blocks).mapInArrow(_cross(least), _CANDIDATES))
+    return pairs.select("tbl", "no_a", "no_b").distinct()
 
 
 def _word_sets(least_words: int):
@@ -329,14 +390,15 @@ def bag_class(bag: Column) -> Column:
     return F.struct(F.xxhash64(bag).alias("h1"), F.xxhash64(F.lit("second"), bag).alias("h2"))
 
 
-def similar_classes(records: DataFrame, least_words: int = 12, numerator: int = 7, denominator: int = 10) -> DataFrame:
+def similar_classes(records: DataFrame, least_words: int = 12, numerator: int = 7, denominator: int = 10, **banding) -> DataFrame:
     """tbl, class_a, class_b of different word sets that share at least numerator/denominator of their words.
 
-    ``records``: tbl, no (unique within tbl) and bag (null: too short).  Similarity is compared in
-    whole numbers, so exactly the threshold counts.
+    ``records``: tbl and bag (null: too short).  Similarity is compared in whole
+    numbers, so exactly the threshold counts.  ``banding``: shape, ranges and run
+    of :func:`candidate_pairs`.
     """
-    classes = cut(records.where("bag IS NOT NULL").groupBy("tbl", "bag").agg(F.min("no").alias("no")))
-    pairs = cut(candidate_pairs(classes, classes.count(), numerator / denominator, least_words))
+    classes = cut(records.where("bag IS NOT NULL").groupBy("tbl", "bag").agg(F.lit(1).alias("one")).select("tbl", "bag", F.monotonically_increasing_id().alias("no")))
+    pairs = cut(candidate_pairs(classes, classes.count(), numerator / denominator, least_words, **banding))
     touched = pairs.select("tbl", F.col("no_a").alias("no")).union(pairs.select("tbl", F.col("no_b").alias("no"))).distinct()
     words = cut(classes.join(touched, ["tbl", "no"], "left_semi"))
     side = lambda s: words.select("tbl", F.col("no").alias(f"no_{s}"), F.split("bag", " ").alias(f"w_{s}"), bag_class(F.col("bag")).alias(f"class_{s}"))
@@ -345,7 +407,22 @@ def similar_classes(records: DataFrame, least_words: int = 12, numerator: int =
     return both.where(F.col("shared") * denominator >= (F.size("w_a") + F.size("w_b") - F.col("shared")) * numerator).select("tbl", "class_a", "class_b")
 
 
-def near_duplicates(messages: DataFrame, notes: DataFrame) -> DataFrame:
+def members_and_links(messages: DataFrame, notes: DataFrame, **banding) -> tuple[DataFrame, DataFrame]:
+    """members (tbl, id, cls) and the links of their classes (tbl, class_a, class_b).
+
+    Word sets are made once, in one scan, and of messages only for the last
+    delivery: the ids that came more than once are few and known before.
+    """
+    pick = lambda df, name, key: df.where(f"{key} IS NOT NULL").select(F.lit(name).alias("tbl"), F.col(key).alias("id"), F.col("ingest_no").cast("bigint").alias("no"), "content")
+    told = pick(messages, "messages", "message_id")
+    again = cut(told.groupBy("id").agg(F.max("no").alias("last"), F.count(F.lit(1)).alias("times")).where("times > 1").select("id", "last"))
+    told = told.join(again, "id", "left").where("last IS NULL OR no = last").select("tbl", "id", "no", "content")
+    bags = cut(word_sets(told.unionByName(pick(notes, "notes", "note_id")), 12).where("bag IS NOT NULL").select("tbl", "id", "bag"))
+    members = cut(bags.select("tbl", "id", bag_class(F.col("bag")).alias("cls")).distinct())
+    return members, cut(similar_classes(bags, **banding))
+
+
+def near_duplicates(messages: DataFrame, notes: DataFrame, **banding) -> DataFrame:
     """tbl, id_a, id_b (id_a < id_b) of all near-duplicate messages (last deliveries) and notes (any of their texts).
 
     Defined cases: rows without id are left out; null and short contents (fewer
@@ -353,14 +430,7 @@ def near_duplicates(messages: DataFrame, notes: DataFrame) -> DataFrame:
     short pairs with nothing; repeated rows count once; empty tables give no
     rows; further columns are ignored.
     """
-    pick = lambda df, name, key: df.where(f"{key} IS NOT NULL").select(F.lit(name).alias("tbl"), F.col(key).alias("id"), F.col("ingest_no").cast("bigint").alias("no"), "content")
-    told = word_sets(pick(messages, "messages", "message_id"), 12)
-    noted = word_sets(pick(notes, "notes", "note_id"), 12)
-    cls = F.when(F.col("bag").isNotNull(), bag_class(F.col("bag"))).alias("cls")
-    last = told.groupBy("id").agg(F.max(F.struct("no", cls)).alias("m")).select(F.lit("messages").alias("tbl"), "id", F.col("m.cls").alias("cls")).where("cls IS NOT NULL")
-    members = cut(last.unionByName(noted.where("bag IS NOT NULL").select("tbl", "id", cls).distinct()))
-    alike = cut(similar_classes(told.unionByName(noted)))
-
+    members, alike = members_and_links(messages, notes, **banding)
     left = members.select("tbl", F.col("cls").alias("class_a"), F.col("id").alias("x"))
     right = members.select("tbl", F.col("cls").alias("class_b"), F.col("id").alias("y"))
     across = alike.join(left, ["tbl", "class_a"]).join(right, ["tbl", "class_b"]).select("tbl", "x", "y")
@@ -372,3 +442,21 @@ def near_duplicates(messages: DataFrame, notes: DataFrame) -> DataFrame:
         .select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
         .distinct()
     )
+
+
+def near_duplicate_groups(messages: DataFrame, notes: DataFrame, **banding) -> DataFrame:
+    """tbl, id, class_id, group_id, copies, links: one row per record and text, nothing expanded to pairs.
+
+    class_id: the smallest id with this set of words; copies: how many records
+    have it; links: how many other sets of words are alike; group_id: the smallest
+    class_id of all that are linked with it over any number of steps.  Cases as
+    for :func:`near_duplicates`; a note has a row for each of its texts.
+    """
+    members, alike = members_and_links(messages, notes, **banding)
+    classes = cut(members.groupBy("tbl", "cls").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies")))
+    name = lambda c: F.concat_ws(" ", "tbl", F.hex(F.col(f"{c}.h1")), F.hex(F.col(f"{c}.h2")))
+    linked = components(alike.select(name("class_a").alias("id_a"), name("class_b").alias("id_b")))
+    degree = alike.select("tbl", F.col("class_a").alias("cls")).union(alike.select("tbl", "class_b")).groupBy("tbl", "cls").agg(F.count(F.lit(1)).alias("links"))
+    rooted = cut(classes.join(degree, ["tbl", "cls"], "left").withColumn("id", name("cls")).join(linked, "id", "left").select("tbl", "cls", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("root")))
+    first = rooted.groupBy("tbl", "root").agg(F.min("class_id").alias("group_id"))
+    return members.join(rooted.join(first, ["tbl", "root"]), ["tbl", "cls"]).select("tbl", "id", "class_id", "group_id", "copies", "links")

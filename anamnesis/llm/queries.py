@@ -5,7 +5,7 @@ from __future__ import annotations
 import secrets
 
 from anamnesis.llm.conversations import INVISIBLE, SPEAKERS, rebuild_conversations
-from anamnesis.llm.neardup import near_duplicates
+from anamnesis.llm.neardup import near_duplicate_groups, near_duplicates
 from anamnesis.llm.packing import container_report, fill_containers
 from anamnesis.llm.pii import find_mentions, redact, replace_by_surrogates, texts_of
 from anamnesis.llm.spam import find_spam_pages, score_pages
@@ -39,6 +39,10 @@ def p4_found(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "messages"), table(spark, sf_dir, "notes"))
 
 
+def p4_groups(spark, sf_dir):
+    return near_duplicate_groups(table(spark, sf_dir, "messages"), table(spark, sf_dir, "notes"))
+
+
 def p6_ids(spark, sf_dir):
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -79,5 +83,5 @@ SELECT c AS conversation_id, row_number() OVER (PARTITION BY c ORDER BY s) AS tu
 FROM b WHERE v AND c IN (SELECT c FROM k) AND c NOT IN (SELECT c FROM u)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p2_surrogates": p2_surrogates, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p2_surrogates": p2_surrogates, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report, "p8_found": p8_found, "p8_scores": p8_scores}
 SQL = {"p3_found": P3_SQL}

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from anamnesis.llm.neardup import Signer, band_shape, near_duplicates, too_far
+from anamnesis.llm.neardup import Signer, band_shape, near_duplicate_groups, near_duplicates, too_far
 
 MESSAGE = "message_id string, content string, ingest_no bigint, tbl string, no int"
 NOTE = "note_id string, content string, ingest_no bigint, bag string"
@@ -30,15 +30,15 @@ def brute(messages, notes):
     return out
 
 
-def run(spark, messages, notes):
+def run(spark, messages, notes, **banding):
     m = spark.createDataFrame([(*r, "clash", 0) for r in messages], MESSAGE)
     n = spark.createDataFrame([(*r, "clash") for r in notes], NOTE)
-    got = [tuple(r) for r in near_duplicates(m, n).select("tbl", "id_a", "id_b").collect()]
+    got = [tuple(r) for r in near_duplicates(m, n, **banding).select("tbl", "id_a", "id_b").collect()]
     assert len(got) == len(set(got))
     return set(got)
 
 
-def test_edits_copies_and_cases(spark):
+def edits_and_copies():
     rng = random.Random(4)
     vocabulary = [f"word{i}" for i in range(400)]
     texts = []
@@ -54,9 +54,46 @@ def test_edits_copies_and_cases(spark):
     messages = [(f"m{i:03}", t, i) for i, t in enumerate(texts)] + [("m000", "short now", 999), ("mnull", None, 1000), ("mempty", "", 1001), (None, texts[1], 1002), ("mlong", "x " * 50_000, 1003)]
     messages += [(f"copy{i:02}", "same words " + " ".join(vocabulary[:14]), 2000 + i) for i in range(40)]
     notes = [(f"n{i % 30:02}", t, i) for i, t in enumerate(texts)] + [("n00", None, 500), ("n01", texts[0], 501)]
+    return messages, notes
+
+
+def test_edits_copies_and_cases(spark):
+    messages, notes = edits_and_copies()
     assert run(spark, messages, notes) == brute(messages, notes)
 
 
+def test_longer_keys_several_ranges_and_split_runs(spark):
+    """What large collections use: five registers a key, keys in ranges, hot keys in blocks."""
+    messages, notes = edits_and_copies()
+    assert run(spark, messages, notes, shape=band_shape(30_000_000, 0.7), ranges=3, run=2) == brute(messages, notes)
+
+
+def test_groups(spark):
+    messages, notes = edits_and_copies()
+    m = spark.createDataFrame([(*r, "clash", 0) for r in messages], MESSAGE)
+    n = spark.createDataFrame([(*r, "clash") for r in notes], NOTE)
+    rows = near_duplicate_groups(m, n).collect()
+    pairs = brute(messages, [])
+    of = {r["id"]: r for r in rows if r["tbl"] == "messages"}
+    assert len(of) == sum(r["tbl"] == "messages" for r in rows)
+    assert all(of[a]["group_id"] == of[b]["group_id"] for _, a, b in pairs)
+    parent = {i: i for i in of}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for _, a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    assert all(of[i]["group_id"] == find(i) for i in of)
+    assert of["copy00"]["copies"] == 40 and of["copy39"]["class_id"] == "copy00"
+    assert near_duplicate_groups(m.limit(0), n.limit(0)).count() == 0
+
+
+
+
 def test_exactly_the_threshold(spark):
     shared = " ".join(f"s{i}" for i in range(14))
     a, b, c = shared + " a1 a2 a3", shared + " b1 b2 b3", shared + " b1 b2 b3 b4"
