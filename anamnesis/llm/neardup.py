@@ -12,7 +12,7 @@ bag of its size has nearly surely filled all registers; the few bags that have
 not are drawn again with twice the horizon.
 
 Bands of registers make the keys.  Keys go in packed columns by band (key bits,
-number, mass, and the parities of the words dealt to 128 bits), 22 bytes a key
+number, mass, and the parities of the words dealt to 64 bits), 14 bytes a key
 instead of a row.  Records that meet in a band are candidates if their masses and
 parities allow the similarity: two bags differ in at least as many words as
 parities, so no similar pair is dropped here.  Candidates are verified on the
@@ -41,12 +41,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.operators.similarity import components
-from anamnesis.session import cut, ship_package
+from anamnesis.session import cut, discard, ship_package
 
 #: Chance that a pair exactly at the threshold meets in no band; pairs above it are missed less (at 0.75 instead of 0.7: 0.000001).
 MISS = 0.00005
 #: Bits of word parities that go along with every key, to drop pairs that meet by chance.
-BITS = 128
+BITS = 64
 #: Classes whose keys of one band are joined in one task; key bits beyond the range are 32, so chance meetings stay few at any size.
 CLASSES_A_TASK = 100_000
 #: Words whose arrivals a worker keeps.
@@ -361,7 +361,9 @@ def candidate_pairs(bags: DataFrame, n_classes: int, least: float, least_mass: i
     n_blocks = blocks.count()
     if n_blocks:
         pairs = pairs.unionByName(blocks.repartition(n_blocks).mapInArrow(_cross(least), _CANDIDATES))
-    return pairs.select("tbl", "no_a", "no_b").distinct()
+    distinct = cut(pairs.select("tbl", "no_a", "no_b").distinct())
+    discard(met)
+    return distinct
 
 
 def _word_sets(least_words: int):
@@ -398,13 +400,15 @@ def similar_classes(records: DataFrame, least_words: int = 12, numerator: int =
     of :func:`candidate_pairs`.
     """
     classes = cut(records.where("bag IS NOT NULL").groupBy("tbl", "bag").agg(F.lit(1).alias("one")).select("tbl", "bag", F.monotonically_increasing_id().alias("no")))
-    pairs = cut(candidate_pairs(classes, classes.count(), numerator / denominator, least_words, **banding))
+    pairs = candidate_pairs(classes, classes.count(), numerator / denominator, least_words, **banding)
     touched = pairs.select("tbl", F.col("no_a").alias("no")).union(pairs.select("tbl", F.col("no_b").alias("no"))).distinct()
     words = cut(classes.join(touched, ["tbl", "no"], "left_semi"))
     side = lambda s: words.select("tbl", F.col("no").alias(f"no_{s}"), F.split("bag", " ").alias(f"w_{s}"), bag_class(F.col("bag")).alias(f"class_{s}"))
     both = pairs.join(side("a"), ["tbl", "no_a"]).join(side("b"), ["tbl", "no_b"])
     both = both.withColumn("shared", F.size(F.array_intersect("w_a", "w_b")))
-    return both.where(F.col("shared") * denominator >= (F.size("w_a") + F.size("w_b") - F.col("shared")) * numerator).select("tbl", "class_a", "class_b")
+    alike = cut(both.where(F.col("shared") * denominator >= (F.size("w_a") + F.size("w_b") - F.col("shared")) * numerator).select("tbl", "class_a", "class_b"))
+    discard(classes, pairs, words)
+    return alike
 
 
 def members_and_links(messages: DataFrame, notes: DataFrame, **banding) -> tuple[DataFrame, DataFrame]:
@@ -419,7 +423,9 @@ def members_and_links(messages: DataFrame, notes: DataFrame, **banding) -> tuple
     told = told.join(again, "id", "left").where("last IS NULL OR no = last").select("tbl", "id", "no", "content")
     bags = cut(word_sets(told.unionByName(pick(notes, "notes", "note_id")), 12).where("bag IS NOT NULL").select("tbl", "id", "bag"))
     members = cut(bags.select("tbl", "id", bag_class(F.col("bag")).alias("cls")).distinct())
-    return members, cut(similar_classes(bags, **banding))
+    alike = similar_classes(bags, **banding)
+    discard(again, bags)
+    return members, alike
 
 
 def near_duplicates(messages: DataFrame, notes: DataFrame, **banding) -> DataFrame:
