@@ -392,39 +392,40 @@ def bag_class(bag: Column) -> Column:
     return F.struct(F.xxhash64(bag).alias("h1"), F.xxhash64(F.lit("second"), bag).alias("h2"))
 
 
-def similar_classes(records: DataFrame, least_words: int = 12, numerator: int = 7, denominator: int = 10, **banding) -> DataFrame:
+def similar_classes(records: DataFrame, wanted: DataFrame | None = None, least_words: int = 12, numerator: int = 7, denominator: int = 10, **banding) -> DataFrame:
     """tbl, class_a, class_b of different word sets that share at least numerator/denominator of their words.
 
-    ``records``: tbl and bag (null: too short).  Similarity is compared in whole
-    numbers, so exactly the threshold counts.  ``banding``: shape, ranges and run
-    of :func:`candidate_pairs`.
+    ``records``: tbl, cls and bag (null: too short); ``wanted``: tbl and cls of the
+    sets that count (by default all).  Similarity is compared in whole numbers, so
+    exactly the threshold counts.  ``banding``: shape, ranges and run of
+    :func:`candidate_pairs`.  Joins are by sorting at every size, so that small
+    collections show what large ones cost.
     """
-    classes = cut(records.where("bag IS NOT NULL").groupBy("tbl", "bag").agg(F.lit(1).alias("one")).select("tbl", "bag", F.monotonically_increasing_id().alias("no")))
+    classes = records.where("bag IS NOT NULL").groupBy("tbl", "cls").agg(F.first("bag").alias("bag"))
+    if wanted is not None:
+        classes = classes.join(wanted.select("tbl", "cls").distinct().hint("merge"), ["tbl", "cls"], "left_semi")
+    classes = cut(classes.select("tbl", "bag", F.monotonically_increasing_id().alias("no")))
     pairs = candidate_pairs(classes, classes.count(), numerator / denominator, least_words, **banding)
-    touched = pairs.select("tbl", F.col("no_a").alias("no")).union(pairs.select("tbl", F.col("no_b").alias("no"))).distinct()
-    words = cut(classes.join(touched, ["tbl", "no"], "left_semi"))
-    side = lambda s: words.select("tbl", F.col("no").alias(f"no_{s}"), F.split("bag", " ").alias(f"w_{s}"), bag_class(F.col("bag")).alias(f"class_{s}"))
-    both = pairs.join(side("a"), ["tbl", "no_a"]).join(side("b"), ["tbl", "no_b"])
-    both = both.withColumn("shared", F.size(F.array_intersect("w_a", "w_b")))
-    alike = cut(both.where(F.col("shared") * denominator >= (F.size("w_a") + F.size("w_b") - F.col("shared")) * numerator).select("tbl", "class_a", "class_b"))
-    discard(classes, pairs, words)
+    side = lambda s: classes.select("tbl", F.col("no").alias(f"no_{s}"), F.col("bag").alias(f"bag_{s}")).hint("merge")
+    both = pairs.join(side("a"), ["tbl", "no_a"]).join(side("b"), ["tbl", "no_b"]).withColumns({"w_a": F.split("bag_a", " "), "w_b": F.split("bag_b", " ")})
+    both = both.withColumn("shared", F.size(F.array_intersect("w_a", "w_b"))).where(F.col("shared") * denominator >= (F.size("w_a") + F.size("w_b") - F.col("shared")) * numerator)
+    alike = cut(both.select("tbl", bag_class(F.col("bag_a")).alias("class_a"), bag_class(F.col("bag_b")).alias("class_b")))
+    discard(classes, pairs)
     return alike
 
 
 def members_and_links(messages: DataFrame, notes: DataFrame, **banding) -> tuple[DataFrame, DataFrame]:
     """members (tbl, id, cls) and the links of their classes (tbl, class_a, class_b).
 
-    Word sets are made once, in one scan, and of messages only for the last
-    delivery: the ids that came more than once are few and known before.
+    Word sets are made once, in one scan; only those of last deliveries are signed.
     """
     pick = lambda df, name, key: df.where(f"{key} IS NOT NULL").select(F.lit(name).alias("tbl"), F.col(key).alias("id"), F.col("ingest_no").cast("bigint").alias("no"), "content")
-    told = pick(messages, "messages", "message_id")
-    again = cut(told.groupBy("id").agg(F.max("no").alias("last"), F.count(F.lit(1)).alias("times")).where("times > 1").select("id", "last"))
-    told = told.join(again, "id", "left").where("last IS NULL OR no = last").select("tbl", "id", "no", "content")
-    bags = cut(word_sets(told.unionByName(pick(notes, "notes", "note_id")), 12).where("bag IS NOT NULL").select("tbl", "id", "bag"))
-    members = cut(bags.select("tbl", "id", bag_class(F.col("bag")).alias("cls")).distinct())
-    alike = similar_classes(bags, **banding)
-    discard(again, bags)
+    sets = word_sets(pick(messages, "messages", "message_id").unionByName(pick(notes, "notes", "note_id")), 12)
+    bags = cut(sets.withColumn("cls", F.when(F.col("bag").isNotNull(), bag_class(F.col("bag")))))
+    last = bags.where("tbl = 'messages'").groupBy("tbl", "id").agg(F.max(F.struct("no", "cls")).alias("m")).select("tbl", "id", "m.cls")
+    members = cut(last.unionByName(bags.where("tbl = 'notes'").select("tbl", "id", "cls").distinct()).where("cls IS NOT NULL"))
+    alike = similar_classes(bags, members, **banding)
+    discard(bags)
     return members, alike
 
 
@@ -439,7 +440,7 @@ def near_duplicates(messages: DataFrame, notes: DataFrame, **banding) -> DataFra
     members, alike = members_and_links(messages, notes, **banding)
     left = members.select("tbl", F.col("cls").alias("class_a"), F.col("id").alias("x"))
     right = members.select("tbl", F.col("cls").alias("class_b"), F.col("id").alias("y"))
-    across = alike.join(left, ["tbl", "class_a"]).join(right, ["tbl", "class_b"]).select("tbl", "x", "y")
+    across = alike.join(left.hint("merge"), ["tbl", "class_a"]).join(right.hint("merge"), ["tbl", "class_b"]).select("tbl", "x", "y")
     shared = members.groupBy("tbl", "cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tbl", F.col("cls").alias("class_a"))
     copies = left.join(shared, ["tbl", "class_a"], "left_semi")
     within = copies.join(copies.select("tbl", "class_a", F.col("x").alias("y")), ["tbl", "class_a"]).select("tbl", "x", "y")
