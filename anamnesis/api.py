@@ -44,11 +44,15 @@ class Memory:
         return self.messages().groupBy("conversation_id").agg(tokens.alias("tokens"), F.count(F.lit(1)).alias("messages")).where(F.col("tokens") >= min_tokens)
 
     def grep(self, query: str, limit: int = 20, every: bool = True) -> DataFrame:
-        """Messages that hold the query's words, best first."""
-        m = self.messages().where("content IS NOT NULL")
-        terms = [w for w in query.lower().split() if w]
-        hits = search.bm25(search.postings(m, "message_id", "content"), search.corpus_size(m, "content"), terms, every)
-        return hits.orderBy(F.desc("score"), "doc").limit(limit).join(m.select(F.col("message_id").alias("doc"), "conversation_id", "content"), "doc")
+        """Messages that hold the query's words (read as the index reads texts), best first.
+
+        The index holds all messages; what the owner or the namespace doesn't see is taken out of its hits.
+        """
+        path = f"{self.directory}/messages.parquet"
+        index, size = search.written_index(self.spark, "messages", [path], lambda: latest(table(self.spark, self.directory, "messages"), "message_id", "ingest_no").where("content IS NOT NULL"), "message_id", "content")
+        hits = search.bm25(index, size, search.query_terms(query), every)
+        seen = self.messages().where("content IS NOT NULL").select(F.col("message_id").alias("doc"), "conversation_id", "content")
+        return hits.join(seen, "doc").orderBy(F.desc("score"), "doc").limit(limit)
 
     def describe(self, summary: str | None = None) -> DataFrame:
         """Structure of one summary (what it covers) or of all conversations."""

@@ -4,7 +4,12 @@ Terms are ordered from rare to frequent over the whole corpus.  Two sets with a
 Jaccard similarity of t share a term among the first |x| - ceil(t|x|) + 1 of
 each; two count vectors with a cosine of t share one among the terms before the
 rest's norm falls below t.  Only those prefixes are joined, so frequent terms
-meet rarely, and candidates are verified exactly in whole numbers.
+meet rarely.  A pair that meets must also agree in its parities: terms of odd
+count turn over one of 128 bits, and two items differ in at least as many terms
+as bits, which is bounded for alike ones.  This drops nearly all chance meetings
+inside the join, and no alike pair.  What is left is verified exactly in whole
+numbers.  A term in the prefix of more than ``SALT`` items is dealt to several
+join keys, so that a hot term is no hot task.
 """
 
 from __future__ import annotations
@@ -15,20 +20,38 @@ from pyspark.sql import functions as F
 
 from anamnesis.session import cut, ship_package
 
+#: Items with one prefix term on one side of a join key.
+SALT = 4_000
+
 
 def _ordered(items: DataFrame) -> DataFrame:
-    """id, terms (struct df, term, tf; rare first) of items (id, terms array)."""
+    """id, v (struct df, term, tf; rare first) and parities of items (id, terms array)."""
     flat = items.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = flat.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return flat.join(df, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "tf"))).alias("v"))
+    bit = F.when(F.col("tf") % 2 == 1, F.pmod(F.xxhash64("term"), F.lit(128)))
+    half = lambda n: F.bit_xor(F.when(F.floor(bit / 64) == n, F.expr("shiftleft(1L, CAST(pmod(xxhash64(term), 128) % 64 AS INT))")).otherwise(F.lit(0).cast("bigint")))
+    v = flat.join(df, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "tf"))).alias("v"), half(0).alias("x0"), half(1).alias("x1"))
+    return v
+
+
+def _met(prefix: DataFrame, carried: list[str], differ: str) -> DataFrame:
+    """id_a < id_b of the items that share a prefix term and differ in no more parities than ``differ`` allows."""
+    n = prefix.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(f"n > {SALT}").select("term", F.expr(f"CAST(n DIV {SALT} AS INT)").alias("more"))
+    salted = prefix.join(n, "term", "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    cols = ["id", *carried, "x0", "x1"]
+    a = salted.select("term", F.expr("CAST(pmod(xxhash64(id), more + 1) AS INT)").alias("salt"), *[F.col(c).alias(f"{c}_a") for c in cols])
+    b = salted.select("term", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("salt"), *[F.col(c).alias(f"{c}_b") for c in cols])
+    bits = "bit_count(x0_a ^ x0_b) + bit_count(x1_a ^ x1_b)"
+    return a.join(b, ["term", "salt"]).where(f"id_a < id_b AND {bits} <= {differ}").select("id_a", "id_b").distinct()
 
 
 def jaccard_pairs(items: DataFrame, num: int, den: int, strict: bool = False) -> DataFrame:
     """id_a, id_b (id_a < id_b), shared, united of items (id, terms array) with Jaccard of at least (or above) num/den."""
+    items = items.select("id", F.array_distinct("terms").alias("terms"))
     v = cut(_ordered(items).withColumn("n", F.size("v")))
-    prefix = v.select("id", "n", F.explode(F.expr(f"slice(v, 1, n - CAST(ceil(n * {num} / {den} - 1e-9) AS INT) + 1)")).alias("p")).select("id", "n", "p.term")
-    a, b = prefix.toDF("id_a", "n_a", "term"), prefix.toDF("id_b", "n_b", "term")
-    pairs = a.join(b, "term").where(f"id_a < id_b AND n_a * {den} >= n_b * {num} AND n_b * {den} >= n_a * {num}").select("id_a", "id_b").distinct()
+    prefix = v.select("id", "n", "x0", "x1", F.explode(F.expr(f"slice(v, 1, n - CAST(ceil(n * {num} / {den} - 1e-9) AS INT) + 1)")).alias("p")).select("id", "n", "x0", "x1", "p.term")
+    # Sets of n_a and n_b terms that are alike differ in (1 - t) / (1 + t) of n_a + n_b terms at most.
+    pairs = _met(prefix, ["n"], f"(n_a + n_b) * {den - num} / {den + num} + 1e-9 AND n_a * {den} >= n_b * {num} AND n_b * {den} >= n_a * {num}")
     side = lambda s: v.select(F.col("id").alias(f"id_{s}"), F.expr("transform(v, x -> x.term)").alias(f"t_{s}"))
     full = pairs.join(side("a"), "id_a").join(side("b"), "id_b").select("id_a", "id_b", F.size(F.array_intersect("t_a", "t_b")).alias("shared"), (F.size("t_a") + F.size("t_b")).alias("both"))
     full = full.select("id_a", "id_b", "shared", (F.col("both") - F.col("shared")).alias("united"))
@@ -36,13 +59,15 @@ def jaccard_pairs(items: DataFrame, num: int, den: int, strict: bool = False) ->
 
 
 def cosine_pairs(items: DataFrame, num: int, den: int) -> DataFrame:
-    """id_a, id_b of items (id, terms array) whose term counts have a cosine above num/den, compared in whole numbers."""
+    """id_a, id_b, dot of items (id, terms array) whose term counts have a cosine above num/den, compared in whole numbers."""
     v = _ordered(items).withColumn("norm", F.expr("aggregate(v, 0L, (s, x) -> s + x.tf * x.tf)"))
-    # Rest norms from the frequent end: keep terms until what is left has less than (num/den)^2 of the norm.
-    keep = F.expr(f"""size(filter(sequence(1, size(v)), i -> aggregate(slice(v, i, size(v)), 0L, (s, x) -> s + x.tf * x.tf) * {den * den} >= norm * {num * num}))""")
+    # One running sum from the frequent end: what is left after the first k terms, until it has (num/den)^2 of the norm.
+    keep = F.expr(f"""aggregate(reverse(v), named_struct('rest', 0L, 'skip', 0), (a, x) -> named_struct('rest', a.rest + x.tf * x.tf,
+        'skip', IF((a.rest + x.tf * x.tf) * {den * den} < norm * {num * num}, a.skip + 1, a.skip)), a -> size(v) - a.skip)""")
     v = cut(v.withColumn("keep", keep))
-    prefix = v.select("id", F.explode(F.expr("slice(v, 1, keep)")).alias("p")).select("id", "p.term")
-    pairs = prefix.toDF("id_a", "term").join(prefix.toDF("id_b", "term"), "term").where("id_a < id_b").select("id_a", "id_b").distinct()
+    prefix = v.select("id", "norm", "x0", "x1", F.explode(F.expr("slice(v, 1, keep)")).alias("p")).select("id", "norm", "x0", "x1", "p.term")
+    # |a - b|^2 = |a|^2 + |b|^2 - 2ab is at least the number of parities that differ.
+    pairs = _met(prefix, ["norm"], f"norm_a + norm_b - {2 * num / den!r} * sqrt(norm_a * norm_b) + 1e-6")
     side = lambda s: v.select(F.col("id").alias(f"id_{s}"), F.expr("map_from_entries(transform(v, x -> struct(x.term, x.tf)))").alias(f"m_{s}"), F.col("norm").alias(f"norm_{s}"))
     full = pairs.join(side("a"), "id_a").join(side("b"), "id_b")
     full = full.withColumn("dot", F.expr("aggregate(map_entries(m_a), 0L, (s, e) -> s + e.value * coalesce(element_at(m_b, e.key), 0L))"))

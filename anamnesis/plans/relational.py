@@ -241,17 +241,6 @@ def flt10_pick_task(spark, d):
 # Joins
 
 
-@query(f"WITH {M}, {CO} SELECT m.message_id, c.namespace FROM m JOIN c USING (conversation_id) WHERE contains(lower(m.content), 'budget')")
-def j1_messages_of_term(spark, d):
-    hits = msgs(spark, d).where(F.lower("content").contains("budget"))
-    return hits.join(convs(spark, d), "conversation_id").select("message_id", "namespace")
-
-
-@query(f"WITH {SU}, {CO} SELECT DISTINCT s.summary_id, c.namespace FROM s JOIN c USING (conversation_id) WHERE contains(lower(s.content), 'budget')")
-def j2_summaries_of_term(spark, d):
-    return sums(spark, d).where(F.lower("content").contains("budget")).join(convs(spark, d), "conversation_id").select("summary_id", "namespace").distinct()
-
-
 @query(f"WITH {M}, {SM} SELECT sm.summary_id, m.message_id, m.seq FROM sm JOIN m USING (message_id)")
 def j4_leaf_messages(spark, d):
     return leaves(spark, d).join(msgs(spark, d), "message_id").select("summary_id", "message_id", "seq")
