@@ -108,3 +108,16 @@ ROLE_DECISION_WORDS = ["决定", "采用", "选择", "方案", "确定", "decide
 
 # Tokens of a Chinese character by provider.
 PROVIDER_CJK = {"deepseek": 1.2, "zhipu": 1.2, "glm": 1.2, "wenxin": 1.2, "qwen": 1.2, "claude": 2.0, "anthropic": 2.0, "gemini": 1.5, "google": 1.5, "openai": 1.5, "gpt": 1.5, "mistral": 1.5, "default": 1.5}
+
+# Facts of tool results (paths; numbers with their label; errors; success).
+FACT_PATHS = [r"/[a-zA-Z0-9_\-./]+\.[a-zA-Z0-9]+", r"[A-Z]:\\[a-zA-Z0-9_\-\\]+\.[a-zA-Z0-9]+", r"(?:path|file|filepath)[:\s]+([^\s,]+)"]
+FACT_NUMBERS = [
+    (r"(\d+(?:\.\d+)?)\s*lines?", "lines"), (r"(\d+(?:\.\d+)?)\s*bytes?", "bytes"), (r"(\d+(?:\.\d+)?)\s*KB", "size"), (r"(\d+(?:\.\d+)?)\s*MB", "size"),
+    (r"(\d+(?:\.\d+)?)\s*seconds?", "duration"), (r"(\d+(?:\.\d+)?)\s*ms", "duration"), (r"(\d+(?:\.\d+)?)\s*(?:hits?|matches?)", "matches"), (r"found\s+(\d+)", "count"), (r"returned\s+(\d+)", "count"),
+]
+FACT_ERRORS = [r"(error|exception|failed|timeout)", r"(?:Error|Exception|Failed|Timeout):\s*([^\n]+)"]
+FACT_SUCCESS = r"success|succeeded|completed|done|ok"
+
+# What a quality check looks for (decisions, settings).
+GUARD_DECISIONS = ["决定", "采用", "选择", "使用", "方案", "chosed", "will use", "decided", "selected", "option", "solution", "final"]
+GUARD_SETTINGS = ["配置", "设置", "参数", "环境变量", "config", "setting", "parameter", "env", "variable", "API_KEY", "token"]

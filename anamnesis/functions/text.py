@@ -140,3 +140,13 @@ def mixed_timestamp(text: Column) -> Column:
         F.try_to_timestamp(text, F.lit("yyyy-MM-dd")),
         F.timestamp_seconds(text.try_cast("double")),
     )
+
+
+def match_starts(text: Column, pattern: str) -> Column:
+    """Array of (start, hit): the non-overlapping matches of a pattern with their places, from 1.
+
+    The pattern must not match an empty text.
+    """
+    found = F.struct(F.split(text, pattern, -1).alias("s"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    size = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
+    return let(found, lambda f: F.transform(f["m"], lambda hit, i: F.struct((size(f["s"], i + 1) + size(f["m"], i) + 1).alias("start"), hit.alias("hit"))))

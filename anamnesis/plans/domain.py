@@ -160,68 +160,76 @@ _FILE = r"(?:/[\w./-]+\.\w{1,6}|\.\.?/[\w./-]+)"
 _PASCAL = r"[A-Z][a-zA-Z0-9]{2,20}"
 T13 = f"""WITH f AS (SELECT conversation_id, unnest(regexp_extract_all(content, {q(_FILE)})) AS e FROM messages WHERE content IS NOT NULL),
 p AS (SELECT conversation_id, unnest(regexp_extract_all(content, {q(_PASCAL)})) AS e FROM messages WHERE content IS NOT NULL),
-a AS (SELECT conversation_id, e, 0 t FROM f WHERE length(e) > 3 UNION ALL SELECT conversation_id, e, 1 FROM p)
-SELECT conversation_id, e AS name, CASE max(t) WHEN 0 THEN 'file' ELSE 'concept' END AS type, count(*)::BIGINT AS n FROM a GROUP BY 1, 2"""
+k AS (SELECT conversation_id, content, strpos(content, w) p FROM messages, (SELECT unnest([{', '.join(q(w) for w in L.DECISION_WORDS)}]) w) WHERE content IS NOT NULL AND contains(content, w)),
+s AS (SELECT conversation_id, regexp_extract(regexp_replace(substring(content, greatest(p - 10, 1), least(p - 1, 10)), '[ \\t\\n\\r\\f\\v]+$', ''), '[^ \\t\\n\\r\\f\\v]+$') e FROM k),
+a AS (SELECT conversation_id, e, 0 t FROM f WHERE length(e) > 3 UNION ALL SELECT conversation_id, e, 1 FROM p UNION ALL SELECT conversation_id, e, 2 FROM s WHERE length(e) > 1)
+SELECT conversation_id, e AS name, CASE max(t) WHEN 0 THEN 'file' WHEN 1 THEN 'concept' ELSE 'decision' END AS type, count(*)::BIGINT AS n FROM a GROUP BY 1, 2"""
 
 
 @query(T13)
 def t13_rule_entities(spark, d):
-    """Paths and capitalised words by conversation; the later kind of a name wins."""
+    """Paths, capitalised words and words before a decision, by conversation; the later kind of a name wins."""
     m = table(spark, d, "messages").where("content IS NOT NULL")
     f = m.select("conversation_id", F.explode(F.regexp_extract_all("content", F.lit(_FILE), F.lit(0))).alias("name"), F.lit(0).alias("t")).where(F.length("name") > 3)
     p = m.select("conversation_id", F.explode(F.regexp_extract_all("content", F.lit(_PASCAL), F.lit(0))).alias("name"), F.lit(1).alias("t"))
-    g = f.unionByName(p).groupBy("conversation_id", "name").agg(F.max("t").alias("t"), F.count(F.lit(1)).alias("n"))
-    return g.select("conversation_id", "name", F.when(F.col("t") == 0, "file").otherwise("concept").alias("type"), "n")
+    places = F.filter(F.array(*[F.locate(w, F.col("content")) for w in L.DECISION_WORDS]), lambda x: x > 0)
+    before = lambda x: F.substring(F.col("content"), F.greatest(x - 10, F.lit(1)), F.least(x - 1, F.lit(10)))
+    word = lambda x: F.regexp_extract(F.regexp_replace(before(x), "[ \\t\\n\\r\\f\\u000b]+$", ""), "[^ \\t\\n\\r\\f\\u000b]+$", 0)
+    s = m.select("conversation_id", F.explode(F.transform(places, word)).alias("name"), F.lit(2).alias("t")).where(F.length("name") > 1)
+    g = f.unionByName(p).unionByName(s).groupBy("conversation_id", "name").agg(F.max("t").alias("t"), F.count(F.lit(1)).alias("n"))
+    return g.select("conversation_id", "name", F.when(F.col("t") == 0, "file").when(F.col("t") == 1, "concept").otherwise("decision").alias("type"), "n")
 
 
-def _intent_sql(kind: str, pattern: str) -> str:
-    return f"SELECT ingest_no, '{kind}' AS intent, round(least(1.0, 0.7 + 0.3 * len(regexp_extract_all(content, {q(pattern)})) / 5.0)::DOUBLE, 4) AS confidence FROM messages WHERE content IS NOT NULL AND regexp_matches(content, {q(pattern)})"
-
-
-@query(" UNION ALL ".join(_intent_sql(k, p) for k, p in L.INTENTS.items()))
-def t14_intents(spark, d):
-    """Intents of messages with a confidence by the number of marks."""
-    m = table(spark, d, "messages").where("content IS NOT NULL")
-    hits = F.array(*[F.struct(F.lit(k).alias("intent"), F.regexp_count("content", F.lit(p)).alias("n")) for k, p in L.INTENTS.items()])
-    rows = m.select("ingest_no", F.explode(hits).alias("h")).where("h.n > 0")
-    return rows.select("ingest_no", "h.intent", F.round(F.least(F.lit(1.0), 0.7 + 0.3 * F.col("h.n") / 5.0), 4).alias("confidence"))
-
-
-@query(" UNION ALL ".join(_intent_sql(k, p).replace("AS intent", "AS conclusion") for k, p in L.CONCLUSIONS.items()))
-def t14_conclusions(spark, d):
-    m = table(spark, d, "messages").where("content IS NOT NULL")
-    hits = F.array(*[F.struct(F.lit(k).alias("conclusion"), F.regexp_count("content", F.lit(p)).alias("n")) for k, p in L.CONCLUSIONS.items()])
-    rows = m.select("ingest_no", F.explode(hits).alias("h")).where("h.n > 0")
-    return rows.select("ingest_no", "h.conclusion", F.round(F.least(F.lit(1.0), 0.7 + 0.3 * F.col("h.n") / 5.0), 4).alias("confidence"))
-
-
-T16 = f"""WITH {N}, {M}, w AS (SELECT DISTINCT note_id, conversation_id, unnest(regexp_extract_all(content, '[a-z]{{6,}}')) k FROM n WHERE superseded_by IS NULL AND length(content) >= 10),
-c AS (SELECT message_id, conversation_id, content, lower(content) lc FROM m WHERE regexp_matches(lower(content), 'switch to|replace|no longer|instead of'))
-SELECT DISTINCT w.note_id, c.message_id FROM w JOIN c USING (conversation_id) WHERE contains(c.content, w.k) AND regexp_matches(c.lc, '(switch to|replace|no longer|instead of)[^\\n]{{0,20}}' || w.k)"""
+NEG = " OR ".join(f"regexp_matches(c.content, '(?i)(?:{p.replace(chr(39), chr(39) * 2)})[^\\n]{{0,20}}' || regexp_escape(w.k))" for p in L.NEGATIONS)
+ANY_NEG = "|".join(L.NEGATIONS)
+T16_CTE = f"""w AS (SELECT DISTINCT note_id, conversation_id, unnest(regexp_extract_all(content, {q(L.CLAIM_WORDS)})) k FROM n WHERE superseded_by IS NULL),
+c AS (SELECT message_id, conversation_id, ingest_no, content FROM m WHERE length(content) >= 10 AND regexp_matches(content, {q('(?i)' + ANY_NEG)})),
+x AS (SELECT DISTINCT w.note_id, c.message_id, c.ingest_no FROM w JOIN c USING (conversation_id) WHERE {NEG})"""
+T16 = f"WITH {N}, {M}, {T16_CTE} SELECT note_id, message_id, 0.9::DOUBLE AS score FROM x"
 
 
 @query(T16)
 def t16_contradictions(spark, d):
-    """Messages that deny a word of an open note of their conversation: a join on words after a denial."""
-    n = notes(spark, d).where("superseded_by IS NULL AND length(content) >= 10")
-    w = n.select("note_id", "conversation_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("[a-z]{6,}"), F.lit(0)))).alias("k"))
-    m = msgs(spark, d).select("message_id", "conversation_id", "content", F.lower("content").alias("lc")).where(F.col("lc").rlike("switch to|replace|no longer|instead of"))
-    hits = m.join(w, "conversation_id").where(F.col("content").contains(F.col("k")))
-    return hits.where(F.expr("rlike(lc, concat('(switch to|replace|no longer|instead of)[^\\\\n]{0,20}', k))")).select("note_id", "message_id").distinct()
-
-
-@query(f"WITH {N}, t AS ({T16.replace('WITH ', 'WITH ', 1)}) SELECT t.note_id AS old_note_id, 'note_' || substring(sha256(t.note_id || t.message_id), 1, 16) AS note_id, n.category, 0.7::DOUBLE AS confidence FROM t JOIN n ON n.note_id = t.note_id")
+    """Messages that deny a claim of an open note of their conversation: a denial, at most 20 characters, a word of the note."""
+    return contradictions(spark, d).select("note_id", "message_id", F.lit(0.9).alias("score"))
+
+
+def contradictions(spark, d):
+    """note_id, message_id, ingest_no.
+
+    A word of a note is looked up by its first two or three letters among the
+    places up to 20 characters behind each denial, in an equi-join on conversation
+    and letters; only what meets there is compared whole.
+    """
+    n = notes(spark, d).where("superseded_by IS NULL")
+    words = F.regexp_extract_all("content", F.lit(L.CLAIM_WORDS), F.lit(0))
+    w = n.select("note_id", "conversation_id", F.explode(F.array_distinct(F.transform(words, F.lower))).alias("k"))
+    w = w.select("note_id", "conversation_id", "k", F.substring("k", 1, 3).alias("key"))
+    m = msgs(spark, d).where("length(content) >= 10").where(F.col("content").rlike("(?i)" + ANY_NEG))
+    m = cut(m.select("message_id", "conversation_id", "ingest_no", F.lower("content").alias("low")))
+    hits = F.concat(*[T.match_starts(F.col("low"), p) for p in L.NEGATIONS])
+    ends = m.select("message_id", "conversation_id", "low", F.explode(F.array_distinct(F.transform(hits, lambda h: h["start"] + F.length(h["hit"])))).alias("at"))
+    after = ends.withColumn("near", F.substring("low", F.col("at"), F.lit(23)))
+    gap = F.least(F.when(F.locate("\n", F.col("near")) > 0, F.locate("\n", F.col("near")) - 1).otherwise(20), F.lit(20))
+    keys = after.select("message_id", "conversation_id", "at", F.explode(F.transform(F.sequence(F.lit(0), gap), lambda o: F.struct(o.alias("o"), F.substring(F.col("near"), o + 1, F.lit(3)).alias("k3")))).alias("p"))
+    keys = keys.select("message_id", "conversation_id", (F.col("at") + F.col("p.o")).alias("at"), F.explode(F.array_distinct(F.array("p.k3", F.substring("p.k3", 1, 2)))).alias("key"))
+    met = keys.join(w, ["conversation_id", "key"]).select("note_id", "message_id", "k", "at").distinct()
+    return met.join(m, "message_id").where(F.substring("low", F.col("at"), F.length("k")) == F.col("k")).select("note_id", "message_id", "ingest_no").distinct()
+
+
+@query(f"WITH {N}, {M}, {T16_CTE}, f AS (SELECT note_id, arg_min(message_id, ingest_no) message_id FROM x GROUP BY 1) SELECT f.note_id AS old_note_id, 'note_' || substring(sha256(f.note_id || f.message_id), 1, 16) AS note_id, coalesce(n.category, 'decision') AS category, '[更新] ' || substring(m.content, 1, 200) AS content, 0.7::DOUBLE AS confidence FROM f JOIN n ON n.note_id = f.note_id JOIN m USING (message_id)")
 def t17_reconcile(spark, d):
-    """New notes that replace contradicted ones, in their category."""
-    t = t16_contradictions(spark, d)
-    return t.join(notes(spark, d).select("note_id", "category"), "note_id").select(F.col("note_id").alias("old_note_id"), T.short_id(F.concat("note_id", "message_id"), 16, "note_").alias("note_id"), "category", F.lit(0.7).alias("confidence"))
+    """The first message that denies an open note becomes a note of its category; the old one is superseded by it."""
+    first = contradictions(spark, d).groupBy("note_id").agg(F.min_by("message_id", "ingest_no").alias("message_id"))
+    new = first.join(notes(spark, d).select("note_id", "category"), "note_id").join(msgs(spark, d).select("message_id", "content"), "message_id")
+    return new.select(F.col("note_id").alias("old_note_id"), T.short_id(F.concat("note_id", "message_id"), 16, "note_").alias("note_id"), F.coalesce("category", F.lit("decision")).alias("category"), F.concat(F.lit("[更新] "), F.substring("content", 1, 200)).alias("content"), F.lit(0.7).alias("confidence"))
 
 
-@query(f"WITH {N}, k AS (SELECT DISTINCT content FROM n WHERE superseded_by IS NULL AND content IS NOT NULL) SELECT min(ingest_no) AS ingest_no, content FROM messages WHERE content IS NOT NULL AND content NOT IN (SELECT content FROM k) AND length(content) BETWEEN 40 AND 200 GROUP BY content")
+@query(f"WITH {N}, k AS (SELECT DISTINCT content FROM n WHERE superseded_by IS NULL AND content IS NOT NULL) SELECT min(ingest_no) AS ingest_no, content FROM messages WHERE content IS NOT NULL AND content NOT IN (SELECT content FROM k) GROUP BY content")
 def t18_save_notes(spark, d):
     """New notes, exact copies of open ones left out."""
     known = notes(spark, d).where("superseded_by IS NULL").select("content")
-    return table(spark, d, "messages").where("length(content) BETWEEN 40 AND 200").groupBy("content").agg(F.min("ingest_no").alias("ingest_no")).join(known, "content", "left_anti").select("ingest_no", "content")
+    return table(spark, d, "messages").where("content IS NOT NULL").groupBy("content").agg(F.min("ingest_no").alias("ingest_no")).join(known, "content", "left_anti").select("ingest_no", "content")
 
 
 @query(f"WITH k AS ({T19_SQL}) SELECT conversation_id, task_no, turns >= 2 AND messages >= 4 AS accepted, round(least(1.0, CASE WHEN turns >= 2 THEN 0.3 ELSE 0 END + CASE WHEN messages > 3 THEN 0.4 ELSE 0.2 END)::DOUBLE, 4) AS quality FROM k")
@@ -237,13 +245,6 @@ def t21_scoped_search(spark, d):
     return hits.select("note_id", F.when(F.col("owner") == "public", "public").otherwise("self").alias("scope"))
 
 
-@query("SELECT ingest_no, array_to_string(list_distinct(regexp_extract_all(content, '[0-9]+'))[1:3], ',') = '' AS no_numbers, len(regexp_extract_all(content, '[0-9]+'))::BIGINT AS numbers, regexp_matches(lower(content), 'error|exception|fail') AS failed FROM messages WHERE content IS NOT NULL AND role IN ('tool', 'toolResult', 'tool_result', 'Tool')")
-def t22_tool_facts(spark, d):
-    m = table(spark, d, "messages").where("content IS NOT NULL").where(F.col("role").isin("tool", "toolResult", "tool_result", "Tool"))
-    numbers = F.regexp_extract_all("content", F.lit("[0-9]+"), F.lit(0))
-    return m.select("ingest_no", (F.size(numbers) == 0).alias("no_numbers"), F.size(numbers).cast("bigint").alias("numbers"), F.lower("content").rlike("error|exception|fail").alias("failed"))
-
-
 @query(f"WITH {MT}, b AS (SELECT conversation_id, message_id, ingest_no, {SIGNALS} sc, least(length(content), 80) n FROM t WHERE content IS NOT NULL), r AS (SELECT message_id, sum(n + 2) OVER (PARTITION BY conversation_id ORDER BY -sc, ingest_no) used FROM b) SELECT message_id, used::BIGINT AS used FROM r WHERE used <= 200")
 def t23_extract(spark, d):
     """Best snippets first, up to 200 characters a conversation."""
@@ -251,14 +252,6 @@ def t23_extract(spark, d):
     return running_sums(b, "conversation_id", ["minus", "ingest_no"], {"used": "n"}).where("used <= 200").select("message_id", "used")
 
 
-@query(f"WITH {M}, {SM}, {SU}, u AS (SELECT summary_id, min(content) c FROM s GROUP BY 1), w AS (SELECT DISTINCT sm.summary_id, unnest(regexp_extract_all(m.content, '[a-z]+=[0-9]+')) k FROM sm JOIN m USING (message_id)) SELECT w.summary_id, count(*)::BIGINT AS settings, count(*) FILTER (WHERE contains(u.c, w.k))::BIGINT AS kept FROM w JOIN u USING (summary_id) GROUP BY 1")
-def t24_guard(spark, d):
-    """Settings in the messages of a summary, and how many of them its text keeps."""
-    w = leaves(spark, d).join(msgs(spark, d), "message_id").select("summary_id", F.explode(F.regexp_extract_all("content", F.lit("[a-z]+=[0-9]+"), F.lit(0))).alias("k")).distinct()
-    u = sums(spark, d).groupBy("summary_id").agg(F.min("content").alias("c"))
-    return w.join(u, "summary_id").groupBy("summary_id").agg(F.count(F.lit(1)).alias("settings"), F.count_if(F.col("c").contains(F.col("k"))).alias("kept"))
-
-
 @query(f"WITH x AS (SELECT ingest_no, {CLASS} cls FROM messages WHERE content IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY ingest_no DESC) k, count(*) OVER (PARTITION BY cls) n FROM x) SELECT ingest_no, cls AS class FROM r WHERE k <= CASE WHEN cls = 'chitchat' THEN 3 WHEN cls IN ('decision', 'error') THEN n WHEN cls = 'config' THEN ceil(n * 0.8) WHEN cls = 'question' THEN ceil(n * 0.5) ELSE ceil(n * 0.3) END")
 def t25_quotas(spark, d):
     """Newest messages of each class up to its quota."""

@@ -115,14 +115,6 @@ def t11_compact_plan(spark, d):
     return o.select("conversation_id", "old_messages", F.when(F.col("old_messages") == 0, "nothing").when(F.col("tk") < 500, "wait").otherwise("compact").alias("step"))
 
 
-@query(f"WITH {M}, x AS (SELECT conversation_id, count(*) FILTER (WHERE regexp_matches(content, '如何|什么|为什么|怎么')) q, count(*) FILTER (WHERE regexp_matches(content, '决定|选择|采用|方案')) dd, count(*) FILTER (WHERE regexp_matches(content, '完成|成功|已经')) r FROM m WHERE conversation_id IS NOT NULL GROUP BY 1) SELECT conversation_id, substring('questions ' || q || ', decisions ' || dd || ', results ' || r, 1, 500) AS summary FROM x")
-def t15_intent_summary(spark, d):
-    m = msgs(spark, d).where("conversation_id IS NOT NULL")
-    n = lambda p: F.count_if(F.col("content").rlike(p)).cast("string")
-    text = F.concat(F.lit("questions "), n("如何|什么|为什么|怎么"), F.lit(", decisions "), n("决定|选择|采用|方案"), F.lit(", results "), n("完成|成功|已经"))
-    return m.groupBy("conversation_id").agg(F.substring(text, 1, 500).alias("summary"))
-
-
 @query(f"WITH {SU}, {N}, x AS (SELECT 'summary' kind, summary_id id, memory_tier tier, max(created_at) made FROM s GROUP BY 2, 3 UNION ALL SELECT 'note', note_id, 'semantic', max(created_at) FROM n GROUP BY 2), r AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY made DESC NULLS LAST, id) k FROM x) SELECT kind, id, tier FROM r WHERE k <= CASE tier WHEN 'working' THEN 20 WHEN 'episodic' THEN 10 ELSE 5 END")
 def l1_context_by_tier(spark, d):
     s = sums(spark, d).groupBy("summary_id", "memory_tier").agg(F.max("created_at").alias("made")).select(F.lit("summary").alias("kind"), F.col("summary_id").alias("id"), F.col("memory_tier").alias("tier"), "made")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from anamnesis.plans import dealt, domain, io, more, relational, retrieval, scalar, windows
+from anamnesis.plans import dealt, domain, io, more, pipelines, relational, retrieval, scalar, windows
 
-MODULES = [scalar, relational, windows, retrieval, domain, io, more, dealt]
+MODULES = [scalar, relational, windows, retrieval, domain, io, more, pipelines, dealt]
 
 
 def queries() -> dict:

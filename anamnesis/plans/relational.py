@@ -358,15 +358,6 @@ def a14_run_log(spark, d):
     return table(spark, d, "events").groupBy("event_type", (F.col("user_id") % 3).alias("strategy")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH x AS (SELECT conversation_id, 40 * (count(*) FILTER (WHERE content LIKE '%budget%') > 0)::INT + 30 * (count(*) FILTER (WHERE content LIKE '%=%') > 0)::INT + 30 * (count(DISTINCT role) > 1)::INT s FROM messages GROUP BY 1)
-SELECT conversation_id, s::BIGINT AS score, s >= 60 AS passed FROM x""")
-def a15_quality(spark, d):
-    """Weighted checks (40, 30, 30) of what a session keeps."""
-    g = table(spark, d, "messages").groupBy("conversation_id").agg(F.count_if(F.col("content").contains("budget")).alias("a"), F.count_if(F.col("content").contains("=")).alias("b"), F.countDistinct("role").alias("c"))
-    score = F.when(F.col("a") > 0, 40).otherwise(0) + F.when(F.col("b") > 0, 30).otherwise(0) + F.when(F.col("c") > 1, 30).otherwise(0)
-    return g.select("conversation_id", score.cast("bigint").alias("score"), (score >= 60).alias("passed"))
-
-
 @query("SELECT event_type, round(avg(value), 4) AS mean, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def a17_cost_report(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.count(F.lit(1)).alias("n"))

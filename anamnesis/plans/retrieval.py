@@ -73,7 +73,7 @@ def r2_search_summaries(spark, d):
 
 
 @query("""WITH x AS (SELECT ingest_no, list_filter(regexp_split_to_array(content, '[ \t\n\r\f\v]+'), lambda w: w <> '') ws FROM notes), y AS (SELECT *, list_position(list_transform(ws, lambda w: regexp_matches(w, '(?i)(budget)')), true) pos FROM x), z AS (SELECT *, greatest(pos - 4, 1) s FROM y WHERE pos > 0)
-SELECT ingest_no, CASE WHEN s > 1 THEN '...' ELSE '' END || array_to_string(list_transform(ws[s:s + 9], lambda w: regexp_replace(w, '(?i)(budget)', '>>>\1<<<', 'g')), ' ') || CASE WHEN s + 10 <= len(ws) THEN '...' ELSE '' END AS snippet FROM z""")
+SELECT ingest_no, CASE WHEN s > 1 THEN '...' ELSE '' END || array_to_string(list_transform(ws[s:s + 9], lambda w: regexp_replace(w, '(?i)(budget)', '>>>\\1<<<', 'g')), ' ') || CASE WHEN s + 10 <= len(ws) THEN '...' ELSE '' END AS snippet FROM z""")
 def r3_snippets(spark, d):
     """Ten words around the first hit."""
     n = table(spark, d, "notes")
