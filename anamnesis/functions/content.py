@@ -49,6 +49,44 @@ def json_text(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} long, text string")
 
 
+def trim_block_list(value):
+    """Blocks of an answer: thinking becomes a summary of 100 characters, texts over 500 characters are cut to 200; a text
+    that is a list of blocks itself is trimmed likewise.  What is no list stays."""
+    if not isinstance(value, list):
+        return value
+    out = []
+    for block in value:
+        if isinstance(block, dict) and block.get("type") == "thinking":
+            text = block.get("thinking") or ""
+            block = {"type": "thinking_summary", "preview": text[:100] + ("..." if len(text) > 100 else ""), "original_length": len(text), "_trimmed": True}
+        elif isinstance(block, dict) and block.get("type") == "text":
+            text = block.get("text") or ""
+            try:
+                text = json.dumps(trim_block_list(json.loads(text)), ensure_ascii=False)
+            except (ValueError, RecursionError):
+                text = text[:200] + f"... [truncated {len(text) - 200} chars]" if len(text) > 500 else text
+            block = block | {"text": text}
+        out.append(block)
+    return out
+
+
+def trim_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key and the trimmed JSON of contents that are lists of blocks; other contents stay as they are."""
+    ship_package(df.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for t in b["t"]:
+                try:
+                    out.append(json.dumps(trim_block_list(json.loads(t)), ensure_ascii=False) if t is not None else None)
+                except (ValueError, RecursionError):
+                    out.append(t)
+            yield pd.DataFrame({key: b["k"], "content": pd.Series(out, dtype=object)})
+
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} long, content string")
+
+
 def whole_mean(values: Column) -> Column:
     """The running mean of an ordered array in whole numbers, each step cut down."""
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("mean"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from anamnesis.functions.text import counts_of, let, terms_short
 from anamnesis.operators.chains import neighbours
-from anamnesis.operators.ordered import running_sums
+from anamnesis.operators.ordered import ranked, running_sums
 
 HOUR = 3_600_000_000
 
@@ -26,15 +26,35 @@ def user_turns(messages: DataFrame) -> DataFrame:
     return running_sums(m, "conversation_id", ["us", "ingest_no"], {"turn_no": "begins"}).select("message_id", "conversation_id", "us", "turn_no")
 
 
-def task_sessions(messages: DataFrame, gap_us: int = 2 * HOUR) -> DataFrame:
-    """Tasks: turns whose first messages lie no further apart than the gap."""
-    turns = user_turns(messages).groupBy("conversation_id", "turn_no").agg(F.min("us").alias("first_us"), F.count(F.lit(1)).alias("n"))
+def turns_of_tasks(messages: DataFrame, gap_us: int = 2 * HOUR) -> tuple[DataFrame, DataFrame]:
+    """The messages with their turn_no, and the turns (conversation_id, turn_no, first_us, n) with their task_no."""
+    own = user_turns(messages)
+    turns = own.groupBy("conversation_id", "turn_no").agg(F.min("us").alias("first_us"), F.count(F.lit(1)).alias("n"))
     near = neighbours(turns.select("conversation_id", F.struct("turn_no", "first_us", "n").alias("at")), "conversation_id", "at")
     flagged = near.select("conversation_id", "at.turn_no", "at.first_us", "at.n", F.when(F.col("at.first_us") - F.col("prev.first_us") > gap_us, 1).otherwise(0).alias("split"))
-    tasks = running_sums(flagged, "conversation_id", ["turn_no"], {"task_no": "split"})
+    return own, running_sums(flagged, "conversation_id", ["turn_no"], {"task_no": "split"})
+
+
+def task_sessions(messages: DataFrame, gap_us: int = 2 * HOUR) -> DataFrame:
+    """Tasks: turns whose first messages lie no further apart than the gap."""
+    tasks = turns_of_tasks(messages, gap_us)[1]
     return tasks.groupBy("conversation_id", "task_no").agg(F.count(F.lit(1)).alias("turns"), F.sum("n").alias("messages"), F.min("first_us").alias("begin_us"))
 
 
+def task_texts(messages: DataFrame, gap_us: int = 2 * HOUR) -> DataFrame:
+    """conversation_id, task_no, begin_us, owner, goal, steps, result: the first 100 characters of a task's first and last
+    message, and of its first five messages 80 each; owner is that of the first message."""
+    own, tasks = turns_of_tasks(messages, gap_us)
+    rows = own.select("message_id", "conversation_id", "turn_no").join(tasks.select("conversation_id", "turn_no", "task_no"), ["conversation_id", "turn_no"]).join(messages.select("message_id", "us", "ingest_no", "owner", F.coalesce("content", F.lit("")).alias("content")), "message_id")
+    placed = ranked(rows.withColumn("lane", F.struct("conversation_id", "task_no")), "lane", ["us", "ingest_no"], "k")
+    step = F.when(F.col("k") <= 5, F.struct("k", F.substring("content", 1, 80).alias("s")))
+    out = placed.groupBy("conversation_id", "task_no").agg(
+        F.min("us").alias("begin_us"), F.max(F.when(F.col("k") == 1, F.coalesce("owner", F.lit("default")))).alias("owner"), F.max(F.when(F.col("k") == 1, F.substring("content", 1, 100))).alias("goal"),
+        F.array_sort(F.collect_list(step)).alias("s"), F.max_by(F.substring("content", 1, 100), "k").alias("result"),
+    )
+    return out.select("conversation_id", "task_no", "begin_us", "owner", "goal", F.transform("s", lambda x: x["s"]).alias("steps"), "result")
+
+
 def far_apart(a: Column, b: Column) -> Column:
     """Whether the cosine of two maps of term counts is below a quarter, in whole numbers; true if one is empty."""
     dot = F.aggregate(F.map_entries(a), F.lit(0).cast("bigint"), lambda s, e: s + e["value"] * F.coalesce(F.element_at(b, e["key"]), F.lit(0)))

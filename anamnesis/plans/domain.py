@@ -104,15 +104,6 @@ def t8_leaf_text(spark, d):
     return dag.leaf_text(rows, "summary_id", "ingest_no")
 
 
-@query(f"WITH {MT}, {SM}, r AS (SELECT message_id, conversation_id, {TOK} tk, content, row_number() OVER (PARTITION BY conversation_id ORDER BY us DESC, ingest_no DESC) k FROM t) SELECT message_id, tk::BIGINT AS tokens FROM r WHERE k > 8 AND message_id NOT IN (SELECT message_id FROM sm) AND coalesce(({CLASS}) NOT IN ('decision', 'config', 'code', 'error'), true)")
-def t7_leaf_candidates(spark, d):
-    """What a leaf pass may take: older than the fresh tail, not in a summary, not exempt."""
-    m = timed(spark, d).select("message_id", "conversation_id", (-F.col("us")).alias("back"), (-F.col("ingest_no")).alias("no"), "content", tok().alias("tokens"))
-    old = ranked(m, "conversation_id", ["back", "no"]).where("rank > 8")
-    free = old.join(leaves(spark, d), "message_id", "left_anti")
-    return free.where(F.col("content").isNull() | ~S.exempt(S.message_class(F.col("content")))).select("message_id", "tokens")
-
-
 @query()
 def t4_capped_episodes(spark, d):
     """Episodes cut again where they pass 200 tokens."""
@@ -136,24 +127,6 @@ def t12_compress_decision(spark, d):
     return u.select("conversation_id", S.strategy_three(F.least(F.col("tokens") / 3000.0, F.lit(1.0))).alias("strategy"), "tokens")
 
 
-# Trimming
-
-
-@query("""SELECT ingest_no, CASE WHEN role = 'user' THEN content
-  WHEN length(content) >= 100 AND len(regexp_extract_all(substring(content, 1, 200), '[A-Za-z0-9+/=]')) / length(substring(content, 1, 200)) > 0.95 THEN '[base64 removed]'
-  WHEN length(content) > 500 AND ((trim(content, ' ') LIKE '{%' AND trim(content, ' ') LIKE '%}') OR (trim(content, ' ') LIKE '[%' AND trim(content, ' ') LIKE '%]')) THEN substring(content, 1, 200) || '... [json cut]'
-  WHEN role = 'assistant' AND length(content) > 500 THEN substring(content, 1, 500) || '...' ELSE content END AS content FROM messages WHERE content IS NOT NULL""")
-def t5_trim(spark, d):
-    """First pass of trimming: binary data and long JSON to markers, long answers cut, user messages untouched."""
-    c = F.col("content")
-    new = (
-        F.when(F.col("role") == "user", c).when(T.looks_base64(c), "[base64 removed]")
-        .when((F.length(c) > 500) & T.looks_json(c), F.concat(F.substring(c, 1, 200), F.lit("... [json cut]")))
-        .when(F.col("role") == "assistant", T.short(c, 500)).otherwise(c)
-    )
-    return table(spark, d, "messages").where("content IS NOT NULL").select("ingest_no", new.alias("content"))
-
-
 # Entities, intents, notes
 
 _FILE = r"(?:/[\w./-]+\.\w{1,6}|\.\.?/[\w./-]+)"
@@ -232,19 +205,6 @@ def t18_save_notes(spark, d):
     return table(spark, d, "messages").where("content IS NOT NULL").groupBy("content").agg(F.min("ingest_no").alias("ingest_no")).join(known, "content", "left_anti").select("ingest_no", "content")
 
 
-@query(f"WITH k AS ({T19_SQL}) SELECT conversation_id, task_no, turns >= 2 AND messages >= 4 AS accepted, round(least(1.0, CASE WHEN turns >= 2 THEN 0.3 ELSE 0 END + CASE WHEN messages > 3 THEN 0.4 ELSE 0.2 END)::DOUBLE, 4) AS quality FROM k")
-def t20_skills(spark, d):
-    k = task_sessions(timed(spark, d))
-    quality = F.least(F.lit(1.0), F.when(F.col("turns") >= 2, 0.3).otherwise(0.0) + F.when(F.col("messages") > 3, 0.4).otherwise(0.2))
-    return k.select("conversation_id", "task_no", ((F.col("turns") >= 2) & (F.col("messages") >= 4)).alias("accepted"), F.round(quality, 4).alias("quality"))
-
-
-@query(f"WITH {N} SELECT note_id, CASE WHEN owner = 'public' THEN 'public' ELSE 'self' END AS scope FROM n WHERE owner IN ('agent_main', 'public') AND contains(lower(content), 'budget')")
-def t21_scoped_search(spark, d):
-    hits = notes(spark, d).where(F.col("owner").isin("agent_main", "public")).where(F.lower("content").contains("budget"))
-    return hits.select("note_id", F.when(F.col("owner") == "public", "public").otherwise("self").alias("scope"))
-
-
 @query(f"WITH {MT}, b AS (SELECT conversation_id, message_id, ingest_no, {SIGNALS} sc, least(length(content), 80) n FROM t WHERE content IS NOT NULL), r AS (SELECT message_id, sum(n + 2) OVER (PARTITION BY conversation_id ORDER BY -sc, ingest_no) used FROM b) SELECT message_id, used::BIGINT AS used FROM r WHERE used <= 200")
 def t23_extract(spark, d):
     """Best snippets first, up to 200 characters a conversation."""
@@ -299,35 +259,6 @@ def t31_metrics(spark, d):
 
 # Assembly and lifecycle
 
-L2 = f"""WITH {N}, {SU}, {MT}, i AS (
-  SELECT 'semantic' tier, note_id id, coalesce(length(content), 0) // 4 + 10 cost, -ingest_no o FROM n WHERE superseded_by IS NULL
-  UNION ALL SELECT 'episodic', summary_id, max(coalesce(token_count, 0)), -max(epoch_us(created_at)) FROM s GROUP BY 2
-  UNION ALL SELECT 'working', message_id, {TOK}, -us * 1000 FROM t),
-r AS (SELECT *, sum(cost) OVER (PARTITION BY tier ORDER BY o, id) used FROM i)
-SELECT tier, id, used::BIGINT AS used FROM r WHERE used <= CASE tier WHEN 'working' THEN 3200 ELSE 2400 END"""
-
-
-@query(L2)
-def l2_assemble(spark, d):
-    """Newest items of each tier within its share of 8,000 tokens."""
-    s = sums(spark, d)
-    s = s.withColumn("us", micros(s, "created_at")).groupBy("summary_id").agg(F.max(F.coalesce("token_count", F.lit(0))).alias("cost"), (-F.max("us")).alias("o"))
-    items = (
-        notes(spark, d).where("superseded_by IS NULL").select(F.lit("semantic").alias("tier"), F.col("note_id").alias("id"), (F.floor(F.coalesce(F.length("content"), F.lit(0)) / 4) + 10).alias("cost"), (-F.col("ingest_no")).alias("o"))
-        .unionByName(s.select(F.lit("episodic").alias("tier"), F.col("summary_id").alias("id"), "cost", "o"))
-        .unionByName(timed(spark, d).select(F.lit("working").alias("tier"), F.col("message_id").alias("id"), tok().alias("cost"), (-F.col("us") * 1000).alias("o")))
-    )
-    return running_sums(items, "tier", ["o", "id"], {"used": "cost"}).where("used <= CASE tier WHEN 'working' THEN 3200 ELSE 2400 END").select("tier", "id", "used")
-
-
-@query(f"WITH {M}, x AS (SELECT message_id, {HOURS} h, coalesce(({CLASS}) IN ('decision', 'config', 'code', 'error'), false) e FROM m WHERE created_at IS NOT NULL) SELECT count(*)::BIGINT AS scanned, count(*) FILTER (WHERE NOT e AND h > 720)::BIGINT AS decayed FROM x")
-def l3_sweep(spark, d):
-    m = msgs(spark, d).where("created_at IS NOT NULL")
-    hours = S.hours_between(F.lit(NOW), micros(m, "created_at"))
-    life = S.half_life_hours(F.lit(0.5), F.lit(0))
-    fades = (S.retention_by_hours(hours, life) < 0.3) & (hours > 720) & ~F.coalesce(S.exempt(S.message_class(F.col("content"))), F.lit(False))
-    return m.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(fades).alias("decayed"))
-
 
 @query(f"WITH {MT}, x AS (SELECT conversation_id, count(*) FILTER (WHERE role = 'user') turns, least(sum({TOK}) / 3000.0::DOUBLE, 1.0::DOUBLE) u FROM t GROUP BY 1) SELECT conversation_id, turns % 12 = 0 OR u > 0.85 AS focus, CASE WHEN turns >= 12 THEN 'turns' WHEN u >= 0.85 THEN 'usage' WHEN u >= 0.8 THEN 'threshold' ELSE 'none' END AS reason FROM x")
 def l6_focus(spark, d):

@@ -92,12 +92,6 @@ def f25_json_text(spark, d):
     return json_text(m, "ingest_no", "content")
 
 
-@query("WITH x AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) k FROM events) SELECT event_type, count(*)::BIGINT AS runs, round(avg(floor(value)), 4) AS mean_saved FROM x GROUP BY 1")
-def a16_running_mean(spark, d):
-    """Mean of saved percent by strategy; the exact whole-number recurrence is the ordered fold :func:`whole_mean`."""
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg(F.floor("value")), 4).alias("mean_saved"))
-
-
 @query(f"WITH {M}, x AS (SELECT message_id, conversation_id, ({CLASS}) c, greatest(10.0 + {SIGNALS}, 1.0) b, {HOURS} h, ingest_no FROM m WHERE content IS NOT NULL AND created_at IS NOT NULL AND conversation_id IS NOT NULL), r AS (SELECT message_id, row_number() OVER (PARTITION BY conversation_id ORDER BY round(b * pow(0.5, h / 2000), 6), ingest_no) k FROM x) SELECT message_id FROM r WHERE k <= 100")
 def o5_weakest_hundred(spark, d):
     """The hundred messages of a conversation with the least left."""
@@ -107,14 +101,6 @@ def o5_weakest_hundred(spark, d):
     return m.select("message_id", "conversation_id", "ingest_no", left.alias("left")).withColumn("k", F.row_number().over(w)).where("k <= 100").select("message_id")
 
 
-@query(f"WITH {MT}, r AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY us DESC, ingest_no DESC) k FROM t), o AS (SELECT conversation_id, count(*) FILTER (WHERE k > 8) old, sum({TOK}) tk FROM r GROUP BY 1) SELECT conversation_id, old::BIGINT AS old_messages, CASE WHEN old = 0 THEN 'nothing' WHEN tk < 500 THEN 'wait' ELSE 'compact' END AS step FROM o")
-def t11_compact_plan(spark, d):
-    """What a compaction run would do with each conversation."""
-    m = timed(spark, d).select("conversation_id", (-F.col("us")).alias("back"), (-F.col("ingest_no")).alias("no"), tok().alias("tk"))
-    o = ranked(m, "conversation_id", ["back", "no"], "k").groupBy("conversation_id").agg(F.count_if(F.col("k") > 8).alias("old_messages"), F.sum("tk").alias("tk"))
-    return o.select("conversation_id", "old_messages", F.when(F.col("old_messages") == 0, "nothing").when(F.col("tk") < 500, "wait").otherwise("compact").alias("step"))
-
-
 @query(f"WITH {SU}, {N}, x AS (SELECT 'summary' kind, summary_id id, memory_tier tier, max(created_at) made FROM s GROUP BY 2, 3 UNION ALL SELECT 'note', note_id, 'semantic', max(created_at) FROM n GROUP BY 2), r AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY made DESC NULLS LAST, id) k FROM x) SELECT kind, id, tier FROM r WHERE k <= CASE tier WHEN 'working' THEN 20 WHEN 'episodic' THEN 10 ELSE 5 END")
 def l1_context_by_tier(spark, d):
     s = sums(spark, d).groupBy("summary_id", "memory_tier").agg(F.max("created_at").alias("made")).select(F.lit("summary").alias("kind"), F.col("summary_id").alias("id"), F.col("memory_tier").alias("tier"), "made")

@@ -68,16 +68,6 @@ TOK = f"coalesce({TOKENS}, 0)"
 # Scans
 
 
-@query(f"WITH {M} SELECT message_id, conversation_id, seq, role FROM m WHERE conversation_id = 'conv_00000000default'")
-def s1_messages_of(spark, d):
-    return msgs(spark, d).where("conversation_id = 'conv_00000000default'").select("message_id", "conversation_id", "seq", "role")
-
-
-@query(f"WITH {SU} SELECT summary_id, depth, kind FROM s WHERE depth = 1")
-def s2_summaries_of_depth(spark, d):
-    return sums(spark, d).where("depth = 1").select("summary_id", "depth", "kind")
-
-
 @query("SELECT conversation_id, count(*)::BIGINT AS n_messages, count(*) FILTER (WHERE content IS NULL)::BIGINT AS n_rejected FROM messages WHERE conversation_id IS NOT NULL GROUP BY 1 HAVING count(content) > 0")
 def s5_import_groups(spark, d):
     df = table(spark, d, "messages").where("conversation_id IS NOT NULL")
@@ -129,40 +119,16 @@ def x3_upsert_entities(spark, d):
     return df.groupBy("entity_name", F.coalesce("entity_type", F.lit("unknown")).alias("entity_type")).agg(F.min("f").alias("first_us"), F.max("l").alias("last_us"), F.sum("mention_count").alias("mentions"))
 
 
-@query(f"WITH {M}, corr AS (SELECT message_id, max(ingest_no) k FROM messages WHERE role = 'system' GROUP BY 1), gone AS (SELECT message_id FROM messages WHERE content = '') SELECT m.message_id, CASE WHEN corr.k IS NOT NULL THEN 'corrected' ELSE 'plain' END AS state FROM m LEFT JOIN corr USING (message_id) WHERE m.message_id NOT IN (SELECT message_id FROM gone WHERE message_id IS NOT NULL)")
-def x4_corrections(spark, d):
-    """Current view: last corrections joined on, deleted rows taken out."""
-    base = table(spark, d, "messages")
-    corr = base.where("role = 'system' AND message_id IS NOT NULL").groupBy("message_id").agg(F.max("ingest_no").alias("k"))
-    gone = base.where("content = ''").select("message_id").distinct()
-    return msgs(spark, d).join(corr, "message_id", "left").join(gone, "message_id", "left_anti").select("message_id", F.when(F.col("k").isNotNull(), "corrected").otherwise("plain").alias("state"))
-
-
 @query(f"WITH {M}, {SM} SELECT message_id FROM m WHERE message_id NOT IN (SELECT message_id FROM sm)")
 def x5_context_removed(spark, d):
     return msgs(spark, d).join(leaves(spark, d), "message_id", "left_anti").select("message_id")
 
 
-@query(f"WITH {M}, x AS (SELECT message_id FROM m WHERE created_at < (SELECT max(created_at) FROM messages) - INTERVAL 180 DAY) SELECT count(*)::BIGINT AS n, array_to_string(list(message_id ORDER BY message_id)[1:10], ',') AS first_ids FROM x")
-def x6_prune_preview(spark, d):
-    """How many rows a prune would delete, and the first ten ids."""
-    m = msgs(spark, d)
-    cutoff = m.groupBy().agg(F.max("created_at").alias("newest"))
-    old = m.join(F.broadcast(cutoff)).where("created_at < newest - INTERVAL 180 DAY").select("message_id")
-    firsts = old.orderBy("message_id").limit(10).agg(F.array_join(F.array_sort(F.collect_list("message_id")), ",").alias("first_ids"))
-    return old.agg(F.count(F.lit(1)).alias("n")).join(firsts)
-
-
 @query("SELECT vec_id % 400 AS chunk_id, arg_max(label, vec_id) AS label FROM embeddings GROUP BY 1")
 def x7_replace_embeddings(spark, d):
     return table(spark, d, "embeddings").groupBy((F.col("vec_id") % 400).alias("chunk_id")).agg(F.max_by("label", "vec_id").alias("label"))
 
 
-@query(f"WITH {N} SELECT owner, count(*)::BIGINT AS n, count(*) FILTER (WHERE superseded_by IS NULL)::BIGINT AS open FROM n GROUP BY 1")
-def x9_latest_state(spark, d):
-    return notes(spark, d).groupBy("owner").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("superseded_by").isNull()).alias("open"))
-
-
 @query("SELECT ingest_no, conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY ingest_no) AS ordinal FROM messages WHERE conversation_id IS NOT NULL")
 def x10_ordinals(spark, d):
     """The next ordinal of a conversation as a rank of arrival: ranked in range chunks, so hot conversations are spread."""
@@ -200,13 +166,6 @@ def flt3_exempt_ids(spark, d):
     return msgs(spark, d).where("content IS NOT NULL").where(S.exempt(S.message_class(F.col("content")))).select("message_id")
 
 
-@query(f"WITH {M} SELECT message_id, ({CLASS}) AS class FROM m WHERE content IS NOT NULL AND {HOURS} > 30 * 24 AND ({CLASS}) NOT IN ('decision', 'config', 'code', 'error')")
-def flt4_sweep_candidates(spark, d):
-    m = msgs(spark, d).where("content IS NOT NULL")
-    cls = S.message_class(F.col("content"))
-    return m.where(S.hours_between(F.lit(NOW), micros(m, "created_at")) > 30 * 24).where(~S.exempt(cls)).select("message_id", cls.alias("class"))
-
-
 @query(f"WITH {N} SELECT note_id, category FROM n WHERE category IN ('decision', 'constraint') AND superseded_by IS NULL")
 def flt5_active_notes(spark, d):
     return notes(spark, d).where("category IN ('decision', 'constraint') AND superseded_by IS NULL").select("note_id", "category")
@@ -317,11 +276,6 @@ def a5_usage(spark, d):
     return msgs(spark, d).groupBy("conversation_id").agg(F.round(F.least(F.sum(tok()) / 4000.0, F.lit(1.0)), 6).alias("usage"))
 
 
-@query(f"WITH {SU} SELECT conversation_id, depth, count(*)::BIGINT AS n, max(descendant_count) AS most FROM s GROUP BY 1, 2")
-def a6_structure(spark, d):
-    return sums(spark, d).groupBy("conversation_id", "depth").agg(F.count(F.lit(1)).alias("n"), F.max("descendant_count").alias("most"))
-
-
 @query(f"WITH {M}, {SU}, a AS (SELECT conversation_id, sum({TOK})::BIGINT tokens FROM m GROUP BY 1), b AS (SELECT conversation_id, count(*)::BIGINT n FROM s GROUP BY 1) SELECT a.conversation_id, tokens, coalesce(n, 0) AS summaries, tokens >= 3000 AS needs FROM a LEFT JOIN b USING (conversation_id)")
 def a7_monitor(spark, d):
     a = msgs(spark, d).groupBy("conversation_id").agg(F.sum(tok()).alias("tokens"))

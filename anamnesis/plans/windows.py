@@ -76,9 +76,8 @@ e AS (SELECT *, sum(split::INT) OVER (PARTITION BY conversation_id ORDER BY turn
 SELECT conversation_id, task_no::BIGINT AS task_no, count(*)::BIGINT AS turns, sum(n)::BIGINT AS messages, min(first_us) AS begin_us FROM e GROUP BY 1, 2"""
 
 
-@query(T19_SQL)
-def t19_tasks(spark, d):
-    return task_sessions(timed(spark, d))
+QUERIES["t19_tasks"] = lambda spark, d: task_sessions(timed(spark, d))
+SQL["t19_tasks"] = T19_SQL
 
 
 QUERIES["w6_task_sessions"] = lambda spark, d: task_sessions(timed(spark, d), gap_us=3_600_000_000)
@@ -171,7 +170,3 @@ def w16_event_sessions(spark, d):
     return ev.groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "12 hours")).agg(F.count(F.lit(1)).alias("n")).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"))
 
 
-@query(f"WITH {SU}, d AS (SELECT summary_id, max(created_at) a FROM s GROUP BY 1), r AS (SELECT summary_id, row_number() OVER (ORDER BY a DESC, summary_id) k FROM d) SELECT summary_id FROM r WHERE k <= 100")
-def t30_bounded_history(spark, d):
-    return sums(spark, d).groupBy("summary_id").agg(F.max("created_at").alias("a")).orderBy(F.desc("a"), "summary_id").limit(100).select("summary_id")
-
