@@ -81,20 +81,22 @@ def capped_episodes(rows: DataFrame, cap: int, first_counts: bool = True) -> Dat
     """Split episodes whose tokens pass a cap; ``rows``: conversation_id, episode_no, us, ingest_no, message_id, tokens.
 
     An episode is folded in order by a counter that starts again at every cut,
-    as the message at which it is cut doesn't count.  Episodes are cut by the
-    hour gap before, which bounds what one fold holds.  Without ``first_counts``
-    the message that begins an episode doesn't count either.
+    as the message at which it is cut doesn't count.  Only episodes with more
+    tokens than the cap are folded, as pairs of place and tokens, and the fold
+    gives the places of the cuts.  Without ``first_counts`` the message that begins
+    an episode doesn't count either.
     """
-    item = F.struct("us", "ingest_no", "message_id", F.col("tokens").cast("bigint").alias("tokens"))
-    folded = rows.groupBy("conversation_id", "episode_no").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    key = ["conversation_id", "episode_no"]
+    place = F.struct("us", "ingest_no")
+    large = rows.groupBy(*key).agg(F.sum("tokens").alias("t")).where(F.col("t") > cap).select(*key)
+    items = rows.join(large, key, "left_semi").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), F.col("tokens").cast("bigint").alias("tokens")))).alias("items"))
     begin = F.lit(0) if first_counts else -F.element_at("items", 1)["tokens"]
-    start = F.struct(begin.cast("bigint").alias("sum"), F.lit(0).alias("part"), F.array().cast("array<struct<message_id:string,part:int>>").alias("out"))
-    step = lambda a, x: F.when(
-        a["sum"] + x["tokens"] > cap,
-        F.struct(F.lit(0).cast("bigint").alias("sum"), (a["part"] + 1).alias("part"), F.array_append(a["out"], F.struct(x["message_id"].alias("message_id"), (a["part"] + 1).alias("part"))).alias("out")),
-    ).otherwise(F.struct((a["sum"] + x["tokens"]).alias("sum"), a["part"].alias("part"), F.array_append(a["out"], F.struct(x["message_id"].alias("message_id"), a["part"].alias("part"))).alias("out")))
-    done = folded.select("conversation_id", "episode_no", F.explode(F.aggregate("items", start, step, lambda a: a["out"])).alias("o"))
-    return done.select("conversation_id", "episode_no", "o.message_id", "o.part")
+    start = F.struct(begin.cast("bigint").alias("sum"), F.array().cast("array<struct<us:bigint,ingest_no:bigint>>").alias("cuts"))
+    step = lambda a, x: F.when(a["sum"] + x["tokens"] > cap, F.struct(F.lit(0).cast("bigint").alias("sum"), F.array_append(a["cuts"], F.struct(x["at"]["us"].cast("bigint").alias("us"), x["at"]["ingest_no"].cast("bigint").alias("ingest_no"))).alias("cuts"))).otherwise(F.struct((a["sum"] + x["tokens"]).alias("sum"), a["cuts"].alias("cuts")))
+    cuts = items.select(*key, F.aggregate("items", start, step)["cuts"].alias("cuts"))
+    own = F.struct(F.col("us").cast("bigint").alias("us"), F.col("ingest_no").cast("bigint").alias("ingest_no"))
+    part = F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c <= own)))
+    return rows.join(cuts, key, "left").select(*key, "message_id", part.alias("part"))
 
 
 def merged_episodes(parts: DataFrame, least: int) -> DataFrame:

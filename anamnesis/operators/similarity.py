@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from anamnesis.functions.text import cosine
 from anamnesis.session import cut, ship_package
 
 #: Items with one prefix term on one side of a join key.
@@ -163,6 +164,39 @@ def components(pairs: DataFrame) -> DataFrame:
         label = nxt.select("id", F.col("new").alias("root"))
 
 
+def near_vectors(vectors: DataFrame, id_col: str, vec: str, least: float, bands: int = 24, bits: int = 8, seed: int = 11) -> DataFrame:
+    """id_a < id_b, score of vectors with a cosine above ``least``, by bands of sides of random planes.
+
+    Vectors that lie on the same side of all ``bits`` planes of a band meet and are
+    compared exactly.  Two vectors agree in a plane with a chance of 1 - angle / pi:
+    at a cosine of 0.85 a pair is missed with a chance of 0.004 (24 bands of 8).
+    Vectors without length, null ones and null ids are like nothing.
+    """
+    import numpy as np
+
+    ship_package(vectors.sparkSession)
+    rows = vectors.where(F.col(vec).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v"))
+
+    def keys(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            m = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+            full = np.linalg.norm(m, axis=1) > 0
+            planes = np.random.default_rng(seed).standard_normal((m.shape[1], bands * bits))
+            side = (m @ planes > 0).reshape(len(m), bands, bits) @ (1 << np.arange(bits))
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[full].repeat(bands), "key": (np.arange(bands) * (1 << bits) + side[full]).ravel()})
+
+    keyed = rows.mapInPandas(keys, "id long, key long")
+    n = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n > {SALT}").select("key", F.expr(f"CAST(n DIV {SALT} AS INT)").alias("more"))
+    salted = keyed.join(n, "key", "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    a = salted.select("key", F.expr("CAST(pmod(xxhash64(id), more + 1) AS INT)").alias("salt"), F.col("id").alias("id_a"))
+    b = salted.select("key", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("salt"), F.col("id").alias("id_b"))
+    met = a.join(b, ["key", "salt"]).where("id_a < id_b").select("id_a", "id_b").distinct()
+    both = met.join(rows.toDF("id_a", "v_a"), "id_a").join(rows.toDF("id_b", "v_b"), "id_b")
+    return both.select("id_a", "id_b", F.round(cosine(F.col("v_a"), F.col("v_b")), 5).alias("score")).where(F.col("score") > least)
+
+
 def keep_first(df: DataFrame, key, order: list) -> DataFrame:
     """Exact duplicates by a normalised key: 1 for the row that is kept."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))

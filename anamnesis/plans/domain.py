@@ -12,7 +12,7 @@ from anamnesis.operators.ordered import ranked, running_sums
 from anamnesis.plans.relational import M, N, SM, SP, SU, TOK, leaves, msgs, notes, parents, sums, tok
 from anamnesis.plans.scalar import CLASS, HOURS, NOW, SIGNALS, q
 from anamnesis.plans.windows import MT, T19_SQL, timed
-from anamnesis.operators.segments import capped_episodes, episodes, merged_episodes, task_sessions
+from anamnesis.operators.segments import capped_episodes, episodes, merged_episodes
 from anamnesis.session import cut, micros, table
 
 QUERIES: dict = {}
@@ -54,14 +54,25 @@ def g1_expand_messages(spark, d):
     return own.join(msgs(spark, d), "message_id").select("root", "message_id", "seq")
 
 
-@query(f"WITH {SM}, {M}, e AS (SELECT DISTINCT entity_name FROM entities WHERE entity_type = 'project') SELECT DISTINCT sm.summary_id, m.message_id FROM sm JOIN m USING (message_id) JOIN e ON contains(m.content, e.entity_name)")
+WORD = "[A-Za-z0-9_-]+"
+
+
+def named_messages(m, names):
+    """message_id, name of the messages that hold a name, beginning with a whole word: equi-joined on the name's first word."""
+    keyed = names.select("name", F.regexp_extract("name", WORD, 0).alias("word")).where("word <> ''").distinct()
+    words = m.where("content IS NOT NULL").select("message_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(WORD), F.lit(0)))).alias("word"))
+    met = words.join(keyed, "word").select("message_id", "name")
+    return met.join(m.select("message_id", "content"), "message_id").where(F.col("content").contains(F.col("name"))).select("message_id", "name").distinct()
+
+
+@query(f"{EXPAND}, o AS (SELECT DISTINCT root, message_id FROM k JOIN sm ON sm.summary_id = k.node), en AS (SELECT DISTINCT entity_name FROM entities WHERE entity_type = 'project'), h AS (SELECT message_id, content, unnest(list_distinct(regexp_extract_all(content, '{WORD}'))) w FROM m WHERE content IS NOT NULL) SELECT DISTINCT o.root, o.message_id, en.entity_name AS name FROM o JOIN h USING (message_id) JOIN en ON regexp_extract(en.entity_name, '{WORD}') = h.w AND contains(h.content, en.entity_name)")
 def g2_expand_by_entity(spark, d):
-    """Messages of a summary that name a known project; the short name list (at most 100,000 names) goes to every task."""
-    names = [r[0] for r in table(spark, d, "entities").where("entity_type = 'project' AND entity_name IS NOT NULL").select("entity_name").distinct().limit(100_001).collect()]
-    if len(names) > 100_000:
-        raise ValueError("too many names for one pattern")
-    hit = F.col("content").rlike("|".join("\\Q" + n + "\\E" for n in sorted(names)) or "(?!)")
-    return leaves(spark, d).join(msgs(spark, d).where(hit), "message_id").select("summary_id", "message_id").distinct()
+    """Summaries expanded down to the messages that name a known project."""
+    own = expanded(spark, d).join(leaves(spark, d), F.col("node") == F.col("summary_id")).select("root", "message_id").distinct()
+    names = table(spark, d, "entities").where("entity_type = 'project' AND entity_name IS NOT NULL").select(F.col("entity_name").alias("name"))
+    below = own.select("message_id").distinct()
+    hits = named_messages(msgs(spark, d).join(below, "message_id", "left_semi"), names)
+    return own.join(hits, "message_id").select("root", "message_id", "name")
 
 
 @query(f"WITH {SP}, {SM} SELECT coalesce(a.summary_id, b.summary_id) AS summary_id, coalesce(a.n, 0)::BIGINT AS summaries, coalesce(b.n, 0)::BIGINT AS messages FROM (SELECT summary_id, count(*) n FROM sp GROUP BY 1) a FULL JOIN (SELECT summary_id, count(*) n FROM sm GROUP BY 1) b USING (summary_id)")
@@ -164,21 +175,21 @@ T16 = f"WITH {N}, {M}, {T16_CTE} SELECT note_id, message_id, 0.9::DOUBLE AS scor
 @query(T16)
 def t16_contradictions(spark, d):
     """Messages that deny a claim of an open note of their conversation: a denial, at most 20 characters, a word of the note."""
-    return contradictions(spark, d).select("note_id", "message_id", F.lit(0.9).alias("score"))
+    return contradictions(notes(spark, d), msgs(spark, d)).select("note_id", "message_id", F.lit(0.9).alias("score"))
 
 
-def contradictions(spark, d):
-    """note_id, message_id, ingest_no.
+def contradictions(n, m):
+    """note_id, message_id, ingest_no of notes (note_id, conversation_id, content, superseded_by) and messages.
 
     A word of a note is looked up by its first two or three letters among the
     places up to 20 characters behind each denial, in an equi-join on conversation
     and letters; only what meets there is compared whole.
     """
-    n = notes(spark, d).where("superseded_by IS NULL")
+    n = n.where("superseded_by IS NULL")
     words = F.regexp_extract_all("content", F.lit(L.CLAIM_WORDS), F.lit(0))
     w = n.select("note_id", "conversation_id", F.explode(F.array_distinct(F.transform(words, F.lower))).alias("k"))
     w = w.select("note_id", "conversation_id", "k", F.substring("k", 1, 3).alias("key"))
-    m = msgs(spark, d).where("length(content) >= 10").where(F.col("content").rlike("(?i)" + ANY_NEG))
+    m = m.where("length(content) >= 10").where(F.col("content").rlike("(?i)" + ANY_NEG))
     m = cut(m.select("message_id", "conversation_id", "ingest_no", F.lower("content").alias("low")))
     hits = F.concat(*[T.match_starts(F.col("low"), p) for p in L.NEGATIONS])
     ends = m.select("message_id", "conversation_id", "low", F.explode(F.array_distinct(F.transform(hits, lambda h: h["start"] + F.length(h["hit"])))).alias("at"))
@@ -193,7 +204,7 @@ def contradictions(spark, d):
 @query(f"WITH {N}, {M}, {T16_CTE}, f AS (SELECT note_id, arg_min(message_id, ingest_no) message_id FROM x GROUP BY 1) SELECT f.note_id AS old_note_id, 'note_' || substring(sha256(f.note_id || f.message_id), 1, 16) AS note_id, coalesce(n.category, 'decision') AS category, '[更新] ' || substring(m.content, 1, 200) AS content, 0.7::DOUBLE AS confidence FROM f JOIN n ON n.note_id = f.note_id JOIN m USING (message_id)")
 def t17_reconcile(spark, d):
     """The first message that denies an open note becomes a note of its category; the old one is superseded by it."""
-    first = contradictions(spark, d).groupBy("note_id").agg(F.min_by("message_id", "ingest_no").alias("message_id"))
+    first = contradictions(notes(spark, d), msgs(spark, d)).groupBy("note_id").agg(F.min_by("message_id", "ingest_no").alias("message_id"))
     new = first.join(notes(spark, d).select("note_id", "category"), "note_id").join(msgs(spark, d).select("message_id", "content"), "message_id")
     return new.select(F.col("note_id").alias("old_note_id"), T.short_id(F.concat("note_id", "message_id"), 16, "note_").alias("note_id"), F.coalesce("category", F.lit("decision")).alias("category"), F.concat(F.lit("[更新] "), F.substring("content", 1, 200)).alias("content"), F.lit(0.7).alias("confidence"))
 

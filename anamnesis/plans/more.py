@@ -121,7 +121,3 @@ def l9_after_turn(spark, d):
     return u.select("conversation_id", ((F.col("n") > 0) & ((F.col("n") % 12 == 0) | (F.col("x") > 0.85)) | (F.col("x") >= 0.8)).alias("due"))
 
 
-@query()
-def st5_provider_summaries(spark, d):
-    """Summaries by a provider object inside a batch function; the stand-in is the extractive one."""
-    return summarise(table(spark, d, "notes").where("content IS NOT NULL").select(F.col("ingest_no").alias("id"), F.col("content").alias("text")), Extractive(80))

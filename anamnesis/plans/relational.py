@@ -211,11 +211,13 @@ def j5_condensed_sources(spark, d):
     return parents(spark, d).join(s, F.col("parent_summary_id") == F.col("source_id")).select("summary_id", "source_id", "kind").distinct()
 
 
-@query("SELECT DISTINCT e.entity_id, m.conversation_id FROM entities e JOIN messages m ON e.conversation_id = m.conversation_id AND contains(m.content, e.entity_name)")
+@query("SELECT DISTINCT e.entity_id, m.conversation_id FROM (SELECT *, regexp_extract(entity_name, '[A-Za-z0-9_-]+') w FROM entities) e JOIN (SELECT conversation_id, content, unnest(list_distinct(regexp_extract_all(content, '[A-Za-z0-9_-]+'))) w FROM messages WHERE content IS NOT NULL) m ON e.conversation_id = m.conversation_id AND e.w = m.w AND e.w <> '' AND contains(m.content, e.entity_name)")
 def j6_entity_mentions(spark, d):
-    e = table(spark, d, "entities").select("entity_id", "conversation_id", "entity_name")
-    m = table(spark, d, "messages").select("conversation_id", "content")
-    return m.join(e, "conversation_id").where(F.col("content").contains(F.col("entity_name"))).select("entity_id", "conversation_id").distinct()
+    """Entities that messages of their conversation name: joined on the first word of the name, then compared whole."""
+    word = "[A-Za-z0-9_-]+"
+    e = table(spark, d, "entities").select("entity_id", "conversation_id", "entity_name", F.regexp_extract("entity_name", word, 0).alias("w")).where("w <> ''")
+    m = table(spark, d, "messages").where("content IS NOT NULL").select("conversation_id", "content", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(word), F.lit(0)))).alias("w"))
+    return m.join(e, ["conversation_id", "w"]).where(F.col("content").contains(F.col("entity_name"))).select("entity_id", "conversation_id").distinct()
 
 
 @query(f"WITH {M}, {SU} SELECT message_id AS id FROM m WHERE conversation_id IN (SELECT conversation_id FROM conversations) UNION SELECT summary_id FROM s WHERE conversation_id IN (SELECT conversation_id FROM conversations)")

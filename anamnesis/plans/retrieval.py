@@ -330,6 +330,16 @@ def t3_embedding_neighbours(spark, d):
     return R.near_queries(table(spark, d, "embeddings"), "vec_id", "embedding", "vec_id % 100 = 0", 0.3)
 
 
+@query()
+def t3_embedding_removed(spark, d):
+    """Vectors that a greedy pass removes as they are nearer than 0.85 to an earlier one that stays."""
+    v = table(spark, d, "embeddings")
+    pairs = cut(X.near_vectors(v, "vec_id", "embedding", 0.85).select("id_a", "id_b"))
+    groups = cut(X.components(pairs))
+    items = groups.select(F.col("root").alias("grp"), "id", F.lit(1.0).alias("score"), F.col("id").alias("place"))
+    return X.greedy_removal(pairs.join(groups.toDF("id_a", "grp"), "id_a").select("grp", "id_a", "id_b"), items).select(F.col("id").alias("vec_id"))
+
+
 @query(f"WITH {M}, x AS (SELECT message_id, regexp_extract_all(content, '[a-z]+') w FROM m WHERE lower(role) = 'tool' AND content IS NOT NULL), v AS (SELECT DISTINCT message_id, unnest(w) t FROM x), n AS (SELECT message_id, count(*) k FROM v GROUP BY 1), p AS (SELECT a.message_id id_a, b.message_id id_b, count(*) shared FROM v a JOIN v b ON a.t = b.t AND a.message_id < b.message_id GROUP BY 1, 2) SELECT id_a, id_b FROM p JOIN n a ON a.message_id = id_a JOIN n b ON b.message_id = id_b WHERE shared * 5 > (a.k + b.k - shared) * 4")
 def t6_tool_repeats(spark, d):
     """Tool messages that nearly repeat each other, by word sets above 0.8."""

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from anamnesis.operators.search import query_terms
 from anamnesis.session import ship_package
 
 
@@ -41,14 +42,19 @@ class Extractive:
 
 
 class Hashed:
-    """The embedder without a model: a projection seeded by the text, the same at every call."""
+    """The embedder without a model: each word adds 1 or -1 to the dimension its hash names, so texts with common words
+    have near vectors; the same at every call."""
 
     def __init__(self, size: int = 64):
         self.size = size
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        seed = lambda t: int.from_bytes(hashlib.sha256(t.encode()).digest()[:8], "big")
-        return [np.random.default_rng(seed(t)).standard_normal(self.size).tolist() for t in texts]
+        out = np.zeros((len(texts), self.size))
+        for i, t in enumerate(texts):
+            for term in query_terms(t):
+                h = int.from_bytes(hashlib.md5(term.encode()).digest()[:8], "big")
+                out[i, h % self.size] += 1 if h >> 63 else -1
+        return out.tolist()
 
 
 class Fallback:

@@ -26,11 +26,18 @@ def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -
 
 
 def read_conversations(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of JSON files: a conversation, a list of them, or one a line."""
+    """Messages of JSON files: a conversation, or a list of them."""
     df = spark.read.schema(CONVERSATION).option("multiLine", True).json(path)
     return df.select("conversationId", F.posexplode("messages").alias("position", "m")).select("conversationId", "position", "m.*")
 
 
+def read_conversation_maps(spark: SparkSession, path: str) -> DataFrame:
+    """Messages of JSON lines that map ids of conversations to their messages; broken lines give nothing."""
+    held = F.from_json("value", T.MapType(T.StringType(), T.ArrayType(MESSAGE)))
+    pairs = spark.read.text(path).select(F.explode(held).alias("conversationId", "messages"))
+    return pairs.select("conversationId", F.posexplode("messages").alias("position", "m")).select("conversationId", "position", "m.*")
+
+
 def read_table(spark: SparkSession, path: str, mapping: dict[str, str], defaults: dict | None = None) -> DataFrame:
     """CSV rows with renamed columns and defaults for missing values."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
@@ -61,11 +68,24 @@ def write_session_lines(messages: DataFrame, path: str) -> None:
     messages.select(F.to_json(F.struct(F.lit("message").alias("type"), m.alias("message"))).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_conversations(messages: DataFrame, path: str) -> None:
-    """Conversations as JSON lines, at most 1,000 messages an object, so that a hot conversation is many objects."""
+def write_conversations(messages: DataFrame, path: str, shape: str = "single") -> None:
+    """Conversations as JSON, at most 1,000 messages an object, so that a hot conversation is many objects.
+
+    Shapes: single (an object a line), list (a list of objects a line) and map (an object a line, from id to messages).
+    """
     m = F.struct(F.col("message_id").alias("id"), "seq", "role", "content")
     g = messages.groupBy(F.col("conversation_id").alias("conversationId"), F.expr("ingest_no DIV 1000").alias("part")).agg(F.collect_list(m).alias("messages"))
-    g.drop("part").write.mode("overwrite").json(path)
+    one = F.struct("conversationId", "messages")
+    text = {"single": F.to_json(one), "list": F.to_json(F.array(one)), "map": F.to_json(F.map_from_arrays(F.array("conversationId"), F.array("messages")))}[shape]
+    g.select(text.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_conversation_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Messages of JSON lines, each a conversation or a list of them."""
+    line = F.trim("value")
+    many = F.when(line.startswith("["), F.from_json("value", T.ArrayType(CONVERSATION))).otherwise(F.array(F.from_json("value", CONVERSATION)))
+    one = spark.read.text(path).select(F.explode(many).alias("c"))
+    return one.select("c.conversationId", F.posexplode("c.messages").alias("position", "m")).select("conversationId", "position", "m.*")
 
 
 def import_new(messages: DataFrame, seen: DataFrame, text: str = "content") -> DataFrame:

@@ -77,3 +77,27 @@ def ingest(messages: DataFrame, sink) -> None:
 def first_seen(rows: DataFrame, key: str, time: str, late: str) -> DataFrame:
     """Each key once; keys are forgotten when the watermark passes them."""
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+
+
+def run_to_end(spark: SparkSession, build, source: DataFrame, time: str) -> DataFrame:
+    """Run a windowed stream to its end and give its table: the windows that are still open are closed by an end mark.
+
+    ``build`` makes the stream of the source (a watermark and windows in append
+    mode).  A first pass takes all that is there; then a row at the end of time
+    (all else null) comes in through a second source and pushes the watermark past
+    every window.  Rows that are later than the watermark are left out, as in a
+    stream that runs on.
+    """
+    marks, out, progress = folder(spark, "marks"), folder(spark, "stream"), folder(spark, "progress")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(marks)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    stream = build(source.unionByName(spark.readStream.schema(source.schema).parquet(marks)))
+
+    def once() -> None:
+        stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", progress).trigger(availableNow=True).start(out).awaitTermination()
+
+    once()
+    end = spark.range(1).select(*[(F.lit("2200-01-01 00:00:00") if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in source.schema.fields])
+    end.coalesce(1).write.mode("append").parquet(marks)
+    once()
+    return spark.read.schema(stream.schema).parquet(out)
