@@ -2,9 +2,10 @@
 
 Sizes are whole token counts up to the capacity, so a corpus of any length is a
 histogram of at most ``capacity`` entries.  The plan is made on this histogram:
-for the largest size left, the gap to the capacity is looked up among indexed
-sums of one, two and three lengths that are still available; a combination that
-fills the gap exactly is taken as often as the counts allow.  Where none exists
+for the largest size left, the gap to the capacity is looked up among sums of
+one, two and three lengths that are still available, off an exact index of sums
+of two; a combination that fills the gap exactly is taken as often as the counts
+allow.  Where none exists
 the largest length that fits is added and the new gap looked up again; what
 never closes exactly is a best-fit residual.  Every step uses up at least one
 length, so the plan has about as many entries as there are lengths.
@@ -31,73 +32,109 @@ MAX_CAPACITY = 1 << 20
 MAX_BUDGETS = 64
 
 
-def complement(gap: int, counts: np.ndarray, lengths: np.ndarray, pair_sums: np.ndarray) -> list[int] | None:
-    """One, two or three available lengths that add up to the gap, longest first."""
-    if gap < len(counts) and counts[gap] > 0:
-        return [gap]
-    upto = lengths[: np.searchsorted(lengths, gap, "right")]
-    if not len(upto):
+class Stock:
+    """The lengths that are left, with an index of the sums of two of them.
+
+    ``ways[s]`` says how many pairs of different lengths that are left add up to
+    s, exactly and at any time: it comes from one convolution, and a length that
+    runs out takes its pairs with it.  Sums of three are looked up as one length
+    and an indexed sum of two.
+    """
+
+    def __init__(self, histogram: dict[int, int], capacity: int):
+        self.capacity = capacity
+        self.counts = np.zeros(capacity + 1, np.int64)
+        for length, n in histogram.items():
+            self.counts[length] = n
+        self.lengths = np.flatnonzero(self.counts)
+        seen = (self.counts > 0).astype(np.float64)
+        size = 1 << (2 * capacity + 1).bit_length()
+        both = np.rint(np.fft.irfft(np.fft.rfft(seen, size) ** 2, size)[: capacity + 1]).astype(np.int64)
+        doubles = np.zeros(capacity + 1, np.int64)
+        own = self.lengths[2 * self.lengths <= capacity]
+        doubles[2 * own] = 1
+        self.ways = (both - doubles) // 2
+        self.gone = 0
+
+    def take(self, length: int, times: int = 1) -> None:
+        self.counts[length] -= times
+        if not self.counts[length]:
+            upto = self.lengths[: np.searchsorted(self.lengths, self.capacity - length, "right")]
+            upto = upto[self.counts[upto] > 0]
+            self.ways[upto + length] -= 1
+            self.gone += 1
+            if self.gone * 8 > len(self.lengths):
+                self.lengths, self.gone = self.lengths[self.counts[self.lengths] > 0], 0
+
+    def largest(self, upto: int) -> int:
+        """The largest length that is left and fits, or 0."""
+        at = int(np.searchsorted(self.lengths, upto, "right"))
+        while at > 0:
+            block = self.lengths[max(0, at - 64) : at]
+            live = np.flatnonzero(self.counts[block])
+            if len(live):
+                return int(block[live[-1]])
+            at -= 64
+        return 0
+
+    def pair(self, gap: int) -> list[int] | None:
+        if gap % 2 == 0 and self.counts[gap // 2] > 1:
+            return [gap // 2] * 2
+        if gap <= self.capacity and self.ways[gap] > 0:
+            high = self.lengths[np.searchsorted(self.lengths, gap // 2, "right") : np.searchsorted(self.lengths, gap, "left")]
+            for lo in range(len(high), 0, -256):
+                block = high[max(0, lo - 256) : lo]
+                fit = np.flatnonzero((self.counts[block] > 0) & (self.counts[gap - block] > 0))
+                if len(fit):
+                    return [int(block[fit[-1]]), int(gap - block[fit[-1]])]
+        return None
+
+    def complement(self, gap: int) -> list[int] | None:
+        """One, two or three lengths that are left and add up to the gap, longest first."""
+        if self.counts[gap] > 0:
+            return [gap]
+        if found := self.pair(gap):
+            return found
+        upto = self.lengths[: np.searchsorted(self.lengths, gap, "left")]
+        for lo in range(len(upto), 0, -256):
+            block = upto[max(0, lo - 256) : lo][::-1]
+            rest = gap - block
+            for a in block[(self.counts[block] > 0) & ((self.ways[rest] > 0) | (rest % 2 == 0) & (self.counts[rest // 2] > 1))]:
+                if (found := self.pair(gap - int(a))) and self.counts[a] > found.count(int(a)):
+                    return [int(a), *found]
         return None
-    pair = _pair(gap, counts, upto)
-    if pair:
-        return pair
-    for a in upto[::-1][pair_sums[gap - upto[::-1]]]:
-        counts[a] -= 1
-        rest = _pair(gap - int(a), counts, upto)
-        counts[a] += 1
-        if rest and counts[a] > rest.count(int(a)):
-            return [int(a), *rest]
-    return None
-
-
-def _pair(gap: int, counts: np.ndarray, lengths: np.ndarray) -> list[int] | None:
-    half = lengths[(2 * lengths >= gap) & (lengths < gap)]
-    half = half[(counts[half] > 0) & (counts[gap - half] > 0)]
-    for a in half[::-1]:
-        if 2 * a != gap or counts[a] > 1:
-            return [int(a), int(gap - a)]
-    return None
 
 
 def plan_containers(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
-    """(how often, lengths) of the containers that hold a histogram of lengths 1..capacity."""
-    counts = np.zeros(capacity + 1, np.int64)
-    for length, n in histogram.items():
-        counts[length] = n
+    """(how often, lengths) of the containers that hold a histogram of lengths 1..capacity.
+
+    Work grows with the square of the number of different lengths, in array steps.
+    """
+    stock = Stock(histogram, capacity)
     plan: list[tuple[int, list[int]]] = []
-    pair_sums, stale = np.zeros(capacity + 1, bool), 1.0
-    while True:
-        lengths = np.flatnonzero(counts)
-        if not len(lengths):
-            return plan
-        if len(lengths) < 0.95 * stale or stale == 1.0:  # only sums that can't be made any more need to go
-            seen = counts > 0
-            pair_sums = np.zeros(capacity + 1, bool)
-            for a in lengths:
-                pair_sums[a:] |= seen[: capacity + 1 - a]
-            stale = len(lengths)
-        chosen = [int(lengths[-1])]
-        counts[chosen[0]] -= 1
-        gap = capacity - chosen[0]
+    while first := stock.largest(capacity):
+        chosen = [first]
+        stock.take(first)
+        gap = capacity - first
         while gap > 0:
-            rest = complement(gap, counts, lengths, pair_sums) if gap <= 3 * int(lengths[-1]) else None
-            if rest:
+            if rest := stock.complement(gap):
                 chosen += rest
                 for x in rest:
-                    counts[x] -= 1
+                    stock.take(x)
                 break
-            fit = lengths[: np.searchsorted(lengths, gap, "right")]
-            fit = fit[counts[fit] > 0]
-            if not len(fit):
+            fit = stock.largest(gap)
+            if not fit:
                 break
-            chosen.append(int(fit[-1]))
-            counts[chosen[-1]] -= 1
-            gap -= chosen[-1]
+            chosen.append(fit)
+            stock.take(fit)
+            gap -= fit
         used = {x: chosen.count(x) for x in chosen}
-        more = min(int(counts[x]) // k for x, k in used.items())
-        for x, k in used.items():
-            counts[x] -= more * k
+        more = min(int(stock.counts[x]) // k for x, k in used.items())
+        if more:
+            for x, k in used.items():
+                stock.take(x, more * k)
         plan.append((1 + more, chosen))
+    return plan
 
 
 def plan_ranks(plan: list[tuple[int, list[int]]]) -> dict[int, np.ndarray]:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from anamnesis.llm.packing import container_report, fill_containers, plan_containers, plan_ranks
+from anamnesis.llm.packing import Stock, container_report, fill_containers, plan_containers, plan_ranks
 
 
 def check(plan, histogram, capacity):
@@ -28,6 +28,34 @@ def test_plans(seed):
     assert sum(t for t, _ in plan) <= 1.15 * max(least, big) + 2
 
 
+def test_the_index_of_sums_stays_exact():
+    rng = random.Random(4)
+    histogram = {x: rng.randrange(1, 4) for x in rng.sample(range(1, 90), 30)}
+    stock = Stock(histogram, 100)
+    while len(left := [x for x in range(101) if stock.counts[x]]) > 2:
+        for gap in range(2, 101):
+            assert stock.ways[gap] == sum(a < gap - a and gap - a in left for a in left)
+            found = stock.complement(gap)
+            exact = any(stock.counts[a] for a in (gap,)) or any((a != gap - a or stock.counts[a] > 1) and gap - a in left for a in left)
+            triples = any(a + b + c == gap and all([a, b, c].count(x) <= stock.counts[x] for x in (a, b, c)) for a in left for b in left for c in left)
+            assert (found is not None) == (exact or triples)
+            assert found is None or (sum(found) == gap and len(found) <= 3 and all(found.count(x) <= stock.counts[x] for x in found))
+        stock.take(rng.choice(left))
+
+
+def test_many_lengths_are_planned_in_seconds():
+    import time
+
+    rng = random.Random(6)
+    histogram = {min(131_072, max(1, int(rng.lognormvariate(8.5, 1.2)))): 1 for _ in range(60_000)}
+    began = time.time()
+    plan = plan_containers(histogram, 131_072)
+    assert time.time() - began < 60
+    check(plan, histogram, 131_072)
+    least = -(-sum(k * v for k, v in histogram.items()) // 131_072)
+    assert sum(t for t, _ in plan) <= 1.01 * least + 2
+
+
 def test_exact_complements_fill_completely():
     histogram = {7: 10, 3: 10, 5: 4, 2: 3, 4: 6}
     plan = plan_containers(histogram, 10)
