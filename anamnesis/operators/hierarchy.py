@@ -96,16 +96,19 @@ def peel(junctions: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst) of everything reachable over the edges, each pair once; new pairs only are carried on."""
-    edges = cut(edges.distinct())
-    known = fresh = edges
+    """(src, dst) of everything reachable over the edges, each pair once.
+
+    Every round joins what was found last with all that is known, on either side,
+    so that the reach doubles: rounds grow with the logarithm of the longest way.
+    """
+    known = fresh = cut(edges.distinct())
     while not fresh.isEmpty():
-        fresh = cut(
-            fresh.join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst")).distinct()
-            .join(known, ["src", "dst"], "left_anti")
-        )
-        known = known.unionByName(fresh)
-    return cut(known)
+        step = lambda a, b: a.join(b.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
+        new = cut(step(fresh, known).unionByName(step(known, fresh)).distinct().join(known, ["src", "dst"], "left_anti"))
+        if new.isEmpty():
+            break
+        known, fresh = cut(known.unionByName(new)), new
+    return known
 
 
 def link_hierarchy(nodes: DataFrame, links: DataFrame, id_col: str, parent_col: str, child_col: str) -> DataFrame:

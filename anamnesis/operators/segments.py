@@ -68,10 +68,12 @@ def episodes(messages: DataFrame, gap_us: int = HOUR, least_chars: int = 20) ->
     Without terms on one side the cosine is 0, which is a change of topic.  The
     token cap of an episode is applied by :func:`capped_episodes`.
     """
-    counts = counts_of(terms_short(F.coalesce("content", F.lit(""))))
-    m = messages.select("conversation_id", "us", "ingest_no", "message_id", "role", F.length("content").alias("n"), F.map_entries(counts).alias("terms"))
-    near = neighbours(m.select("conversation_id", F.struct("us", "ingest_no", "message_id", "role", "n", "terms").alias("at")), "conversation_id", "at")
-    topic = (F.col("at.n") > least_chars) & (F.col("prev.n") > least_chars) & far_apart(F.map_from_entries("at.terms"), F.map_from_entries("prev.terms"))
+    m = messages.select("conversation_id", F.struct("us", "ingest_no", "message_id", "role", "content").alias("at"))
+    near = neighbours(m, "conversation_id", "at")
+    # Texts travel, their terms are counted where two of them have met.
+    terms = lambda c: counts_of(terms_short(F.coalesce(c, F.lit(""))))
+    far = let(F.struct(terms(F.col("at.content")).alias("a"), terms(F.col("prev.content")).alias("b")), lambda x: far_apart(x["a"], x["b"]))
+    topic = F.when((F.length("at.content") > least_chars) & (F.length("prev.content") > least_chars), far)
     cut_ = F.col("prev").isNotNull() & (F.coalesce(F.lower("at.role") == "system", F.lit(False)) | (F.col("at.us") - F.col("prev.us") > gap_us) | F.coalesce(topic, F.lit(False)))
     flagged = near.select("conversation_id", "at.us", "at.ingest_no", "at.message_id", F.when(cut_, 1).otherwise(0).alias("begins"))
     return running_sums(flagged, "conversation_id", ["us", "ingest_no"], {"episode_no": "begins"}).select("conversation_id", "message_id", "us", "ingest_no", "episode_no")
