@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from anamnesis.session import cut
+from anamnesis.session import cut, discard
 
 
 def resolve(state: DataFrame, weights: list[str]) -> DataFrame:
@@ -26,7 +26,8 @@ def resolve(state: DataFrame, weights: list[str]) -> DataFrame:
             "node", F.col("ptr2").alias("ptr"), F.col("done2").alias("done"), *weights,
             *[(F.col(f"acc_{w}") + F.col(f"w2_{w}") + F.col(f"a2_{w}")).alias(f"acc_{w}") for w in weights],
         )
-        state = cut(state.where("done").unionByName(moved))
+        last, state = state, cut(state.where("done").unionByName(moved))
+        discard(last)
         now = state.where("NOT done").count()
         if now == left:
             break

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from anamnesis.functions.text import cosine
-from anamnesis.session import cut, ship_package
+from anamnesis.session import cut, discard, ship_package
 
 #: Items with one prefix term on one side of a join key.
 SALT = 4_000
@@ -154,14 +154,17 @@ def first_and_repeats(items: DataFrame, num: int, den: int) -> DataFrame:
 def components(pairs: DataFrame) -> DataFrame:
     """id, root: the smallest id that each item is linked with, by rounds of halving distances (hash-to-min)."""
     edges = cut(pairs.select("id_a", "id_b").union(pairs.select("id_b", "id_a")).toDF("a", "b").distinct())
-    label = cut(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).toDF("id", "root"))
+    held = cut(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).toDF("id", "root"))
+    label = held
     while True:
         near = edges.join(label.toDF("b", "r"), "b").groupBy(F.col("a").alias("id")).agg(F.min("r").alias("r"))
         jump = label.toDF("root", "far")
         nxt = cut(label.join(near, "id").join(jump, "root").select("id", F.least("root", "r", "far").alias("new"), "root"))
+        discard(held)
+        held, label = nxt, nxt.select("id", F.col("new").alias("root"))
         if nxt.where("new < root").isEmpty():
-            return nxt.select("id", F.col("new").alias("root"))
-        label = nxt.select("id", F.col("new").alias("root"))
+            discard(edges)
+            return label
 
 
 def near_vectors(vectors: DataFrame, id_col: str, vec: str, least: float, bands: int = 24, bits: int = 8, seed: int = 11) -> DataFrame:

@@ -1,14 +1,19 @@
 """Pipelines without SQL against plain readings, stores, block trimming and streams that run to their end."""
 
 import json
+import os
 import random
+import re
 import sqlite3
+from collections import Counter, defaultdict
+
+import pytest
 
 from pyspark.sql import functions as F
 
 from anamnesis.functions.content import trim_block_list, trim_blocks
 from anamnesis.operators.segments import capped_episodes
-from anamnesis.plans import pipelines
+from anamnesis.plans import pipelines, retrieval
 from anamnesis.providers import Extractive
 from anamnesis.sources import files, stores
 from anamnesis.streaming import memory as stream
@@ -94,3 +99,63 @@ def test_open_sessions_are_closed_at_the_end(spark, tmp_path):
 
 def test_provider_summaries_by_value():
     assert Extractive(20).generate(["One two three. Four five six seven", "short", ""]) == ["One two three.", "short", ""]
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_deduplication_against_a_plain_loop(spark):
+    from anamnesis.plans.relational import msgs
+    from anamnesis.session import micros
+
+    m = msgs(spark, SMALL).where("content IS NOT NULL")
+    rows = m.select("conversation_id", "message_id", "ingest_no", "content", micros(m, "created_at").alias("us")).collect()
+    scores = {r["ingest_no"]: (r["class"], r["final"]) for r in retrieval.t1_score_and_tag(spark, SMALL).collect()}
+
+    def terms(t):
+        return Counter(re.findall("[a-z]+", t.lower()) + [r[i : i + 2] for r in re.findall("[一-鿿]{2,}", t) for i in range(len(r) - 1)])
+
+    groups, gone = defaultdict(list), set()
+    for r in sorted(rows, key=lambda r: (r["us"] if r["us"] is not None else 2**63 - 1, r["ingest_no"])):
+        cls, final = scores[r["ingest_no"]]
+        if cls not in ("decision", "config", "code", "error") and (c := terms(r["content"])).total() >= 3:
+            groups[r["conversation_id"] or ""].append((r["message_id"], c, final))
+    for items in groups.values():
+        for i, (a, x, s) in enumerate(items):
+            for b, y, t in items[i + 1 :]:
+                if a in gone:
+                    break
+                dot = sum(n * y[k] for k, n in x.items())
+                if b not in gone and dot * dot * 10000 > 6724 * sum(n * n for n in x.values()) * sum(n * n for n in y.values()):
+                    gone.add(b if s >= t else a)
+    got = {r["id"] for r in retrieval.t2_deduplicate(spark, SMALL).collect() if r["id"].startswith("msg_")}
+    assert got == gone and gone
+
+
+def test_hybrid_against_a_plain_loop(spark):
+    rng = random.Random(7)
+    hits = [(f"i{n:02}", rng.random(), "".join(rng.choices("abcdefgh", k=rng.randrange(0, 6))), rng.choice([None, 0.0, 3.0, 90.0])) for n in range(30)]
+    left, chosen = sorted(hits, key=lambda h: (-h[1], h[0])), []
+    while left and len(chosen) < 12:
+        def value(h):
+            like = max((len(set(h[2]) & set(c[2])) / len(set(h[2]) | set(c[2])) if h[2] and c[2] else 0.0 for c in chosen), default=0.0)
+            return 0.7 * h[1] - 0.3 * like
+        best = max(left, key=value)  # the first of equals
+        left.remove(best), chosen.append(best)
+    faded = [(h[0], h[1] * (0.3 if h[3] is None else 0.3 + 0.7 * 0.5 ** (h[3] / 14))) for h in chosen]
+    top = max(v for _, v in faded)
+    want = [(i, round(v / top, 6)) for i, v in faded if v / top >= 0.45][:6]
+    df = spark.createDataFrame(hits, "id string, score double, content string, days double")
+    assert [(r["id"], r["share"]) for r in retrieval.hybrid(df).orderBy("place").collect()] == want
+
+
+def test_levels_of_a_compaction_add_up(spark):
+    if not os.path.isdir(SMALL):
+        pytest.skip("no test tables")
+    rows = pipelines.t11_full_compact(spark, SMALL).collect()
+    new = {r["summary_id"]: r["descendants"] for r in pipelines.t7_leaf_compact(spark, SMALL).collect()}
+    assert new and new.items() <= {r["summary_id"]: r["descendants"] for r in rows if r["depth"] == 0}.items()
+    assert all(r["n_sources"] == (4 if r["depth"] else 0) for r in rows)
+    by = Counter((r["conversation_id"], r["depth"]) for r in rows)
+    assert all(by[c, d + 1] == n // 4 for (c, d), n in by.items())
