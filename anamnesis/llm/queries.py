@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import secrets
 
-from anamnesis.llm.conversations import INVISIBLE, SPEAKERS, rebuild_conversations
+from pyspark.sql import functions as F
+
+from anamnesis.llm.conversations import INVISIBLE, SPEAKERS, last_delivery, rebuild_conversations, reply_paths
 from anamnesis.llm.neardup import near_duplicate_groups, near_duplicates
 from anamnesis.llm.packing import container_report, fill_containers
 from anamnesis.llm.pii import find_mentions, redact, replace_by_surrogates, texts_of
@@ -35,6 +37,17 @@ def p3_found(spark, sf_dir):
     return rebuild_conversations(table(spark, sf_dir, "messages"))
 
 
+def p3_paths(spark, sf_dir):
+    """Root, depth and state of every message on the chain of those with the seq before (of equals the smallest id);
+    after a gap a chain is an orphan."""
+    m = cut(last_delivery(table(spark, sf_dir, "messages")).where("conv IS NOT NULL AND seq IS NOT NULL").select("message_id", "conv", "seq"))
+    before = m.groupBy("conv", (F.col("seq") + 1).alias("seq")).agg(F.min("message_id").alias("before"))
+    low = m.groupBy("conv").agg(F.min("seq").alias("low"))
+    rows = m.join(before, ["conv", "seq"], "left").join(low, "conv")
+    parent = F.when(F.col("before").isNotNull(), F.col("before")).when(F.col("seq") > F.col("low"), F.lit("missing"))
+    return reply_paths(rows.select("message_id", parent.alias("parent")), "message_id", "parent")
+
+
 def p4_found(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "messages"), table(spark, sf_dir, "notes"))
 
@@ -83,5 +96,14 @@ SELECT c AS conversation_id, row_number() OVER (PARTITION BY c ORDER BY s) AS tu
 FROM b WHERE v AND c IN (SELECT c FROM k) AND c NOT IN (SELECT c FROM u)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p2_surrogates": p2_surrogates, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report, "p8_found": p8_found, "p8_scores": p8_scores}
-SQL = {"p3_found": P3_SQL}
+P3_PATHS_SQL = """
+WITH RECURSIVE last AS (SELECT message_id, arg_max(struct_pack(c := conversation_id, s := seq), ingest_no) m FROM messages WHERE message_id IS NOT NULL GROUP BY 1),
+m AS (SELECT message_id, m.c c, m.s s FROM last WHERE m.c IS NOT NULL AND m.s IS NOT NULL), b AS (SELECT c, s + 1 s, min(message_id) p FROM m GROUP BY 1, 2), l AS (SELECT c, min(s) low FROM m GROUP BY 1),
+x AS (SELECT message_id, p, s > low late FROM m LEFT JOIN b USING (c, s) JOIN l USING (c)),
+r AS (SELECT message_id node, message_id root, 0 depth, CASE WHEN late THEN 'orphan' ELSE 'ok' END status FROM x WHERE p IS NULL
+  UNION ALL SELECT x.message_id, r.root, depth + 1, status FROM r JOIN x ON x.p = r.node)
+SELECT node, root, depth::BIGINT AS depth, status FROM r
+"""
+
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p2_surrogates": p2_surrogates, "p3_found": p3_found, "p3_paths": p3_paths, "p4_found": p4_found, "p4_groups": p4_groups, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report, "p8_found": p8_found, "p8_scores": p8_scores}
+SQL = {"p3_found": P3_SQL, "p3_paths": P3_PATHS_SQL}
