@@ -12,7 +12,6 @@ from anamnesis.operators.ordered import ranked, running_sums
 from anamnesis.plans.relational import M, N, SM, SP, SU, TOK, leaves, msgs, notes, parents, sums, tok
 from anamnesis.plans.scalar import CLASS, HOURS, NOW, SIGNALS, q
 from anamnesis.plans.windows import MT, T19_SQL, timed
-from anamnesis.operators.segments import capped_episodes, episodes, merged_episodes
 from anamnesis.session import cut, micros, table
 
 QUERIES: dict = {}
@@ -103,35 +102,12 @@ def t9_condense(spark, d):
     return dag.condense(leaf_rows(spark, d)).select("conversation_id", "summary_id", "descendants", "content")
 
 
-@query()
-def t10_cascade(spark, d):
-    """All levels that condensing the leaves gives; each level has a quarter of the nodes of the one below."""
-    return dag.cascade(leaf_rows(spark, d)).select("conversation_id", "depth", "summary_id", "descendants", F.size("sources").alias("n_sources"))
-
-
 @query(f"WITH {SM}, {M}, r AS (SELECT sm.summary_id, m.role, m.content, row_number() OVER (PARTITION BY sm.summary_id ORDER BY m.ingest_no) k FROM sm JOIN m USING (message_id)) SELECT summary_id, '[' || count(*) || ' messages, ' || count(*) FILTER (WHERE role = 'user') || ' user]' || chr(10) || string_agg(coalesce(role, '?') || ': ' || CASE WHEN length(content) > 100 THEN substring(content, 1, 100) || '...' ELSE coalesce(content, '') END, chr(10) ORDER BY k) FILTER (WHERE k <= 5) AS text FROM r GROUP BY 1")
 def t8_leaf_text(spark, d):
     rows = leaves(spark, d).join(msgs(spark, d), "message_id").select("summary_id", "ingest_no", "role", "content")
     return dag.leaf_text(rows, "summary_id", "ingest_no")
 
 
-@query()
-def t4_capped_episodes(spark, d):
-    """Episodes cut again where they pass 200 tokens."""
-    m = timed(spark, d)
-    e = episodes(m).join(m.select("message_id", tok().alias("tokens")), "message_id")
-    return capped_episodes(e, 200).select("message_id", "episode_no", "part")
-
-
-@query()
-def t4_merged_episodes(spark, d):
-    """The whole segmentation: episodes, cut where they pass 20,000 tokens, those of fewer than 500 merged into the one before."""
-    m = timed(spark, d)
-    e = cut(episodes(m).join(m.select("message_id", tok().alias("tokens")), "message_id"))
-    parts = cut(capped_episodes(e, 20_000, first_counts=False).join(e.select("message_id", "tokens"), "message_id"))
-    return merged_episodes(parts, 500).select("message_id", "merged_no")
-
-
 @query(f"WITH {MT}, u AS (SELECT conversation_id, sum({TOK}) tk FROM t GROUP BY 1) SELECT conversation_id, CASE WHEN least(tk / 3000.0::DOUBLE, 1.0::DOUBLE) < 0.6 THEN 'none' WHEN least(tk / 3000.0::DOUBLE, 1.0::DOUBLE) < 0.75 THEN 'light' ELSE 'aggressive' END AS strategy, tk::BIGINT AS tokens FROM u")
 def t12_compress_decision(spark, d):
     u = timed(spark, d).groupBy("conversation_id").agg(F.sum(tok()).alias("tokens"))
@@ -216,13 +192,6 @@ def t18_save_notes(spark, d):
     return table(spark, d, "messages").where("content IS NOT NULL").groupBy("content").agg(F.min("ingest_no").alias("ingest_no")).join(known, "content", "left_anti").select("ingest_no", "content")
 
 
-@query(f"WITH {MT}, b AS (SELECT conversation_id, message_id, ingest_no, {SIGNALS} sc, least(length(content), 80) n FROM t WHERE content IS NOT NULL), r AS (SELECT message_id, sum(n + 2) OVER (PARTITION BY conversation_id ORDER BY -sc, ingest_no) used FROM b) SELECT message_id, used::BIGINT AS used FROM r WHERE used <= 200")
-def t23_extract(spark, d):
-    """Best snippets first, up to 200 characters a conversation."""
-    b = timed(spark, d).where("content IS NOT NULL").select("conversation_id", "message_id", "ingest_no", (-S.signal_bonus(F.col("content"))).alias("minus"), (F.least(F.length("content"), F.lit(80)) + 2).alias("n"))
-    return running_sums(b, "conversation_id", ["minus", "ingest_no"], {"used": "n"}).where("used <= 200").select("message_id", "used")
-
-
 @query(f"WITH x AS (SELECT ingest_no, {CLASS} cls FROM messages WHERE content IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY ingest_no DESC) k, count(*) OVER (PARTITION BY cls) n FROM x) SELECT ingest_no, cls AS class FROM r WHERE k <= CASE WHEN cls = 'chitchat' THEN 3 WHEN cls IN ('decision', 'error') THEN n WHEN cls = 'config' THEN ceil(n * 0.8) WHEN cls = 'question' THEN ceil(n * 0.5) ELSE ceil(n * 0.3) END")
 def t25_quotas(spark, d):
     """Newest messages of each class up to its quota."""

@@ -13,11 +13,12 @@ from anamnesis.operators import dag
 from anamnesis.operators import search as R
 from anamnesis.operators import similarity as X
 from anamnesis.operators.contained import contained
-from anamnesis.operators.ordered import ranked
+from anamnesis.operators.ordered import ranked, running_sums
 from anamnesis.operators.segments import capped_episodes, episodes, is_user, merged_episodes, task_texts
 from anamnesis.plans.domain import leaf_rows, t26_keep_flow
 from anamnesis.plans.relational import M, N, SM, SU, TOK, leaves, msgs, notes, sums, tok
 from anamnesis.plans.retrieval import IDF, stored_scores, t2_deduplicate
+from anamnesis.plans.scalar import SQL as SCALAR_SQL
 from anamnesis.plans.scalar import CLASS, COMPLEXITY, HOURS, LIFE, NOW, SIGNALS, TERMS_PAIRS, TERMS_SHORT, q
 from anamnesis.plans.windows import MT, USER, timed
 from anamnesis.session import cut, micros, table
@@ -417,13 +418,96 @@ def t7_leaf_edges(spark, d):
     return leaf_summaries(rows).select("grp", "summary_id").join(rows.select("grp", "message_id"), "grp").select("summary_id", "message_id")
 
 
-@query()
+def cascade_sql(leaves_: str, levels: int = 8) -> str:
+    """CTEs c0 .. of the levels that condensing gives, each from the one below; more levels than test data can fill."""
+    out = f"c0 AS (SELECT conversation_id, 0 depth, summary_id, made, descendants, content, 0 n_sources FROM ({leaves_}))"
+    for d in range(levels):
+        out += f""", k{d} AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY made, summary_id) rk FROM c{d}),
+c{d + 1} AS (SELECT conversation_id, {d + 1} depth, 'sum_' || substring(sha256(string_agg(summary_id, ',' ORDER BY rk)), 1, 16) summary_id, min(made) made, sum(descendants)::BIGINT descendants, substring(string_agg(coalesce(content, ''), chr(10) ORDER BY rk), 1, {max(500, 1000 - 200 * (d + 1))}) AS content, 4 n_sources FROM k{d} GROUP BY conversation_id, (rk - 1) // 4 HAVING count(*) = 4)"""
+    return out + ", cc AS (" + " UNION ALL ".join(f"SELECT conversation_id, depth, summary_id, descendants, n_sources FROM c{d}" for d in range(levels + 1)) + ")"
+
+
+OLD_LEAVES = "SELECT conversation_id, summary_id, epoch_us(min(created_at)) made, max(coalesce(descendant_count, 0))::BIGINT descendants, min(content) content FROM (SELECT DISTINCT * FROM summaries) WHERE depth = 0 AND conversation_id IS NOT NULL GROUP BY 1, 2"
+
+
+@query(f"WITH {cascade_sql(OLD_LEAVES)} SELECT * FROM cc")
+def t10_cascade(spark, d):
+    """All levels that condensing the leaves gives; each level has a quarter of the nodes of the one below."""
+    return dag.cascade(leaf_rows(spark, d)).select("conversation_id", "depth", "summary_id", "descendants", F.size("sources").alias("n_sources"))
+
+
+@query(f"{LEAF}, {cascade_sql(OLD_LEAVES + ' UNION ALL SELECT conversation_id, summary_id, latest_us, descendants, content FROM sm2')} SELECT * FROM cc")
 def t11_full_compact(spark, d):
-    """New leaf summaries, and all levels that condensing old and new ones gives: conversation_id, depth, summary_id, descendants, n_sources."""
+    """New leaf summaries, and all levels that condensing old and new ones gives."""
     fresh = leaf_summaries(new_leaves(spark, d)).select("conversation_id", F.lit(0).alias("depth"), "summary_id", F.timestamp_micros("latest_us").cast("timestamp_ntz").alias("made"), "descendants", "content")
     return dag.cascade(leaf_rows(spark, d).unionByName(fresh)).select("conversation_id", "depth", "summary_id", "descendants", F.size("sources").alias("n_sources"))
 
 
+# Segments with their cap and merge
+
+PARTED = f"""WITH RECURSIVE {MT}, p0 AS (SELECT *, lag(us) OVER w pu, lag(content) OVER w pc, row_number() OVER w k FROM t WINDOW w AS (PARTITION BY conversation_id ORDER BY us, ingest_no)),
+x0 AS (SELECT *, coalesce(lower(role) = 'system', false) OR us - pu > 3600000000 AS hard, list_aggregate({TERMS_SHORT}, 'histogram') ha, list_aggregate({TERMS_SHORT.replace('content', 'pc')}, 'histogram') hb FROM p0),
+c0 AS (SELECT *, list_sum(list_transform(map_keys(ha), lambda w: ha[w] * coalesce(hb[w], 0)))::DOUBLE dot, list_sum(list_transform(map_values(ha), lambda v: v * v))::DOUBLE na, list_sum(list_transform(map_values(hb), lambda v: v * v))::DOUBLE nb FROM x0),
+b0 AS (SELECT conversation_id, message_id, us, ingest_no, {TOK} tk, k > 1 AND (hard OR (length(content) > 20 AND length(pc) > 20 AND coalesce(dot * dot * 16 < na * nb, true))) cut FROM c0),
+e0 AS (SELECT *, sum(coalesce(cut, false)::INT) OVER (PARTITION BY conversation_id ORDER BY us, ingest_no)::BIGINT ep FROM b0),
+e1 AS (SELECT *, row_number() OVER (PARTITION BY conversation_id, ep ORDER BY us, ingest_no) rn FROM e0),
+f0 AS (SELECT conversation_id, ep, rn, message_id, tk, CASE WHEN @first > @cap THEN 0 ELSE @first END s, CASE WHEN @first > @cap THEN 1 ELSE 0 END part FROM e1 WHERE rn = 1
+  UNION ALL SELECT e1.conversation_id, e1.ep, e1.rn, e1.message_id, e1.tk, CASE WHEN f0.s + e1.tk > @cap THEN 0 ELSE f0.s + e1.tk END, f0.part + (f0.s + e1.tk > @cap)::INT FROM f0 JOIN e1 ON e1.conversation_id = f0.conversation_id AND e1.ep = f0.ep AND e1.rn = f0.rn + 1)"""
+
+
+@query(PARTED.replace("@first", "tk").replace("@cap", "200") + " SELECT message_id, ep AS episode_no, part FROM f0")
+def t4_capped_episodes(spark, d):
+    """Episodes cut again where they pass 200 tokens."""
+    m = timed(spark, d)
+    e = cut(episodes(m).join(m.select("message_id", tok().alias("tokens")), "message_id"))
+    return capped_episodes(e, 200).select("message_id", "episode_no", "part")
+
+
+@query(PARTED.replace("@first", "0").replace("@cap", str(CAP)) + """, sz AS (SELECT conversation_id, ep, part, sum(tk) size FROM f0 GROUP BY 1, 2, 3),
+nm AS (SELECT conversation_id, ep, part, sum((size >= 500 AND NOT (ep = 0 AND part = 0))::INT) OVER (PARTITION BY conversation_id ORDER BY ep, part)::BIGINT mno FROM sz) SELECT message_id, mno AS merged_no FROM f0 JOIN nm USING (conversation_id, ep, part)""")
+def t4_merged_episodes(spark, d):
+    """The whole segmentation: episodes, cut where they pass 20,000 tokens, those of fewer than 500 merged into the one before."""
+    m = timed(spark, d)
+    e = cut(episodes(m).join(m.select("message_id", tok().alias("tokens")), "message_id"))
+    parts = cut(capped_episodes(e, CAP, first_counts=False).join(e.select("message_id", "tokens"), "message_id"))
+    return merged_episodes(parts, 500).select("message_id", "merged_no")
+
+
+# Extractive summaries of what a flow leaves out
+
+SNIPPET = SCALAR_SQL["f30_snippet"].split("SELECT ingest_no, ", 1)[1].rsplit(" AS snippet", 1)[0]
+
+
+@query(f"""WITH ky AS ({FLOW.format(score=SIGNALS, rate=0.7)}), {MT}, b AS (SELECT conversation_id, message_id, ingest_no, {SIGNALS} sc, '[' || coalesce(role, 'unknown') || '] ' || {SNIPPET} part FROM t WHERE content IS NOT NULL AND message_id NOT IN (SELECT message_id FROM ky)),
+r AS (SELECT *, sum(length(part)) OVER w used, row_number() OVER w k FROM b WINDOW w AS (PARTITION BY conversation_id ORDER BY -sc, ingest_no)) SELECT conversation_id, '历史摘要: ' || string_agg(part, ' | ' ORDER BY k) AS summary, count(*)::BIGINT AS messages FROM r WHERE used <= 200 GROUP BY 1""")
+def t23_extract(spark, d):
+    """A summary of what the share flow leaves out: the best snippets first, up to 200 characters a conversation."""
+    m = timed(spark, d).where("content IS NOT NULL").join(t26_share_flow(spark, d), "message_id", "left_anti")
+    part = F.concat(F.lit("["), F.coalesce("role", F.lit("unknown")), F.lit("] "), T.snippet(F.col("content")))
+    b = m.select("conversation_id", "ingest_no", (-S.signal_bonus(F.col("content"))).alias("minus"), part.alias("part")).withColumn("n", F.length("part"))
+    best = running_sums(b, "conversation_id", ["minus", "ingest_no"], {"used": "n"}).where("used <= 200")
+    lines = F.array_sort(F.collect_list(F.struct("minus", "ingest_no", "part")))
+    return best.groupBy("conversation_id").agg(F.concat(F.lit("历史摘要: "), F.array_join(F.transform(lines, lambda x: x["part"]), " | ")).alias("summary"), F.count(F.lit(1)).alias("messages"))
+
+
+# Strategy with what was learned
+
+
+@query(f"""WITH h AS (SELECT user_id % 3 s, value, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts DESC, event_id DESC) k FROM events QUALIFY k <= 100),
+a AS (SELECT s, (list_reduce(list(struct_pack(n := 1::BIGINT, m := floor(value)::BIGINT) ORDER BY k DESC), lambda a, b: struct_pack(n := a.n + 1, m := floor((a.m * a.n + b.m) / (a.n + 1.0))::BIGINT))).m v FROM h GROUP BY 1),
+u AS (SELECT conversation_id, least(sum({TOK}) / 1000.0::DOUBLE, 1.0::DOUBLE) * 100 p FROM messages WHERE conversation_id IS NOT NULL GROUP BY 1)
+SELECT conversation_id, CASE WHEN p < 70 THEN 'none' WHEN p < 85 THEN CASE WHEN coalesce((SELECT v FROM a WHERE s = 0), 0) > 5 THEN 'light' ELSE 'medium' END WHEN p < 95 THEN CASE WHEN coalesce((SELECT v FROM a WHERE s = 1), 0) > 10 THEN 'medium' ELSE 'heavy' END ELSE 'heavy' END AS strategy FROM u""")
+def f38_learned_strategy(spark, d):
+    """Strategy by usage; light and medium only where the log says that they save enough (running means of its newest rows)."""
+    w = Window.partitionBy("s").orderBy(F.desc("ts"), F.desc("event_id"))
+    h = table(spark, d, "events").withColumn("s", F.col("user_id") % 3).withColumn("k", F.row_number().over(w)).where("k <= 100")
+    mean = h.groupBy("s").agg(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("o"), F.floor("value").cast("bigint").alias("v")))).alias("l")).select("s", whole_mean(F.transform("l", lambda x: x["v"])).alias("v"))
+    learned = mean.agg(F.coalesce(F.max(F.when(F.col("s") == 0, F.col("v"))), F.lit(0)).alias("light"), F.coalesce(F.max(F.when(F.col("s") == 1, F.col("v"))), F.lit(0)).alias("medium"))
+    u = table(spark, d, "messages").where("conversation_id IS NOT NULL").groupBy("conversation_id").agg((F.least(F.sum(tok()) / 1000.0, F.lit(1.0)) * 100).alias("p"))
+    choice = F.when(F.col("p") < 70, "none").when(F.col("p") < 85, F.when(F.col("light") > 5, "light").otherwise("medium")).when(F.col("p") < 95, F.when(F.col("medium") > 10, "medium").otherwise("heavy")).otherwise("heavy")
+    return u.join(F.broadcast(learned)).select("conversation_id", choice.alias("strategy"))
+
+
 # Assembly
 
 L2_SQL = f"""WITH {N}, {SU}, {MT}, i AS (
