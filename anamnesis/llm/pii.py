@@ -232,8 +232,9 @@ class Detector:
         if self.families is not None:
             same = low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
             for last, n in self.families.iter(same):
-                if found := self._person(text, same, last + 1 - n, last + 1):
-                    add("person", *found)
+                for found in self._persons(text, same, last + 1 - n, last + 1):
+                    if add("person", *found):
+                        break
         for m in _INTRODUCED.finditer(text) if any(s in text for s in _INTRODUCED_SIGNS) else ():
             lo, (first, *_, family) = m.start(1), m[1].split(" ")
             add("person", lo, m.end(1), (("initial" if first.endswith(".") else "given", lo, lo + len(first)), ("family", m.end(1) - len(family), m.end(1))))
@@ -276,15 +277,15 @@ class Detector:
     def _known(self, name: str) -> bool:
         return name in self.given or "-" in name and all(n in self.given for n in name.split("-"))
 
-    def _person(self, text: str, same: str, lo: int, hi: int) -> tuple[int, int, tuple] | None:
-        """(start, end, parts) of the person whose family name stands at lo..hi."""
+    def _persons(self, text: str, same: str, lo: int, hi: int) -> Iterator[tuple[int, int, tuple]]:
+        """(start, end, parts) of the person whose family name stands at lo..hi: names before it first, then after it."""
         if (lo and _letter(text[lo - 1])) or (hi < len(text) and _letter(text[hi])):
-            return None
+            return
         if "一" <= text[lo] <= "鿿":
             own = hi + text[hi : hi + 1].isspace()
             for n in (2, 1):
                 if same[own : own + n] in self.given and len(same[own : own + n]) == n:
-                    return lo, own + n, (("family", lo, hi), ("given", own, own + n))
+                    yield lo, own + n, (("family", lo, hi), ("given", own, own + n))
         if hi < len(text) and text[hi] == "-" and (m := _WORD.match(text, hi + 1)) and same[hi + 1 : m.end()] in self.family:
             hi = m.end()
         first, last = lo, hi
@@ -301,16 +302,15 @@ class Detector:
                     end = self._blank_before(text, end - 2)
                 b = self._word_before(text, end)
                 if b is not None and self._known(same[b:end]):
-                    return b, hi, (("given", b, end), ("family", first, last))
+                    yield b, hi, (("given", b, end), ("family", first, last))
                 if end > 1 and text[end - 1] == "." and text[end - 2].isascii() and text[end - 2].isalpha() and (end == 2 or not _letter(text[end - 3])):
-                    return end - 2, hi, (("initial", end - 2, end), ("family", first, last))
+                    yield end - 2, hi, (("initial", end - 2, end), ("family", first, last))
         # Or they come after it.
         m = _NAME_AFTER.match(text, last)
         if m and m[2] and self._known(same[m.start(2) : m.end(2)]):
-            return lo, m.end(), (("family", lo, last), ("given", m.start(2), m.end(2)))
+            yield lo, m.end(), (("family", lo, last), ("given", m.start(2), m.end(2)))
         if m and m[4] and m[1]:
-            return lo, m.end(), (("family", lo, last), ("initial", m.start(4), m.end(4)))
-        return None
+            yield lo, m.end(), (("family", lo, last), ("initial", m.start(4), m.end(4)))
 
     @staticmethod
     def _blank_before(text: str, at: int) -> int:

@@ -40,6 +40,7 @@ def kinds(text):
     ("ask Maruke Obrecht, M. Obrecht or Obrecht, Maruke", [("person", "Maruke Obrecht"), ("person", "M. Obrecht"), ("person", "Obrecht, Maruke")]),
     ("负责人是K. Ekström，请 TOVIN S. GRENDAHL", [("person", "K. Ekström"), ("person", "TOVIN S. GRENDAHL")]),
     ("I am Ostrava-Alenzo Obrecht's friend", [("person", "Ostrava-Alenzo Obrecht")]),
+    ("Thanks, Grendahl, Tovin\n\nObrecht, Maruke will", [("person", "Grendahl, Tovin"), ("person", "Obrecht, Maruke")]),
     ("maruke.obrecht@mail.example", [("email", "maruke.obrecht@mail.example")]),
     ("Obrechtson and Maruke alone", []),
     ("", []),
