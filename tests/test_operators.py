@@ -167,3 +167,17 @@ def test_text_cases(spark):
     df = spark.createDataFrame([("",), (None,), ("天气很好 ok",)], "t string")
     got = df.select(T.token_estimate(F.col("t")), F.size(T.terms_full(F.col("t"))), T.snippet(F.col("t"))).collect()
     assert tuple(got[0]) == (0, 0, "") and got[1][0] is None and got[2][0] == 3
+
+
+def test_tables_end_with_their_scope(spark):
+    from anamnesis.session import cut, discard, scratch
+
+    with scratch(spark):
+        a, b = cut(spark.range(3)), cut(spark.range(4))
+        folders = [p._cut_path.removeprefix("file:") for p in (a, b)]
+        assert all(map(os.path.isdir, folders)) and a.count() == 3
+        discard(a)
+        assert not os.path.isdir(folders[0])
+    assert not any(map(os.path.isdir, folders))
+    kept = cut(spark.range(2))
+    assert kept.count() == 2 and os.path.isdir(kept._cut_path.removeprefix("file:"))
