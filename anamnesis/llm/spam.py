@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from anamnesis.session import cut, ship_package
 
 #: Most labelled pages of each label that train the trees.
-SAMPLE = 4_000
+SAMPLE = 8_000
 #: Most pages that are put together of labelled ones for training, as labellers leave mixed pages out; of how many of each kind.
 MIXED = 2_000
 PARTS = ((1, 1), (1, 3), (3, 1), (1, 6))
-TREES, DEPTH, LEAF = 25, 6, 5
+TREES, DEPTH, LEAF = 40, 8, 3
 #: Share of the visible characters from which a weak labeller speaks.
 SURE = 0.8
 #: Most that a host can multiply the odds of a page by: only votes between 0.2 and 0.8 can turn over.
@@ -51,9 +51,9 @@ PRIOR = 1_000
 #: Words that hold sentences together (English, Spanish, German, French).
 GLUE = frozenset(
     "the a an to and that it we you they whether he she i which was were be been are of as by with from this these those not no or but so if when where what who how does do did can could would should may must will has have had its their our my your than then into because before after while there nobody each every only both "
-    "el la los las un una de del que y en por para con se es son fue nadie según no hace más lo al su quién "
-    "der die das ein eine einen dem den des und ist nicht mit von zu im auf für wird wurde wer hat aus bei noch seit wie nach "
-    "le les une et est pas dans pour sur au aux qui ne il elle".split()
+    "el la los las un una de del que y en por para con se es son fue nadie según no hace más lo al su quién si o pero como sin sobre entre cuando donde porque desde hasta también ya muy esta este esto está están ha han era ser hay nos les sus primero luego antes después "
+    "der die das ein eine einen einem einer dem den des und ist sind war waren nicht mit von zu zum zur im in auf für wird werden wurde wurden wer hat haben aus bei noch seit wie nach ob weil wenn dass als auch aber oder um über unter gegen vor durch er sie es wir ihr ihre sich so nur schon sehr bitte diese dieser dieses alle aller kein keine "
+    "le les une et est sont pas dans pour sur au aux qui que ne il elle nous vous ils des du ce cette ces son sa ses avec sans par plus mais ou où comme si".split()
 )
 #: Characters that hold Chinese sentences together.
 HAN_GLUE = frozenset("的了已经请把为我们不从到只能之前否则因用以后会是在也")
@@ -62,7 +62,7 @@ URL = re.compile(r"(?:h(?:tt|xx)ps?://|www\.)[^\s)\]>\"'|]+|\b[a-z0-9][a-z0-9\-]
 _LINKED = re.compile(r"\[([^\]]*)\]\(([^)\s]*)\)|<a [^>]*>(.*?)</a>", re.I)
 _LOG = re.compile(r"^\W*\d{4}-\d\d-\d\d[T ]\d\d|^\W*(?:INFO|WARN|ERROR|DEBUG)\b")
 _TALK = re.compile(r"^\W*(?:user|assistant|system|tool|human|ai|bot|q|a|用户|助手)\W*[:：>]", re.I)
-_CODE = re.compile(r"^\s*(?:def |class |import |from \w+ import|return\b|for .*:$|if .*:$|else:|elif |try:|except|while .*:$|with .*:$|@\w|#include|function |const |let |var |public |private |\}|\{|//|\$ |>>> |SELECT |INSERT )|[;{}]\s*$|^\s*[\w.]+\((?!\d+\)\W+\S)[^()]*(?:\([^()]*\)[^()]*)*\)\s*$|^\s*\w+(?:\[\w*\])? ?[+\-*]?= ?\S")
+_CODE = re.compile(r"^\s*(?:def |class |import |from \w+ import|return\b|for .*:$|if .*:$|else:|elif |try:|except|while .*:$|with .*:$|@\w|#include|function |const |let |var |(?:public|private|protected) (?:static|final|abstract|async|class|interface|enum|void|[\w<>\[\]]+ \w+\s*[({=;])|\}|\{|//|\$ |>>> |SELECT |INSERT )|[;{}]\s*$|^\s*[\w.]+\((?!\d+\)\W+\S)[^()]*(?:\([^()]*\)[^()]*)*\)\s*$|^\s*\w+(?:\[\w*\])? ?[+\-*]?= ?\S")
 _DATA = re.compile(r"^\s*[\[\]{}\"]|^\s*\"?[\w\-]+\"?\s*: ?\S+\s*,?$|^\s*---")
 _SETTING = re.compile(r"^\W*`[^`]+`|^\s*[\w.\-]+ ?= ?\S+\s*$")
 _CELLS = re.compile(r"\s*[\t|,;]\s*")

@@ -52,6 +52,8 @@ def test_weak_labels():
     assert label("session,tokens,kept,owner\n" + "\n".join(f"s{i},{i * 7},0.{i},root" for i in range(20))) == 0
     assert label("\n".join(f"Word{i}: a {w} which is kept by the {w[::-1]} {n}{w}s for later." for i, (w, n) in enumerate(zip(PROSE.split(), PROSE.split()[5:])))) == 0
     assert label("\n".join(f"`limit_{i}` default {i}" for i in range(20))) == 0
+    assert label("public class Store {\n    private int size;\n    public void add(String x) {\n        size = 1;\n    }\n}\n" * 3) == 0
+    assert label("public registry noisy node visible public node registry noisy visible " * 12) == 1
     # neither half is enough to speak
     assert label(PROSE * 4 + "cheap viewer sale, " * 40) is None
 
