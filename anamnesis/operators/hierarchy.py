@@ -107,7 +107,7 @@ def closure(edges: DataFrame) -> DataFrame:
         new = cut(step(fresh, known).unionByName(step(known, fresh)).distinct().join(known, ["src", "dst"], "left_anti"))
         if new.isEmpty():
             break
-        known, fresh = cut(known.unionByName(new)), new
+        known, fresh = known.unionByName(new), new
     return known
 
 
@@ -124,7 +124,7 @@ def link_hierarchy(nodes: DataFrame, links: DataFrame, id_col: str, parent_col:
     degree = pairs.groupBy(F.col("c").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("prev"))
     single = cut(degree.where("n = 1").select("node", "prev"))
     state = resolve(chain_state(single, ids, []), [])
-    tops = cut(state.where("done").select("node", F.col("ptr").alias("piece")))
+    tops = state.where("done").select("node", F.col("ptr").alias("piece"))
     endless = state.where("NOT done").select("node")
 
     junctions = cut(degree.where("n > 1").select("node"))
@@ -132,10 +132,10 @@ def link_hierarchy(nodes: DataFrame, links: DataFrame, id_col: str, parent_col:
     by_top = into.join(tops.select(F.col("node").alias("p"), "piece"), "p", "left").select(F.coalesce("piece", F.lit("")).alias("src"), F.col("c").alias("dst"), F.col("piece").isNull().alias("endless"))
     doomed = by_top.where("endless").select(F.col("dst").alias("src"), "dst").distinct()
     inner = by_top.where("NOT endless").select("src", "dst").distinct()
-    inner = cut(inner.join(junctions.select(F.col("node").alias("src")), "src", "left_semi").unionByName(doomed).distinct())
-    peeled = cut(peel(junctions, inner))
+    inner = inner.join(junctions.select(F.col("node").alias("src")), "src", "left_semi").unionByName(doomed).distinct()
+    peeled = peel(junctions, inner)
     bad_tops = junctions.join(peeled, "node", "left_anti").select(F.col("node").alias("piece"))
-    good = cut(tops.join(bad_tops, "piece", "left_anti"))
+    good = tops.join(bad_tops, "piece", "left_anti")
     bad = endless.unionByName(tops.join(bad_tops, "piece", "left_semi").select("node"))
 
     members = tops.select("node")

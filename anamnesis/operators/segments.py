@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from anamnesis.functions.text import counts_of, let, terms_short
 from anamnesis.operators.chains import neighbours
 from anamnesis.operators.ordered import ranked, running_sums
+from anamnesis.session import cut
 
 HOUR = 3_600_000_000
 
@@ -75,7 +76,8 @@ def episodes(messages: DataFrame, gap_us: int = HOUR, least_chars: int = 20) ->
     far = let(F.struct(terms(F.col("at.content")).alias("a"), terms(F.col("prev.content")).alias("b")), lambda x: far_apart(x["a"], x["b"]))
     topic = F.when((F.length("at.content") > least_chars) & (F.length("prev.content") > least_chars), far)
     cut_ = F.col("prev").isNotNull() & (F.coalesce(F.lower("at.role") == "system", F.lit(False)) | (F.col("at.us") - F.col("prev.us") > gap_us) | F.coalesce(topic, F.lit(False)))
-    flagged = near.select("conversation_id", "at.us", "at.ingest_no", "at.message_id", F.when(cut_, 1).otherwise(0).alias("begins"))
+    # Written, as a range shuffle looks at its rows twice and comparing texts is the work here.
+    flagged = cut(near.select("conversation_id", "at.us", "at.ingest_no", "at.message_id", F.when(cut_, 1).otherwise(0).alias("begins")))
     return running_sums(flagged, "conversation_id", ["us", "ingest_no"], {"episode_no": "begins"}).select("conversation_id", "message_id", "us", "ingest_no", "episode_no")
 
 
