@@ -18,21 +18,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from anamnesis.functions.text import cosine
+from anamnesis.functions.text import cosine, counts_of
 from anamnesis.session import cut, discard, ship_package
 
 #: Items with one prefix term on one side of a join key.
 SALT = 4_000
 
 
-def _ordered(items: DataFrame) -> DataFrame:
-    """id, v (struct df, term, tf; rare first) and parities of items (id, terms array)."""
-    flat = items.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+def _ordered(items: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """id, v (struct df, term, tf; rare first), parities, and the columns ``by``, of items (id, terms array).
+
+    Terms are 64-bit hashes of (by, term), so that items of different groups share none.
+    """
+    key = F.xxhash64(*by, "term") if by else F.xxhash64("term")
+    flat = items.select("id", *by, F.explode("terms").alias("term")).select("id", key.alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = flat.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    bit = F.when(F.col("tf") % 2 == 1, F.pmod(F.xxhash64("term"), F.lit(128)))
-    half = lambda n: F.bit_xor(F.when(F.floor(bit / 64) == n, F.expr("shiftleft(1L, CAST(pmod(xxhash64(term), 128) % 64 AS INT))")).otherwise(F.lit(0).cast("bigint")))
-    v = flat.join(df, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "tf"))).alias("v"), half(0).alias("x0"), half(1).alias("x1"))
-    return v
+    bit = F.when(F.col("tf") % 2 == 1, F.pmod("term", F.lit(128)))
+    half = lambda n: F.bit_xor(F.when(F.floor(bit / 64) == n, F.expr("shiftleft(1L, CAST(pmod(term, 128) % 64 AS INT))")).otherwise(F.lit(0).cast("bigint")))
+    return flat.join(df, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "tf"))).alias("v"), half(0).alias("x0"), half(1).alias("x1"))
 
 
 def _met(prefix: DataFrame, carried: list[str], differ: str) -> DataFrame:
@@ -46,30 +49,35 @@ def _met(prefix: DataFrame, carried: list[str], differ: str) -> DataFrame:
     return a.join(b, ["term", "salt"]).where(f"id_a < id_b AND {bits} <= {differ}").select("id_a", "id_b").distinct()
 
 
-def jaccard_pairs(items: DataFrame, num: int, den: int, strict: bool = False) -> DataFrame:
-    """id_a, id_b (id_a < id_b), shared, united of items (id, terms array) with Jaccard of at least (or above) num/den."""
-    items = items.select("id", F.array_distinct("terms").alias("terms"))
-    v = cut(_ordered(items).withColumn("n", F.size("v")))
+def jaccard_pairs(items: DataFrame, num: int, den: int, strict: bool = False, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """id_a, id_b (id_a < id_b), shared, united of items (id, terms array, and ``by``: only items equal in these columns
+    are compared) with Jaccard of at least (or above) num/den."""
+    items = items.select("id", *by, F.array_distinct("terms").alias("terms"))
+    v = cut(_ordered(items, by).withColumn("n", F.size("v")))
     prefix = v.select("id", "n", "x0", "x1", F.explode(F.expr(f"slice(v, 1, n - CAST(ceil(n * {num} / {den} - 1e-9) AS INT) + 1)")).alias("p")).select("id", "n", "x0", "x1", "p.term")
     # Sets of n_a and n_b terms that are alike differ in (1 - t) / (1 + t) of n_a + n_b terms at most.
     pairs = _met(prefix, ["n"], f"(n_a + n_b) * {den - num} / {den + num} + 1e-9 AND n_a * {den} >= n_b * {num} AND n_b * {den} >= n_a * {num}")
-    side = lambda s: v.select(F.col("id").alias(f"id_{s}"), F.expr("transform(v, x -> x.term)").alias(f"t_{s}"))
+    side = lambda s: items.where(F.size("terms") > 0).select(F.col("id").alias(f"id_{s}"), F.col("terms").alias(f"t_{s}"))
     full = pairs.join(side("a"), "id_a").join(side("b"), "id_b").select("id_a", "id_b", F.size(F.array_intersect("t_a", "t_b")).alias("shared"), (F.size("t_a") + F.size("t_b")).alias("both"))
     full = full.select("id_a", "id_b", "shared", (F.col("both") - F.col("shared")).alias("united"))
     return full.where(f"shared * {den} {'>' if strict else '>='} united * {num}")
 
 
-def cosine_pairs(items: DataFrame, num: int, den: int) -> DataFrame:
-    """id_a, id_b, dot of items (id, terms array) whose term counts have a cosine above num/den, compared in whole numbers."""
-    v = _ordered(items).withColumn("norm", F.expr("aggregate(v, 0L, (s, x) -> s + x.tf * x.tf)"))
+def cosine_pairs(items: DataFrame, num: int, den: int, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """id_a, id_b, dot of items (id, terms array, and ``by`` as in :func:`jaccard_pairs`) whose term counts have a cosine
+    above num/den, compared in whole numbers."""
+    v = _ordered(items, by).withColumn("norm", F.expr("aggregate(v, 0L, (s, x) -> s + x.tf * x.tf)"))
     # One running sum from the frequent end: what is left after the first k terms, until it has (num/den)^2 of the norm.
     keep = F.expr(f"""aggregate(reverse(v), named_struct('rest', 0L, 'skip', 0), (a, x) -> named_struct('rest', a.rest + x.tf * x.tf,
         'skip', IF((a.rest + x.tf * x.tf) * {den * den} < norm * {num * num}, a.skip + 1, a.skip)), a -> size(v) - a.skip)""")
     v = cut(v.withColumn("keep", keep))
     prefix = v.select("id", "norm", "x0", "x1", F.explode(F.expr("slice(v, 1, keep)")).alias("p")).select("id", "norm", "x0", "x1", "p.term")
     # |a - b|^2 = |a|^2 + |b|^2 - 2ab is at least the number of parities that differ.
-    pairs = _met(prefix, ["norm"], f"norm_a + norm_b - {2 * num / den!r} * sqrt(norm_a * norm_b) + 1e-6")
-    side = lambda s: v.select(F.col("id").alias(f"id_{s}"), F.expr("map_from_entries(transform(v, x -> struct(x.term, x.tf)))").alias(f"m_{s}"), F.col("norm").alias(f"norm_{s}"))
+    pairs = cut(_met(prefix, ["norm"], f"norm_a + norm_b - {2 * num / den!r} * sqrt(norm_a * norm_b) + 1e-6"))
+    touched = pairs.select("id_a").union(pairs.select("id_b")).distinct().toDF("id")
+    counted = cut(items.join(touched, "id", "left_semi").select("id", counts_of(F.col("terms")).alias("m")))
+    norm = F.aggregate(F.map_values("m"), F.lit(0).cast("bigint"), lambda s, x: s + x * x)
+    side = lambda s: counted.select(F.col("id").alias(f"id_{s}"), F.col("m").alias(f"m_{s}"), norm.alias(f"norm_{s}"))
     full = pairs.join(side("a"), "id_a").join(side("b"), "id_b")
     full = full.withColumn("dot", F.expr("aggregate(map_entries(m_a), 0L, (s, e) -> s + e.value * coalesce(element_at(m_b, e.key), 0L))"))
     wide = "CAST({} AS DECIMAL(38,0))"
@@ -111,11 +119,11 @@ def greedy_removal(pairs: DataFrame, items: DataFrame) -> DataFrame:
 def alike_removed(items: DataFrame, num: int, den: int, least_terms: int) -> DataFrame:
     """Ids that a greedy pass over each group removes, of items (grp, id, terms, score, place, exempt).
 
-    Exempt items and those with fewer terms than the least take no part; terms carry their group,
-    so that only items of one group are compared.
+    Exempt items and those with fewer terms than the least take no part; only items of one group
+    are compared.
     """
-    taking = cut(items.where(~F.col("exempt") & (F.size("terms") >= least_terms)).withColumn("terms", F.expr("transform(terms, t -> concat_ws('\n', grp, t))")))
-    pairs = cut(cosine_pairs(taking.select("id", "terms"), num, den))
+    taking = cut(items.where(~F.col("exempt") & (F.size("terms") >= least_terms)))
+    pairs = cut(cosine_pairs(taking.select("id", "grp", "terms"), num, den, ["grp"]))
     return greedy_removal(pairs.join(taking.select(F.col("id").alias("id_a"), "grp"), "id_a").select("grp", "id_a", "id_b"), taking).select("id")
 
 
@@ -129,8 +137,8 @@ def first_and_repeats(items: DataFrame, num: int, den: int) -> DataFrame:
     ship_package(items.sparkSession)
     sets = items.withColumn("key", F.array_sort(F.array_distinct("terms")))
     bare = sets.where(F.size("key") == 0).select("id", "grp", F.lit(1).cast("bigint").alias("repeat_count"))
-    classes = cut(sets.where(F.size("key") > 0).groupBy("grp", "key").agg(F.min(F.struct("place", "id")).alias("first"), F.count(F.lit(1)).alias("n")).select("grp", "first.id", "first.place", "n", F.expr("transform(key, t -> concat_ws('\n', grp, t))").alias("terms")))
-    pairs = cut(jaccard_pairs(classes.select("id", "terms"), num, den, strict=True).select("id_a", "id_b"))
+    classes = cut(sets.where(F.size("key") > 0).groupBy("grp", "key").agg(F.min(F.struct("place", "id")).alias("first"), F.count(F.lit(1)).alias("n")).select("grp", "first.id", "first.place", "n", F.col("key").alias("terms")))
+    pairs = cut(jaccard_pairs(classes.select("id", "grp", "terms"), num, den, strict=True, by=["grp"]).select("id_a", "id_b"))
     side = lambda s: classes.select(F.col("id").alias(f"id_{s}"), F.col("place").alias(f"p_{s}"), F.col("n").alias(f"n_{s}"))
     edges = pairs.join(components(pairs).toDF("id_a", "root"), "id_a").join(side("a"), "id_a").join(side("b"), "id_b")
 

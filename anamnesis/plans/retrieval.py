@@ -240,6 +240,26 @@ def idf_of(spark, d):
     return t, df.join(F.broadcast(n)).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+#: Most frequent terms whose weights go to every task.
+HOT_TERMS = 100_000
+
+
+def mean_weight(tokens, idf):
+    """ingest_no, mean: the mean weight of the tokens (ingest_no, term) of each text.
+
+    The weights of the most frequent terms are broadcast, so that hot terms meet
+    their weight where they stand; only terms beyond them are shuffled.
+    """
+    hot = idf.orderBy(F.desc("df"), "term").limit(HOT_TERMS).select("term", "idf")
+    met = tokens.join(F.broadcast(hot), "term", "left")
+    sums = met.groupBy("ingest_no").agg(F.sum("idf").alias("s"), F.count(F.lit(1)).alias("n"), F.collect_list(F.when(F.col("idf").isNull(), F.col("term"))).alias("rare"))
+    if idf.count() <= HOT_TERMS:
+        return sums.select("ingest_no", (F.col("s") / F.col("n")).alias("mean"))
+    sums = cut(sums)
+    rest = sums.select("ingest_no", F.explode("rare").alias("term")).join(idf.select("term", "idf"), "term").groupBy("ingest_no").agg(F.sum("idf").alias("r"))
+    return sums.join(rest, "ingest_no", "left").select("ingest_no", ((F.coalesce("s", F.lit(0.0)) + F.coalesce("r", F.lit(0.0))) / F.col("n")).alias("mean"))
+
+
 @query(f"WITH {IDF} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM idf")
 def a9_document_frequency(spark, d):
     return idf_of(spark, d)[1].select("term", "df", F.round("idf", 6).alias("idf"))
@@ -249,7 +269,7 @@ def a9_document_frequency(spark, d):
 def t1_score_and_tag(spark, d):
     """Term weight, bonus, class and final score of every message."""
     t, idf = idf_of(spark, d)
-    s = t.select("ingest_no", F.explode("ts").alias("term")).groupBy("ingest_no", "term").agg(F.count(F.lit(1)).alias("tf")).join(idf, "term").groupBy("ingest_no").agg((F.sum(F.col("tf") * F.col("idf")) / F.sum("tf") * 10).alias("s"))
+    s = mean_weight(t.select("ingest_no", F.explode("ts").alias("term")), cut(idf)).select("ingest_no", (F.col("mean") * 10).alias("s"))
     m = table(spark, d, "messages").where("content IS NOT NULL")
     m = m.select("ingest_no", "content", S.hours_between(F.lit(NOW), micros(m, "created_at")).alias("hours")).join(s, "ingest_no", "left")
     c, tfidf = F.col("content"), F.round(F.coalesce("s", F.lit(0.0)), 2)
@@ -301,7 +321,7 @@ def t2_deduplicate(spark, d):
     """
     m = msgs(spark, d).where("content IS NOT NULL")
     m = m.select("conversation_id", "message_id", "ingest_no", "content", F.coalesce(micros(m, "created_at"), F.lit(2**63 - 1)).alias("us"))
-    scored = ranked(m, "conversation_id", ["us", "ingest_no"]).join(t1_score_and_tag(spark, d).select("ingest_no", "class", "final"), "ingest_no")
+    scored = ranked(m, "conversation_id", ["us", "ingest_no"]).join(stored_scores(spark, d).select("ingest_no", "class", "final"), "ingest_no")
     items = scored.select(F.coalesce("conversation_id", F.lit("")).alias("grp"), F.col("message_id").alias("id"), T.terms_pairs(F.col("content")).alias("terms"), F.col("final").alias("score"), F.col("rank").alias("place"), S.exempt(F.col("class")).alias("exempt"))
     return X.alike_removed(items, 82, 100, 3).unionByName(duplicate_notes(spark, d))
 

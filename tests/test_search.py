@@ -127,3 +127,14 @@ def test_snippets(spark):
     got = [r[0] for r in df.select(R.snippet_tokens(F.col("t"), ["budget"])).collect()]
     assert got == ["...three four five six >>>Budget<<<. eight nine ten eleven twelve...", ">>>budget<<<", None, None, None]
     assert df.where("t LIKE 'a%'").select(R.snippet_tokens(F.col("t"), ["(b)"])).first()[0] == "a >>>(b)<<< c"
+
+
+def test_mean_weights_with_few_hot_terms(spark, monkeypatch):
+    from anamnesis.plans import retrieval
+
+    tokens = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (2, "a"), (3, "d")], "ingest_no long, term string")
+    idf = spark.createDataFrame([("a", 9, 1.0), ("b", 2, 2.0), ("c", 1, 4.0), ("d", 1, 5.0)], "term string, df long, idf double")
+    want = {1: 4 / 3, 2: 2.5, 3: 5.0}
+    for hot in (100, 1):
+        monkeypatch.setattr(retrieval, "HOT_TERMS", hot)
+        assert {r["ingest_no"]: r["mean"] for r in retrieval.mean_weight(tokens, idf).collect()} == pytest.approx(want)
