@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from anamnesis.session import cut, ship_package
 
 #: Most labelled pages of each label that train the trees.
-SAMPLE = 8_000
+SAMPLE = 4_000
 #: Most pages that are put together of labelled ones for training, as labellers leave mixed pages out; of how many of each kind.
 MIXED = 2_000
 PARTS = ((1, 1), (1, 3), (3, 1), (1, 6))
-TREES, DEPTH, LEAF = 40, 8, 3
+TREES, DEPTH, LEAF = 25, 6, 5
 #: Share of the visible characters from which a weak labeller speaks.
 SURE = 0.8
 #: Most that a host can multiply the odds of a page by: only votes between 0.2 and 0.8 can turn over.
