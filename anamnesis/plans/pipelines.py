@@ -337,13 +337,17 @@ TAIL, WINDOW, LEAF_TOKENS, SHORT, CAP = 8, 100, 200, 50, 20_000
 
 
 def free_messages(spark, d):
-    """What a leaf pass may take: older than the fresh tail, not in a summary, not exempt; with what is left of each."""
+    """What a leaf pass may take: older than the fresh tail, not in a summary, not exempt; with what is left of each.
+
+    Messages are ranked before anything is worked out on their texts, as a range shuffle looks at its rows twice.
+    """
     m = timed(spark, d)
     c = F.col("content")
-    left = S.retention_by_class(10.0 + S.signal_bonus(c), S.message_class(c), S.hours_between(F.lit(NOW), F.col("us")), S.complexity_text(c), F.lit(0))
-    rows = m.select("message_id", "conversation_id", "us", "ingest_no", "role", "content", (-F.col("us")).alias("back"), (-F.col("ingest_no")).alias("no"), tok().alias("tokens"), F.coalesce(F.round(left, 6), F.lit(0.0)).alias("left"))
-    old = ranked(rows, "conversation_id", ["back", "no"]).where(F.col("rank") > TAIL).join(leaves(spark, d), "message_id", "left_anti")
-    return old.where(c.isNull() | ~S.exempt(S.message_class(c))).drop("back", "no", "rank")
+    rows = m.select("message_id", "conversation_id", "us", "ingest_no", "role", "content", (-F.col("us")).alias("back"), (-F.col("ingest_no")).alias("no"))
+    old = ranked(rows, "conversation_id", ["back", "no"]).where(F.col("rank") > TAIL).join(leaves(spark, d), "message_id", "left_anti").drop("back", "no", "rank")
+    classed = old.withColumn("class", S.message_class(c)).where(c.isNull() | ~S.exempt(F.col("class")))
+    left = S.retention_by_class(10.0 + S.signal_bonus(c), F.col("class"), S.hours_between(F.lit(NOW), F.col("us")), S.complexity_text(c), F.lit(0))
+    return classed.withColumns({"tokens": tok(), "left": F.coalesce(F.round(left, 6), F.lit(0.0))}).drop("class")
 
 
 @query(f"WITH {MT}, {SM}, {FREE} SELECT message_id, tk::BIGINT AS tokens, ret AS retention FROM fr")
