@@ -75,7 +75,7 @@ def p8_found(spark, sf_dir):
 
 def p8_scores(spark, sf_dir):
     scores = score_pages(table(spark, sf_dir, "documents"))
-    return scores.selectExpr("doc_id", "host", "label", "round(vote, 4) AS vote", "round(score, 4) AS score")
+    return scores.selectExpr("doc_id", "host", "label", "round(trees, 4) AS trees", "round(vote, 4) AS vote", "round(score, 4) AS score")
 
 
 _ROLES = " ".join(f"WHEN r IN ({', '.join(repr(x) for x in spellings)}) THEN '{name}'" for name, spellings in SPEAKERS.items())

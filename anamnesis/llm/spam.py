@@ -9,8 +9,8 @@
 3. A bounded sample of labelled pages (``SAMPLE`` rows a label), and pages put
    together from a spam page and another (``MIXED`` times; the label is the kind
    of most characters), train bagged trees.
-4. The trees decide every page, labelled or not.  Their vote is taken as odds and
-   multiplied, on doubtful pages, by the odds of the host's spam rate against the overall rate; the
+4. The trees decide every page; a weak label counts as evidence that a clear vote
+   overrules.  The result is taken as odds and multiplied, on doubtful pages, by the odds of the host's spam rate against the overall rate; the
    rate is shrunk by a prior whose weight is measured from how much hosts differ
    beyond chance.
 
@@ -36,13 +36,15 @@ from pyspark.sql import functions as F
 from anamnesis.session import cut, ship_package
 
 #: Most labelled pages of each label that train the trees.
-SAMPLE = 4_000
+SAMPLE = 8_000
 #: Most pages that are put together of labelled ones for training, as labellers leave mixed pages out; of how many of each kind.
 MIXED = 2_000
 PARTS = ((1, 1), (1, 3), (3, 1), (1, 6))
-TREES, DEPTH, LEAF = 25, 6, 5
+TREES, DEPTH, LEAF = 40, 8, 3
 #: Share of the visible characters from which a weak labeller speaks.
 SURE = 0.8
+#: What a weak label multiplies the odds of the trees by (or divides, if it is none): votes beyond 0.25 and 0.75 overrule it.
+LABEL_ODDS = 3
 #: Most that a host can multiply the odds of a page by: only votes between 0.2 and 0.8 can turn over.
 HOST_ODDS = 4
 #: Most pages that the overall rate counts for against a host's own, used where hosts differ by chance only.
@@ -392,10 +394,12 @@ def smooth_by_host(votes: DataFrame) -> DataFrame:
 
 
 def score_pages(documents: DataFrame) -> DataFrame:
-    """doc_id, host, label (weak, or null), vote (of the trees), score (smoothed by host)."""
+    """doc_id, host, label (weak, or null), trees (their vote), vote (with the label), score (smoothed by host)."""
     pages = cut(measure_pages(documents))
-    votes = cut(pages.mapInArrow(_vote(train(pages, documents)), "doc_id bigint, host string, label int, vote double"))
-    return smooth_by_host(votes)
+    votes = pages.mapInArrow(_vote(train(pages, documents)), "doc_id bigint, host string, label int, vote double").withColumnRenamed("vote", "trees")
+    factor = F.when(F.col("label") == 1, float(LABEL_ODDS)).when(F.col("label") == 0, 1 / LABEL_ODDS).otherwise(1.0)
+    odds = F.col("trees") * factor
+    return smooth_by_host(cut(votes.withColumn("vote", odds / (odds + 1 - F.col("trees")))))
 
 
 def find_spam_pages(documents: DataFrame) -> DataFrame:
