@@ -21,7 +21,7 @@ from anamnesis.plans.retrieval import IDF, stored_scores, t2_deduplicate
 from anamnesis.plans.scalar import SQL as SCALAR_SQL
 from anamnesis.plans.scalar import CLASS, COMPLEXITY, HOURS, LIFE, NOW, SIGNALS, TERMS_PAIRS, TERMS_SHORT, q
 from anamnesis.plans.windows import MT, USER, timed
-from anamnesis.session import cut, micros, table
+from anamnesis.session import cut, discard, micros, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -337,22 +337,22 @@ TAIL, WINDOW, LEAF_TOKENS, SHORT, CAP = 8, 100, 200, 50, 20_000
 
 
 def free_messages(spark, d):
-    """What a leaf pass may take: older than the fresh tail, not in a summary, not exempt; with what is left of each.
+    """What a leaf pass may take (older than the fresh tail, not in a summary, not exempt; narrow rows with what is left of
+    each), and all messages with their texts.
 
-    Messages are ranked before anything is worked out on their texts, as a range shuffle looks at its rows twice.
+    Texts are looked at once, and only numbers go through the ranking.
     """
-    m = timed(spark, d)
+    m = cut(timed(spark, d).select("message_id", "conversation_id", "us", "ingest_no", "role", "content"))
     c = F.col("content")
-    rows = m.select("message_id", "conversation_id", "us", "ingest_no", "role", "content", (-F.col("us")).alias("back"), (-F.col("ingest_no")).alias("no"))
-    old = ranked(rows, "conversation_id", ["back", "no"]).where(F.col("rank") > TAIL).join(leaves(spark, d), "message_id", "left_anti").drop("back", "no", "rank")
-    classed = old.withColumn("class", S.message_class(c)).where(c.isNull() | ~S.exempt(F.col("class")))
     left = S.retention_by_class(10.0 + S.signal_bonus(c), F.col("class"), S.hours_between(F.lit(NOW), F.col("us")), S.complexity_text(c), F.lit(0))
-    return classed.withColumns({"tokens": tok(), "left": F.coalesce(F.round(left, 6), F.lit(0.0))}).drop("class")
+    scored = m.withColumn("class", S.message_class(c)).select("message_id", "conversation_id", "us", "ingest_no", (-F.col("us")).alias("back"), (-F.col("ingest_no")).alias("no"), tok().alias("tokens"), F.coalesce(F.round(left, 6), F.lit(0.0)).alias("left"), (c.isNotNull() & S.exempt(F.col("class"))).alias("exempt"))
+    old = ranked(cut(scored), "conversation_id", ["back", "no"]).where((F.col("rank") > TAIL) & ~F.col("exempt")).join(leaves(spark, d), "message_id", "left_anti")
+    return old.drop("back", "no", "rank", "exempt"), m
 
 
 @query(f"WITH {MT}, {SM}, {FREE} SELECT message_id, tk::BIGINT AS tokens, ret AS retention FROM fr")
 def t7_leaf_candidates(spark, d):
-    return free_messages(spark, d).select("message_id", "tokens", F.col("left").alias("retention"))
+    return free_messages(spark, d)[0].select("message_id", "tokens", F.col("left").alias("retention"))
 
 
 LEAF = f"""WITH RECURSIVE {MT}, {SM}, {FREE}, w AS (SELECT * FROM fr QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY ret, ingest_no) <= {WINDOW}),
@@ -380,11 +380,12 @@ def new_leaves(spark, d):
     ones merged, and episodes joined until half of the aim is reached.  A rest below
     three tenths goes to the leaf before it.
     """
-    free = free_messages(spark, d)
+    free, texts = free_messages(spark, d)
     weakest = free.withColumn("w", F.row_number().over(Window.partitionBy("conversation_id").orderBy("left", "ingest_no"))).where(F.col("w") <= WINDOW)
     weakest = cut(weakest.drop("w", "left"))
     enough = weakest.groupBy("conversation_id").agg(F.sum("tokens").alias("t")).where(F.col("t") >= LEAF_TOKENS).select("conversation_id")
-    m = cut(weakest.join(enough, "conversation_id", "left_semi"))
+    m = cut(weakest.join(enough, "conversation_id", "left_semi").join(texts.select("message_id", "role", "content"), "message_id"))
+    discard(weakest)
     e = cut(episodes(m).join(m.select("message_id", "tokens"), "message_id"))
     parts = cut(capped_episodes(e, CAP, first_counts=False).join(e.select("message_id", "tokens"), "message_id"))
     merged = cut(merged_episodes(parts, SHORT).join(m.select("message_id", "tokens"), "message_id"))
