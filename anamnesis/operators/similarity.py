@@ -14,15 +14,22 @@ join keys, so that a hot term is no hot task.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from anamnesis.functions.text import cosine, counts_of
-from anamnesis.session import cut, discard, ship_package
+from anamnesis.session import cut, default_parallelism, discard, ship_package
 
 #: Items with one prefix term on one side of a join key.
 SALT = 4_000
+#: Items with one prefix term in one block of a cosine join; blocks meet two by two.
+BLOCK = 16_000
+#: Buckets of a sketch of term counts.
+BUCKETS = 1_024
 
 
 def _ordered(items: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -63,25 +70,147 @@ def jaccard_pairs(items: DataFrame, num: int, den: int, strict: bool = False, by
     return full.where(f"shared * {den} {'>' if strict else '>='} united * {num}")
 
 
+def _prefixes(v: DataFrame, num: int, den: int) -> DataFrame:
+    """term, no, rest, norm, more, sketch: the rows of :func:`_ordered` (with ``no``) once per term of their prefix.
+
+    ``rest`` is the share of the norm from the term on; two items whose first common term this is have a cosine of
+    at most the root of their two shares' product.  ``sketch`` has an entry for every term, its bucket of 1,024 and its
+    count (by at most 31 an entry); ``more`` is the number of further blocks a hot term is dealt to.
+    """
+    least = (num / den) ** 2 - 1e-9
+
+    def rows(batches):
+        for batch in batches:
+            lists = batch.column("v")
+            if not len(lists):
+                continue
+            flat, at = lists.flatten(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            df, term, tf = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("df", "term", "tf"))
+            row = np.repeat(np.arange(len(lists)), np.diff(at))
+            upto = np.concatenate([[0], np.cumsum(tf * tf)])
+            norm = (upto[at[1:]] - upto[at[:-1]])[row]
+            rest = (upto[at[1:]][row] - upto[:-1]) / norm
+            parts = (tf + 30) // 31
+            entry = np.repeat(np.arange(len(tf)), parts)
+            last = np.zeros(len(entry), bool)
+            last[np.cumsum(parts) - 1] = True
+            sketch = (term[entry] & (BUCKETS - 1)) * 32 + np.where(last, tf[entry] - 31 * (parts[entry] - 1), 31)
+            where = np.concatenate([[0], np.cumsum(parts)])[at]
+            keep = (rest >= least) & (df > 1)
+            sketches = pa.ListArray.from_arrays(pa.array(where.astype(np.int32)), pa.array(sketch.astype(np.int16))).take(pa.array(row[keep]))
+            no = batch.column("no").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (term[keep], no[row[keep]], rest[keep], norm[keep], (df[keep] // BLOCK).astype(np.int32))] + [sketches], ["term", "no", "rest", "norm", "more", "sketch"])
+
+    return v.select("no", "v").mapInArrow(rows, "term long, no long, rest double, norm long, more int, sketch array<short>")
+
+
+def _tables(batches, key: str, least_rows: int):
+    """Tables of whole runs of ``key``, of batches that are sorted by it."""
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < least_rows or held[0].column(key)[0] == batch.column(key)[-1]:
+            continue
+        t = pa.Table.from_batches(held)
+        k = t.column(key).combine_chunks()
+        at = t.num_rows - 1 - int(np.argmin(np.asarray(pc.equal(k, k[-1]).to_numpy(zero_copy_only=False))[::-1]))
+        yield t.slice(0, at + 1)
+        held = t.slice(at + 1).to_batches()
+        n = t.num_rows - at - 1
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _near(prefix: DataFrame, num: int, den: int) -> DataFrame:
+    """no_a < no_b, without repeats, of all items whose cosine may be above num/den.
+
+    Rows of a term lie by falling ``rest``, so that the partners an item may have are a run of them.  Of what meets,
+    parities and then products of bucket sums, which are never below those of the terms, drop nearly all others.
+    """
+    least = (num / den) ** 2
+
+    def pairs_of(t: pa.Table):
+        term, no, rest, norm, block, own = (t.column(c).to_numpy() for c in ("key", "no", "rest", "norm", "block", "own"))
+        new = np.concatenate([[True], term[1:] != term[:-1]])
+        run = np.cumsum(new) - 1
+        start = np.flatnonzero(new)[run]
+        end = np.searchsorted(2.0 * run + 1 - rest, 2.0 * run + 1 - least / rest + 1e-8, "right")
+        k = np.maximum(np.minimum(end, np.arange(len(run))) - start, 0)
+        met = np.isin(run, run[k > 0])
+        if not met.any():
+            return
+        # Only rows of runs in which something meets are kept, so places shift.
+        lists = t.column("sketch").combine_chunks().filter(pa.array(met))
+        shift = np.cumsum(met) - 1
+        no, norm, block, own, k, start = no[met], norm[met].astype(float), block[met], own[met], k[met], shift[start[met]]
+        at = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        entry = lists.flatten().to_numpy().astype(np.int64)
+        odd, sums = np.empty((len(no), BUCKETS // 64), np.uint64), np.empty((len(no), BUCKETS // 2), np.float32)
+        for lo in range(0, len(no), 4_096):
+            hi = min(lo + 4_096, len(no))
+            e = entry[at[lo] : at[hi]]
+            cell = np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1])) * BUCKETS + (e >> 5)
+            full = np.bincount(cell, e & 31, (hi - lo) * BUCKETS).reshape(hi - lo, BUCKETS)
+            odd[lo:hi] = np.packbits(full.astype(np.int64) & 1 == 1, axis=1).view(np.uint64)
+            sums[lo:hi] = full[:, : BUCKETS // 2] + full[:, BUCKETS // 2 :]
+        upto = np.cumsum(k)
+        lo = 0
+        while lo < len(k):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + 500_000, "right")))
+            n = k[lo:hi]
+            a = np.repeat(np.arange(lo, hi), n)
+            b = start[a] + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+            lo = hi
+            fit = own[a] | (block[a] != block[b])
+            a, b = a[fit], b[fit]
+            # |a - b|^2 = |a|^2 + |b|^2 - 2ab is at least the number of parities that differ.
+            most = norm[a] + norm[b] - 2 * num / den * np.sqrt(norm[a] * norm[b]) + 1e-6
+            differ = np.zeros(len(a), np.int16)
+            for words in (range(4), range(4, 8), range(8, BUCKETS // 64)):
+                for w in words:
+                    differ += np.bitwise_count(odd[a, w] ^ odd[b, w])
+                fit = differ <= most
+                a, b, most, differ = a[fit], b[fit], most[fit], differ[fit]
+            for i in range(0, len(a), 8_192):
+                x, y = a[i : i + 8_192], b[i : i + 8_192]
+                dot = np.einsum("ij,ij->i", sums[x], sums[y]).astype(float) * (1 + 1e-5)
+                fit = dot * dot > norm[x] * norm[y] * least
+                if fit.any():
+                    x, y = no[x[fit]], no[y[fit]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["no_a", "no_b"])
+
+    def meet(batches):
+        for t in _tables(batches, "key", 16_384):
+            yield from pairs_of(t)
+
+    block = F.expr("CAST(pmod(xxhash64(no), more + 1) AS INT)")
+    dealt = prefix.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, more)")))
+    key = F.when(F.col("more") == 0, F.col("term")).otherwise(F.xxhash64("term", F.least("block", "other"), F.greatest("block", "other")))
+    rows = dealt.select(key.alias("key"), "no", "rest", "norm", "block", (F.col("block") == F.col("other")).alias("own"), "sketch")
+    parts = 4 * default_parallelism(prefix.sparkSession)
+    return rows.repartition(parts, "key").sortWithinPartitions("key", F.desc("rest")).mapInArrow(meet, "no_a long, no_b long").distinct()
+
+
 def cosine_pairs(items: DataFrame, num: int, den: int, by: list[str] = []) -> DataFrame:  # noqa: B006
     """id_a, id_b, dot of items (id, terms array, and ``by`` as in :func:`jaccard_pairs`) whose term counts have a cosine
     above num/den, compared in whole numbers."""
-    v = _ordered(items, by).withColumn("norm", F.expr("aggregate(v, 0L, (s, x) -> s + x.tf * x.tf)"))
-    # One running sum from the frequent end: what is left after the first k terms, until it has (num/den)^2 of the norm.
-    keep = F.expr(f"""aggregate(reverse(v), named_struct('rest', 0L, 'skip', 0), (a, x) -> named_struct('rest', a.rest + x.tf * x.tf,
-        'skip', IF((a.rest + x.tf * x.tf) * {den * den} < norm * {num * num}, a.skip + 1, a.skip)), a -> size(v) - a.skip)""")
-    v = cut(v.withColumn("keep", keep))
-    prefix = v.select("id", "norm", "x0", "x1", F.explode(F.expr("slice(v, 1, keep)")).alias("p")).select("id", "norm", "x0", "x1", "p.term")
-    # |a - b|^2 = |a|^2 + |b|^2 - 2ab is at least the number of parities that differ.
-    pairs = cut(_met(prefix, ["norm"], f"norm_a + norm_b - {2 * num / den!r} * sqrt(norm_a * norm_b) + 1e-6"))
-    touched = pairs.select("id_a").union(pairs.select("id_b")).distinct().toDF("id")
-    counted = cut(items.join(touched, "id", "left_semi").select("id", counts_of(F.col("terms")).alias("m")))
+    ship_package(items.sparkSession)
+    v = cut(_ordered(items, by).select("id", "v").withColumn("no", F.monotonically_increasing_id()))
+    pairs = cut(_near(_prefixes(v, num, den), num, den))
+    touched = pairs.select("no_a").union(pairs.select("no_b")).distinct().toDF("no")
+    named = cut(v.select("no", "id").join(touched, "no"))
+    discard(v)
+    counted = cut(items.select("id", "terms").join(named, "id").select("no", "id", counts_of(F.col("terms")).alias("m")))
     norm = F.aggregate(F.map_values("m"), F.lit(0).cast("bigint"), lambda s, x: s + x * x)
-    side = lambda s: counted.select(F.col("id").alias(f"id_{s}"), F.col("m").alias(f"m_{s}"), norm.alias(f"norm_{s}"))
-    full = pairs.join(side("a"), "id_a").join(side("b"), "id_b")
+    side = lambda s: counted.select(F.col("no").alias(f"no_{s}"), F.col("id").alias(f"i_{s}"), F.col("m").alias(f"m_{s}"), norm.alias(f"norm_{s}"))
+    full = pairs.join(side("a"), "no_a").join(side("b"), "no_b")
     full = full.withColumn("dot", F.expr("aggregate(map_entries(m_a), 0L, (s, e) -> s + e.value * coalesce(element_at(m_b, e.key), 0L))"))
     wide = "CAST({} AS DECIMAL(38,0))"
-    return full.where(f"{wide.format('dot')} * dot * {den * den} > {wide.format('norm_a')} * norm_b * {num * num}").select("id_a", "id_b", "dot")
+    full = full.where(f"{wide.format('dot')} * dot * {den * den} > {wide.format('norm_a')} * norm_b * {num * num}")
+    return full.select(F.least("i_a", "i_b").alias("id_a"), F.greatest("i_a", "i_b").alias("id_b"), "dot")
 
 
 def greedy_removal(pairs: DataFrame, items: DataFrame) -> DataFrame:

@@ -112,6 +112,46 @@ def test_capped_episodes_start_again(spark):
     assert [got[f"m{i}"] for i in range(6)] == [0, 1, 1, 2, 2, 3]
 
 
+def test_cosine_pairs_against_all_pairs(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(X, "BLOCK", 20)  # hot terms are dealt to blocks
+    rng = random.Random(5)
+    data = [("g" if i % 3 else "h", f"{i:03}", rng.choices("abcdefgh", [9, 7, 5, 3, 2, 1, 1, 1], k=rng.randrange(0, 14)) + rng.choices("xyz", k=i % 2)) for i in range(200)]
+    data += [("g", "long1", ["x"] * 400 + ["y"] * 90), ("g", "long2", ["x"] * 300 + ["y"] * 31), ("h", "long3", ["x"] * 300 + ["y"] * 31)]
+    counts = {i: (g, Counter(t)) for g, i, t in data}
+    want = set()
+    for a in counts:
+        for b in counts:
+            (g, x), (h, y) = counts[a], counts[b]
+            dot = sum(n * y[k] for k, n in x.items())
+            if a < b and g == h and dot * dot * 10000 > 6724 * sum(n * n for n in x.values()) * sum(n * n for n in y.values()):
+                want.add((a, b, dot))
+    got = X.cosine_pairs(spark.createDataFrame(data, "grp string, id string, terms array<string>"), 82, 100, ["grp"])
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 500
+
+
+def test_few_chance_meetings_are_written(spark, monkeypatch):
+    import random
+
+    rng, sizes, write = random.Random(6), [], X.cut
+
+    def cut(df):
+        out = write(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(X, "cut", cut)
+    names = [f"name{i}" for i in range(300)]
+    frames = [[f"w{t}x{i}" for i in range(9)] for t in range(4)]
+    data = [(f"{i:04}", [w for t in rng.sample(frames, 2) for w in [*t, "the", *rng.sample(names, 4)]]) for i in range(600)]
+    data += [(f"c{i}", [*w[:-1], "new"]) for i, w in data[:200]]
+    n = X.cosine_pairs(spark.createDataFrame(data, "id string, terms array<string>"), 82, 100).count()
+    # Tables by item, and the pairs that are compared by text: nearly all others are dropped where they meet.
+    assert n >= 200 and max(sizes) <= 800 + 2 * n
+
+
 def test_deduplicated_messages(spark):
     same = ["a", "b", "c", "d"]
     data = [("c", "low", same, 1.0, 1, False), ("c", "high", same, 2.0, 2, False), ("c", "tie", same, 2.0, 3, False), ("c", "exempt", same, 0.0, 4, True), ("c", "s1", ["x", "y"], 1.0, 5, False), ("c", "s2", ["x", "y"], 1.0, 6, False), ("d", "other", same, 0.0, 1, False)]
