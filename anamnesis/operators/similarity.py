@@ -28,6 +28,8 @@ from anamnesis.session import cut, default_parallelism, discard, ship_package
 SALT = 4_000
 #: Items with one prefix term in one block of a cosine join; blocks meet two by two.
 BLOCK = 16_000
+#: Items of a group whose pairs are all compared in one task.
+SMALL_GROUP = 1_000
 #: Buckets of a sketch of term counts.
 BUCKETS = 1_024
 
@@ -213,6 +215,21 @@ def cosine_pairs(items: DataFrame, num: int, den: int, by: list[str] = []) -> Da
     return full.select(F.least("i_a", "i_b").alias("id_a"), F.greatest("i_a", "i_b").alias("id_b"), "dot")
 
 
+def _greedy(near: dict, place: dict, score: dict) -> set:
+    """What a pass in order of place removes: of two alike items the one with the lower score, the later one on ties."""
+    gone: set = set()
+    for i in sorted(place, key=place.get):
+        if i in gone:
+            continue
+        for j in sorted((x for x in near[i] if place[x] > place[i] and x not in gone), key=place.get):
+            if score[i] >= score[j]:
+                gone.add(j)
+            else:
+                gone.add(i)
+                break
+    return gone
+
+
 def greedy_removal(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """Ids that a greedy pass removes: of two alike items the one with the lower score, the later one on ties.
 
@@ -230,16 +247,7 @@ def greedy_removal(pairs: DataFrame, items: DataFrame) -> DataFrame:
             score[r.id_a], place[r.id_a], score[r.id_b], place[r.id_b] = r.s_a, r.p_a, r.s_b, r.p_b
             near.setdefault(r.id_a, set()).add(r.id_b)
             near.setdefault(r.id_b, set()).add(r.id_a)
-        gone: set = set()
-        for i in sorted(place, key=place.get):
-            if i in gone:
-                continue
-            for j in sorted((x for x in near[i] if place[x] > place[i] and x not in gone), key=place.get):
-                if score[i] >= score[j]:
-                    gone.add(j)
-                else:
-                    gone.add(i)
-                    break
+        gone = _greedy(near, place, score)
         return pd.DataFrame({"grp": [pdf["grp"].iloc[0]] * len(gone), "id": sorted(gone)})
 
     return edges.groupBy("grp").applyInPandas(resolve, "grp string, id string")
@@ -249,11 +257,64 @@ def alike_removed(items: DataFrame, num: int, den: int, least_terms: int) -> Dat
     """Ids that a greedy pass over each group removes, of items (grp, id, terms, score, place, exempt).
 
     Exempt items and those with fewer terms than the least take no part; only items of one group
-    are compared.
+    are compared.  Groups of up to ``SMALL_GROUP`` items are worked off whole where they lie,
+    larger ones by the join of :func:`cosine_pairs`.
     """
-    taking = cut(items.where(~F.col("exempt") & (F.size("terms") >= least_terms)))
-    pairs = cut(cosine_pairs(taking.select("id", "grp", "terms"), num, den, ["grp"]))
-    return greedy_removal(pairs.join(taking.select(F.col("id").alias("id_a"), "grp"), "id_a").select("grp", "id_a", "id_b"), taking).select("id")
+    taking = cut(items.where(~F.col("exempt") & (F.size("terms") >= least_terms)).select("grp", "id", "terms", "score", "place"))
+    n = cut(taking.groupBy("grp").agg(F.count(F.lit(1)).alias("n")))
+    gone = _removed_within(taking.join(n.where(f"n BETWEEN 2 AND {SMALL_GROUP}").select("grp"), "grp"), num, den)
+    large = taking.join(n.where(f"n > {SMALL_GROUP}").select("grp"), "grp")
+    if n.where(f"n > {SMALL_GROUP}").isEmpty():
+        return gone
+    large = cut(large)
+    pairs = cut(cosine_pairs(large.select("id", "grp", "terms"), num, den, ["grp"]))
+    return gone.unionByName(greedy_removal(pairs.join(large.select(F.col("id").alias("id_a"), "grp"), "id_a").select("grp", "id_a", "id_b"), large).select("id"))
+
+
+def _alike(row: np.ndarray, code: np.ndarray, n: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i < j) of the items of one group, whose terms are (row, code), with a cosine above num/den."""
+    cell, tf = np.unique(row * (int(code.max()) + 1) + code, return_counts=True)
+    row, code = cell // (int(code.max()) + 1), cell % (int(code.max()) + 1)
+    norm = np.bincount(row, tf * tf, n)
+    _, col, df = np.unique(code, return_inverse=True, return_counts=True)
+    common = df > 1
+    col, row, tf = (np.cumsum(common) - 1)[col][common[col]], row[common[col]], tf[common[col]]
+    dot = np.zeros((n, n))
+    for lo in range(0, int(common.sum()), 4_096):
+        part = (col >= lo) & (col < lo + 4_096)
+        wide = np.zeros((n, min(4_096, int(common.sum()) - lo)))
+        wide[row[part], col[part] - lo] = tf[part]
+        dot += wide @ wide.T
+    i, j = np.nonzero(np.triu(dot * dot * (den * den) > np.outer(norm, norm) * (num * num * (1 - 1e-9)), 1))
+    exact = [int(d) ** 2 * den * den > int(x) * int(y) * num * num for d, x, y in zip(dot[i, j], norm[i], norm[j])]
+    return i[exact], j[exact]
+
+
+def _removed_within(items: DataFrame, num: int, den: int) -> DataFrame:
+    """Ids that the greedy pass removes, of items (grp, id, terms, score, place) with small groups."""
+    ship_package(items.sparkSession)
+
+    def removed(batches):
+        for t in _tables(batches, "grp", 8_192):
+            t = t.combine_chunks()
+            grp = t.column("grp").combine_chunks()
+            border = np.flatnonzero(pc.not_equal(grp[1:], grp[:-1]).to_numpy(zero_copy_only=False)) + 1
+            terms = t.column("terms").combine_chunks()
+            at = np.asarray(terms.offsets) - terms.offsets[0].as_py()
+            code = terms.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(terms)), np.diff(at))
+            ids, place, score, gone = t.column("id"), t.column("place"), t.column("score"), []
+            for lo, hi in zip([0, *border], [*border, len(terms)]):
+                i, j = _alike(row[at[lo] : at[hi]] - lo, code[at[lo] : at[hi]], hi - lo, num, den)
+                near: dict = {}
+                for x, y in zip(i.tolist(), j.tolist()):
+                    near.setdefault(x, set()).add(y)
+                    near.setdefault(y, set()).add(x)
+                gone += [lo + x for x in _greedy(near, {x: place[int(lo + x)].as_py() for x in near}, {x: score[int(lo + x)].as_py() for x in near})]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(gone, pa.int64())).combine_chunks()], ["id"])
+
+    rows = items.select("grp", "id", "terms", "score", "place").repartition(default_parallelism(items.sparkSession), "grp").sortWithinPartitions("grp")
+    return rows.mapInArrow(removed, items.select("id").schema)
 
 
 def first_and_repeats(items: DataFrame, num: int, den: int) -> DataFrame:

@@ -17,7 +17,7 @@ from anamnesis.operators.ordered import ranked, running_sums
 from anamnesis.operators.segments import capped_episodes, episodes, is_user, merged_episodes, task_texts
 from anamnesis.plans.domain import leaf_rows, t26_keep_flow
 from anamnesis.plans.relational import M, N, SM, SU, TOK, leaves, msgs, notes, sums, tok
-from anamnesis.plans.retrieval import IDF, stored_scores, t2_deduplicate
+from anamnesis.plans.retrieval import IDF, duplicate_messages, stored_scores
 from anamnesis.plans.scalar import SQL as SCALAR_SQL
 from anamnesis.plans.scalar import CLASS, COMPLEXITY, HOURS, LIFE, NOW, SIGNALS, TERMS_PAIRS, TERMS_SHORT, q
 from anamnesis.plans.windows import MT, USER, timed
@@ -191,7 +191,7 @@ def t26_share_flow(spark, d):
 @query()
 def t26_dedup_flow(spark, d):
     """Near-equal messages out first, then 70 % kept by final score."""
-    m = timed(spark, d).where("content IS NOT NULL").join(t2_deduplicate(spark, d).select(F.col("id").alias("message_id")), "message_id", "left_anti")
+    m = timed(spark, d).where("content IS NOT NULL").join(duplicate_messages(spark, d).select(F.col("id").alias("message_id")), "message_id", "left_anti")
     scored = m.join(stored_scores(spark, d).select("ingest_no", "final"), "ingest_no")
     return kept(scored, F.col("final"), 0.7)
 

@@ -9,7 +9,6 @@ from anamnesis.functions import scoring as S
 from anamnesis.functions import text as T
 from anamnesis.operators import search as R
 from anamnesis.operators import similarity as X
-from anamnesis.operators.ordered import ranked
 from anamnesis.operators.segments import is_user
 from anamnesis.operators.stored import stored
 from anamnesis.plans.relational import CO, M, SU, convs, msgs, sums
@@ -319,17 +318,24 @@ def t2_deduplicate(spark, d):
 
     Exempt messages and those of fewer than 3 terms stay; ties go to the earlier message.
     """
+    return duplicate_messages(spark, d).unionByName(duplicate_notes(spark, d))
+
+
+def duplicate_messages(spark, d):
+    """Messages that a greedy pass over each conversation removes, by final score, time and arrival."""
     m = msgs(spark, d).where("content IS NOT NULL")
     m = m.select("conversation_id", "message_id", "ingest_no", "content", F.coalesce(micros(m, "created_at"), F.lit(2**63 - 1)).alias("us"))
-    scored = ranked(m, "conversation_id", ["us", "ingest_no"]).join(stored_scores(spark, d).select("ingest_no", "class", "final"), "ingest_no")
-    items = scored.select(F.coalesce("conversation_id", F.lit("")).alias("grp"), F.col("message_id").alias("id"), T.terms_pairs(F.col("content")).alias("terms"), F.col("final").alias("score"), F.col("rank").alias("place"), S.exempt(F.col("class")).alias("exempt"))
-    return X.alike_removed(items, 82, 100, 3).unionByName(duplicate_notes(spark, d))
+    scored = m.join(stored_scores(spark, d).select("ingest_no", "class", "final"), "ingest_no")
+    # Texts in the order of the numbers: 16 digits each, the sign turned over.
+    digits = lambda c: F.lpad(F.hex(F.col(c).cast("bigint").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    items = scored.select(F.coalesce("conversation_id", F.lit("")).alias("grp"), F.col("message_id").alias("id"), T.terms_pairs(F.col("content")).alias("terms"), F.col("final").alias("score"), F.concat(digits("us"), digits("ingest_no")).alias("place"), S.exempt(F.col("class")).alias("exempt"))
+    return X.alike_removed(items, 82, 100, 3)
 
 
 def duplicate_notes(spark, d):
     """Notes that a greedy pass over all of them removes, by signals and id."""
     texts = cut(note_texts(spark, d))
-    pairs = X.cosine_pairs(texts.select("id", "terms"), 82, 100)
+    pairs = cut(X.cosine_pairs(texts.select("id", "terms"), 82, 100))
     groups = X.components(pairs)
     items = texts.join(groups, "id").select(F.col("root").alias("grp"), "id", S.signal_bonus(F.col("content")).cast("double").alias("score"), F.col("id").alias("place"))
     with_group = pairs.join(groups.select(F.col("id").alias("id_a"), F.col("root").alias("grp")), "id_a")

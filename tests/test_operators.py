@@ -159,6 +159,26 @@ def test_deduplicated_messages(spark):
     assert rows(X.alike_removed(items, 82, 100, 3)) == [("low",), ("tie",)]
 
 
+def test_small_and_large_groups_are_deduplicated_alike(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    data = [(f"g{i % 4}", f"m{i}", rng.choices("abcdef", [9, 6, 4, 2, 1, 1], k=rng.randrange(0, 12)), float(rng.randrange(3)), f"{i:03}", i % 9 == 0) for i in range(160)]
+    items = spark.createDataFrame(data, "grp string, id string, terms array<string>, score double, place string, exempt boolean")
+    small = rows(X.alike_removed(items, 82, 100, 3))
+    monkeypatch.setattr(X, "SMALL_GROUP", 0)
+    assert small and rows(X.alike_removed(items, 82, 100, 3)) == small
+
+
+def test_flow_over_messages_leaves_notes_alone(spark, monkeypatch):
+    from anamnesis.plans import pipelines, retrieval
+
+    if not os.path.isdir(SMALL):
+        pytest.skip("no test tables")
+    monkeypatch.setattr(retrieval, "duplicate_notes", lambda *_: pytest.fail("notes are compared"))
+    assert pipelines.t26_dedup_flow(spark, SMALL).columns == ["message_id"]
+
+
 def test_messages_are_deduplicated(spark):
     from anamnesis.plans import registry
     from anamnesis.plans.relational import msgs
