@@ -262,13 +262,17 @@ def alike_removed(items: DataFrame, num: int, den: int, least_terms: int) -> Dat
     """
     taking = cut(items.where(~F.col("exempt") & (F.size("terms") >= least_terms)).select("grp", "id", "terms", "score", "place"))
     n = cut(taking.groupBy("grp").agg(F.count(F.lit(1)).alias("n")))
-    gone = _removed_within(taking.join(n.where(f"n BETWEEN 2 AND {SMALL_GROUP}").select("grp"), "grp"), num, den)
-    large = taking.join(n.where(f"n > {SMALL_GROUP}").select("grp"), "grp")
-    if n.where(f"n > {SMALL_GROUP}").isEmpty():
+    gone = cut(_removed_within(taking.join(n.where(f"n BETWEEN 2 AND {SMALL_GROUP}").select("grp"), "grp"), num, den))
+    many = n.where(f"n > {SMALL_GROUP}").select("grp")
+    if many.isEmpty():
+        discard(taking, n)
         return gone
-    large = cut(large)
+    large = cut(taking.join(many, "grp"))
+    discard(taking, n)
     pairs = cut(cosine_pairs(large.select("id", "grp", "terms"), num, den, ["grp"]))
-    return gone.unionByName(greedy_removal(pairs.join(large.select(F.col("id").alias("id_a"), "grp"), "id_a").select("grp", "id_a", "id_b"), large).select("id"))
+    rest = cut(greedy_removal(pairs.join(large.select(F.col("id").alias("id_a"), "grp"), "id_a").select("grp", "id_a", "id_b"), large.select("grp", "id", "score", "place")).select("id"))
+    discard(large, pairs)
+    return gone.unionByName(rest)
 
 
 def _alike(row: np.ndarray, code: np.ndarray, n: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
