@@ -14,11 +14,14 @@ join keys, so that a hot term is no hot task.
 
 from __future__ import annotations
 
+from collections import deque
+from heapq import heapify, heappop, heapreplace
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anamnesis.functions.text import cosine, counts_of
@@ -258,7 +261,7 @@ def alike_removed(items: DataFrame, num: int, den: int, least_terms: int) -> Dat
 
     Exempt items and those with fewer terms than the least take no part; only items of one group
     are compared.  Groups of up to ``SMALL_GROUP`` items are worked off whole where they lie,
-    larger ones by the join of :func:`cosine_pairs`.
+    larger ones by :func:`removed_among`.
     """
     taking = cut(items.where(~F.col("exempt") & (F.size("terms") >= least_terms)).select("grp", "id", "terms", "score", "place"))
     n = cut(taking.groupBy("grp").agg(F.count(F.lit(1)).alias("n")))
@@ -267,14 +270,79 @@ def alike_removed(items: DataFrame, num: int, den: int, least_terms: int) -> Dat
     if many.isEmpty():
         discard(taking, n)
         return gone
-    large = cut(taking.join(many, "grp"))
+    rest = removed_among(taking.join(many, "grp"), num, den)
     discard(taking, n)
-    pairs = cut(cosine_pairs(large.select("id", "grp", "terms"), num, den, ["grp"]))
-    rest = cut(greedy_removal(pairs.join(large.select(F.col("id").alias("id_a"), "grp"), "id_a").select("grp", "id_a", "id_b"), large.select("grp", "id", "score", "place")).select("id"))
-    discard(large, pairs)
     return gone.unionByName(rest)
 
 
+def _greedy_by_class(no: list, score: list, near: dict) -> list[int]:
+    """Places that the pass of :func:`_greedy` removes, of items in order of place that are alike to all of their class and
+    of its near ones.
+
+    The items of a class that are still to come lie in a queue.  An item walks the heads of the queues it is alike to, and
+    every step of a walk removes an item, so that no pair of items is ever listed.
+    """
+    queues: dict = {}
+    for i, c in enumerate(no):
+        queues.setdefault(c, deque()).append(i)
+    gone, out = bytearray(len(no)), []
+    for i, c in enumerate(no):
+        if gone[i]:
+            continue
+        queues[c].popleft()
+        heads = [(queues[x][0], x) for x in (c, *near.get(c, ())) if queues[x]]
+        heapify(heads)
+        while heads:
+            j, x = heads[0]
+            if score[i] < score[j]:
+                out.append(i)
+                break
+            gone[j] = 1
+            out.append(j)
+            queues[x].popleft()
+            if queues[x]:
+                heapreplace(heads, (queues[x][0], x))
+            else:
+                heappop(heads)
+    return out
+
+
+def removed_among(items: DataFrame, num: int, den: int, score: Column | None = None) -> DataFrame:
+    """Ids that a greedy pass over each group removes, of items (grp, id, terms, place, and score or what it is made of).
+
+    Items of a group with equal term counts are one class, and only classes are compared: a text that comes n times
+    costs n rows and not n * n pairs.  Each component of alike classes is worked off in one task, as items in order and
+    links of classes.  ``num`` is below ``den``; ``score`` is worked out for items with a partner only.
+    """
+    ship_package(items.sparkSession)
+    ordered = F.array_sort("terms")
+    keyed = items.where(F.size("terms") > 0).withColumn("key", F.struct(F.xxhash64("grp", ordered).alias("h1"), F.xxhash64(F.lit("second"), "grp", ordered).alias("h2")))
+    classes = cut(keyed.groupBy("key").agg(F.first("grp").alias("grp"), F.first("terms").alias("terms"), F.count(F.lit(1)).alias("n")).withColumn("no", F.monotonically_increasing_id()))
+    pairs = cut(cosine_pairs(classes.select(F.col("no").alias("id"), "grp", "terms"), num, den, ["grp"]).select("id_a", "id_b"))
+    roots = components(pairs).toDF("no", "root")
+    taking = cut(classes.select("key", "no", "n").join(roots, "no", "left").where("n > 1 OR root IS NOT NULL").select("key", "no", F.coalesce("root", "no").alias("root")))
+    discard(classes)
+    members = keyed.drop("terms", "grp").join(taking, "key").select("root", "no", "id", "place", (F.col("score") if score is None else score).alias("score"))
+    links = pairs.unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"))).groupBy(F.col("id_a").alias("no")).agg(F.collect_list("id_b").alias("near")).join(roots, "no")
+
+    def removed(batches):
+        for t in _tables(batches, "root", 8_192):
+            root = t.column("root").to_numpy()
+            border = np.flatnonzero(root[1:] != root[:-1]) + 1
+            no, own, near, ids, gone = t.column("no").to_pylist(), t.column("score").to_pylist(), t.column("near"), t.column("id"), []
+            item = near.is_null().to_numpy()
+            for lo, hi in zip([0, *border.tolist()], [*border.tolist(), len(root)]):
+                at = lo + int(np.count_nonzero(~item[lo:hi]))  # rows of classes come first
+                linked = {no[k]: near[k].as_py() for k in range(lo, at)}
+                gone += [at + k for k in _greedy_by_class(no[at:hi], own[at:hi], linked)]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(gone, pa.int64())).combine_chunks()], ["id"])
+
+    rows = members.unionByName(links, allowMissingColumns=True).repartition(default_parallelism(items.sparkSession), "root")
+    gone = cut(rows.sortWithinPartitions("root", F.col("near").isNull(), "place").select("root", "no", "id", "score", "near").mapInArrow(removed, items.select("id").schema))
+    discard(pairs, taking)
+    return gone
+
+
 def _alike(row: np.ndarray, code: np.ndarray, n: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (i < j) of the items of one group, whose terms are (row, code), with a cosine above num/den."""
     cell, tf = np.unique(row * (int(code.max()) + 1) + code, return_counts=True)

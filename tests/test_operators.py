@@ -170,6 +170,33 @@ def test_small_and_large_groups_are_deduplicated_alike(spark, monkeypatch):
     assert small and rows(X.alike_removed(items, 82, 100, 3)) == small
 
 
+def test_repeated_texts_of_a_large_group_are_not_paired(spark, monkeypatch):
+    import random
+
+    write, sizes, rng = X.cut, [], random.Random(9)
+
+    def cut(df):
+        out = write(df)
+        sizes.append(out.count())
+        return out
+
+    texts = ["working on it".split(), "it is on working order".split(), "it is on working order now".split(), "sounds good to me".split()]
+    data = [("g", f"m{i}", rng.sample(t := rng.choice(texts), len(t)), float(rng.randrange(4)), f"{i:04}", False) for i in range(1_200)]
+    gone, of = set(), {i: (frozenset(t), s) for _, i, t, s, _, _ in data}
+    alike = {(a, b) for a in map(frozenset, texts) for b in map(frozenset, texts) if len(a & b) ** 2 * 10_000 > 6_724 * len(a) * len(b)}
+    for k, (_, i, *_) in enumerate(data):
+        for _, j, *_ in data[k + 1 :]:
+            if i in gone:
+                break
+            if j not in gone and (of[i][0], of[j][0]) in alike:
+                gone.add(j if of[i][1] >= of[j][1] else i)
+    items = spark.createDataFrame(data, "grp string, id string, terms array<string>, score double, place string, exempt boolean")
+    monkeypatch.setattr(X, "cut", cut)
+    assert {r["id"] for r in X.alike_removed(items, 82, 100, 3).collect()} == gone and len(alike) > 4
+    # Pairs of items would be some 360,000.
+    assert max(sizes) <= len(data)
+
+
 def test_flow_over_messages_leaves_notes_alone(spark, monkeypatch):
     from anamnesis.plans import pipelines, retrieval
 
