@@ -13,7 +13,7 @@ from anamnesis.operators.segments import is_user
 from anamnesis.operators.stored import stored
 from anamnesis.plans.relational import CO, M, SU, convs, msgs, sums
 from anamnesis.plans.scalar import CLASS, DECAY, NOW, SIGNALS, TERMS_FULL, TERMS_PAIRS
-from anamnesis.session import cut, micros, table
+from anamnesis.session import cut, discard, micros, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -335,11 +335,9 @@ def duplicate_messages(spark, d):
 def duplicate_notes(spark, d):
     """Notes that a greedy pass over all of them removes, by signals and id."""
     texts = cut(note_texts(spark, d))
-    pairs = cut(X.cosine_pairs(texts.select("id", "terms"), 82, 100))
-    groups = X.components(pairs)
-    items = texts.join(groups, "id").select(F.col("root").alias("grp"), "id", S.signal_bonus(F.col("content")).cast("double").alias("score"), F.col("id").alias("place"))
-    with_group = pairs.join(groups.select(F.col("id").alias("id_a"), F.col("root").alias("grp")), "id_a")
-    return X.greedy_removal(with_group.select("grp", "id_a", "id_b"), items).select("id")
+    gone = X.removed_among(texts.select(F.lit("").alias("grp"), "id", "terms", F.col("id").alias("place"), "content"), 82, 100, S.signal_bonus(F.col("content")).cast("double"))
+    discard(texts)
+    return gone.select("id")
 
 
 @query("SELECT ingest_no, row_number() OVER (PARTITION BY lower(trim(content, ' ')) ORDER BY ingest_no) = 1 AS kept FROM notes WHERE content IS NOT NULL")

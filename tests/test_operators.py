@@ -197,6 +197,24 @@ def test_repeated_texts_of_a_large_group_are_not_paired(spark, monkeypatch):
     assert max(sizes) <= len(data)
 
 
+def test_notes_with_the_same_words_are_not_paired(spark, monkeypatch, tmp_path):
+    from anamnesis.plans import retrieval
+
+    write, sizes = X.cut, []
+
+    def cut(df):
+        out = write(df)
+        sizes.append(out.count())
+        return out
+
+    data = [(f"n{i:03}", f"heartbeat zesobox {1000 + i} ms") for i in range(300)] + [("other", "the listener fits the upper lock"), (None, None)]
+    spark.createDataFrame(data, "note_id string, content string").write.parquet(f"{tmp_path}/notes.parquet")
+    monkeypatch.setattr(X, "cut", cut), monkeypatch.setattr(retrieval, "cut", cut)
+    gone = sorted(r["id"].split("|")[0] for r in retrieval.duplicate_notes(spark, str(tmp_path)).collect())
+    assert gone == [f"n{i:03}" for i in range(1, 300)]
+    assert max(sizes) <= len(data)  # pairs of notes would be 44,850
+
+
 def test_flow_over_messages_leaves_notes_alone(spark, monkeypatch):
     from anamnesis.plans import pipelines, retrieval
 
