@@ -49,6 +49,8 @@ MISS = 0.00005
 BITS = 64
 #: Classes whose keys of one band are joined in one task; key bits beyond the range are 32, so chance meetings stay few at any size.
 CLASSES_A_TASK = 100_000
+#: The place of times that lie at the horizon of a :class:`Signer` or beyond.
+LATE = (1 << 16) - 1
 #: Words whose arrivals a worker keeps.
 VOCABULARY = 1 << 15
 #: Classes with one key that are worked off at once; longer runs are cut into blocks of so many.
@@ -117,7 +119,11 @@ class Signer:
         self.m, self.horizon = m, (math.log(m) + 7) / max(1, least_mass)
         self.index: dict[str, int] = {}
         self.hashes: list[int] = []
-        self.table = np.empty((0, m), np.float32)
+        self.table = np.empty((0, m), np.uint16)
+
+    def _places(self, time: np.ndarray) -> np.ndarray:
+        """Order of times as 16 bits, finer for early ones; LATE at the horizon and beyond."""
+        return np.minimum(np.sqrt(np.minimum(time, self.horizon) / np.float32(self.horizon)) * np.float32(LATE), LATE).astype(np.uint16)
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Table rows of words, made where they are new."""
@@ -130,34 +136,48 @@ class Signer:
                 fresh.append(xxhash.xxh64_intdigest(w.encode()))
         if fresh:
             # In blocks, as a word draws some hundred points.
-            made = np.concatenate([word_arrivals(np.array(fresh[i : i + 1024], np.uint64), np.ones(len(fresh[i : i + 1024]), np.int64), self.horizon, self.m) for i in range(0, len(fresh), 1024)])
+            made = np.concatenate([self._places(word_arrivals(np.array(fresh[i : i + 1024], np.uint64), np.ones(len(fresh[i : i + 1024]), np.int64), self.horizon, self.m)) for i in range(0, len(fresh), 1024)])
             self.hashes += fresh
             if len(index) > len(self.table):
-                grown = np.empty((max(2 * len(self.table), len(index), 4096), self.m), np.float32)
+                grown = np.empty((max(2 * len(self.table), len(index), 4096), self.m), np.uint16)
                 grown[: len(index) - len(fresh)] = self.table[: len(index) - len(fresh)]
                 self.table = grown
             self.table[len(index) - len(fresh) : len(index)] = made
         return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
 
     def sign(self, words: list[str], weights: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Signatures of bags given as runs of words and whole weights that end at ``ends``."""
+        """Signatures of bags given as runs of words and whole weights that end at ``ends``.
+
+        Registers are 16-bit places of times; equal times have equal places, so no meeting is lost.  Times beyond the
+        horizon stay times, which are larger numbers.
+        """
         starts = np.r_[0, ends[:-1]].astype(np.int64)
         if len(self.index) > VOCABULARY:
             self.index.clear(), self.hashes.clear()
         rows = self.rows(words)
-        out = np.empty((len(ends), self.m), np.float32)
+        out = np.empty((len(ends), self.m), np.uint32)
         heavy = np.flatnonzero(np.maximum.reduceat(weights, starts) > 1)
-        for lo in range(0, len(ends), 512):
-            hi = min(lo + 512, len(ends))
-            out[lo:hi] = np.minimum.reduceat(self.table[rows[starts[lo] : ends[hi - 1]]], starts[lo:hi] - starts[lo], axis=0)
+        # Bags by falling length, in blocks that stay in the cache: all first words, all second words, and so on.
+        size = ends - starts
+        order = np.argsort(-size, kind="stable")
+        for lo in range(0, len(order), 512):
+            own = order[lo : lo + 512]
+            least, longer = self.table[rows[starts[own]]], len(own)
+            for k in range(1, size[own[0]]):
+                while size[own[longer - 1]] <= k:
+                    longer -= 1
+                np.minimum(least[:longer], self.table[rows[starts[own[:longer]] + k]], out=least[:longer])
+            out[own] = least
         all_hashes = np.array(self.hashes, np.uint64)
-        for i in np.union1d(heavy, np.flatnonzero(np.isinf(out).any(axis=1))):
+        for i in np.union1d(heavy, np.flatnonzero((out == LATE).any(axis=1))):
             own, horizon = slice(starts[i], ends[i]), self.horizon
             while True:
-                out[i] = word_arrivals(all_hashes[rows[own]], weights[own], horizon, self.m).min(axis=0)
-                if not np.isinf(out[i]).any():
+                time = word_arrivals(all_hashes[rows[own]], weights[own], horizon, self.m).min(axis=0)
+                if not np.isinf(time).any():
                     break
                 horizon *= 2
+            place = self._places(time)
+            out[i] = np.where(place < LATE, place, np.maximum(time, np.float32(1e-30)).view(np.uint32))
         return out
 
     def parities(self, words: list[str], weights: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -171,7 +191,7 @@ class Signer:
 
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key per band of each signature."""
-    bits = np.ascontiguousarray(signature).view(np.uint32).astype(np.uint64)
+    bits = np.ascontiguousarray(signature).astype(np.uint64)
     banded = bits.reshape(len(bits), bands, rows)
     key = np.broadcast_to(np.arange(bands, dtype=np.uint64), banded.shape[:2]).copy()
     for r in range(rows):

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from anamnesis.llm.neardup import Signer, band_shape, near_duplicate_groups, near_duplicates, too_far
+from anamnesis.llm.neardup import LATE, Signer, band_shape, near_duplicate_groups, near_duplicates, too_far, word_arrivals
 
 MESSAGE = "message_id string, content string, ingest_no bigint, tbl string, no int"
 NOTE = "note_id string, content string, ingest_no bigint, bag string"
@@ -114,6 +114,22 @@ def test_weighted_estimate():
     assert abs((s[0] == s[1]).mean() - shared / united) < 4 * (0.25 * 0.75 / m) ** 0.5 + 0.01
 
 
+def test_signatures_are_the_earliest_places_of_their_words():
+    """Registers take two bytes a word; bags of uneven lengths, some of which leave registers to later times."""
+    rng, m = random.Random(6), 270
+    signer = Signer(m, 12)
+    bags = [rng.sample([f"w{i}" for i in range(900)], n) for n in [3, 700, *(rng.randrange(12, 60) for _ in range(700)), 12]]
+    flat, ends = [w for b in bags for w in b], np.cumsum([len(b) for b in bags])
+    got = signer.sign(flat, np.ones(len(flat), np.int64), ends)
+    assert signer.table.dtype.itemsize == 2
+    for bag, own in [*zip(bags, got)][:: len(bags) // 40]:
+        hashes = np.array([signer.hashes[signer.index[w]] for w in bag], np.uint64)
+        time = word_arrivals(hashes, np.ones(len(bag), np.int64), 8.0, m).min(axis=0)
+        want = signer._places(time)
+        assert (own[want < LATE] == want[want < LATE]).all() and (own[want == LATE] > LATE).all()
+    assert (got > LATE).any() and (got < LATE).any()
+
+
 def test_recall_of_the_bands():
     for n in (1, 10**6, 10**8, 10**11):
         bands, rows = band_shape(n, 0.7)
